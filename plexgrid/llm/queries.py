@@ -29,11 +29,34 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .records import token_records
+
+    return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op3_language": op3_language,
         "op5_toxicity": op5_toxicity,
+        "op6_embeddings": op6_embeddings,
+        "op9_minhash": op9_minhash,
+        "op10_records": op10_records,
     }
 
 
