@@ -141,36 +141,67 @@ def tiles(entries: DataFrame, keys: list[str], size: str = "size", salt: str = "
     return e.repartition(*keys, "ta", "tb").sortWithinPartitions(*keys, "ta", "tb")
 
 
-def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one bucket and different components that signatures and sizes don't exclude.
-
-    ``entries``: key, doc_id, component, n_shingles, low, size. A pair is
-    excluded if its estimate is more than five standard errors below the threshold.
+def cross_pairs(entries: DataFrame, n: int, percent: int, best: bool) -> DataFrame:
+    """Pairs (u, v) of one bucket and different components that may well be similar.
+
+    ``entries``: key, doc_id, component, n_shingles, low, size, and without
+    ``best`` also bands and words. A pair is left out if its sizes exclude it or
+    its estimate is more than five standard errors below the threshold. With
+    ``best``, each document gets only its likeliest partner in each tile, which
+    joins most components. Else every pair is looked at in the first bucket that
+    it shares, and only those whose hashed shingle sets are similar come out.
     """
     at_least = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / (ROWS * BANDS))
+    columns = ["key", "ta", "tb", "own", "doc_id", "component", "n_shingles", "low"] + ([] if best else ["bands", "words"])
+
+    def hashed_sets(words):
+        tool = zstandard.ZstdDecompressor()
+        texts = [tool.decompress(w.as_buffer()) for w in words]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        shingles, at = shingle_hashes(*word_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets, SPACES), n)
+        return [np.unique(shingles[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
+
+    def similar(sets, i, others):
+        own = sets[i]
+        counts = np.array([len(sets[j]) for j in others])
+        joined = np.concatenate([sets[j] for j in others])
+        found = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+        same = np.add.reduceat(found.astype(np.int64), np.cumsum(counts) - counts)
+        return others[100 * same >= percent * (len(own) + counts - same)]
 
     def run(batches):
-        for table, first in whole_groups(batches, ["key", "ta", "tb"], 4096):
+        for table, first in whole_groups(batches, ["key", "ta", "tb"], 2048):
             ids, comps, sizes = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-            own, ta, tb = (table[c].to_numpy() for c in ("own", "ta", "tb"))
+            key, own, ta, tb = (table[c].to_numpy() for c in ("key", "own", "ta", "tb"))
             low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            bands = None if best else table["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             us, vs = [], []
             for a, b in zip(first, [*first[1:], len(ids)], strict=True):
+                sets = None
+                band = 0 if best else int(np.flatnonzero(bands[a] == key[a])[0])
                 for i in range(a, b - 1):
                     o = slice(i + 1, b)
                     ok = (comps[o] != comps[i]) & (100 * np.minimum(sizes[o], sizes[i]) >= percent * np.maximum(sizes[o], sizes[i]))
                     if ta[a] != tb[a]:
                         ok &= own[o] != own[i]
+                    if band:
+                        ok &= (bands[o, :band] != bands[i, :band]).all(1)
                     at = np.flatnonzero(ok) + i + 1
-                    if len(at):
-                        share = ((low[at] == low[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
-                        at = at[share >= at_least]
-                        us.append(np.minimum(ids[at], ids[i]))
-                        vs.append(np.maximum(ids[at], ids[i]))
+                    if not len(at):
+                        continue
+                    share = ((low[at] == low[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
+                    at, share = at[share >= at_least], share[share >= at_least]
+                    if best:
+                        at = at[[share.argmax()]] if len(at) else at
+                    elif len(at):
+                        sets = sets or hashed_sets(table["words"].slice(a, b - a))
+                        at = similar(sets, i - a, at - a) + a
+                    us.append(np.minimum(ids[at], ids[i]))
+                    vs.append(np.maximum(ids[at], ids[i]))
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-    return tiles(entries, ["key"]).select("key", "ta", "tb", "own", "doc_id", "component", "n_shingles", "low").mapInArrow(run, "u long, v long").distinct()
+    return tiles(entries, ["key"]).select(columns).mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -193,18 +224,34 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     texts = packed(slim.where("doc_id IS NOT NULL"))
     first = written(verified(written(pairs, "pairs"), texts, n, percent), "links")
     found = connected_components(first, "components")
-    # buckets of three or more whose members are still of several components
-    label = entries.join(heads.where("size > 2").select("key", "size"), "key").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    label = label.withColumn("component", F.coalesce("component", "doc_id"))
-    label = written(label, "labelled")
-    open_keys = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rest = label.join(open_keys, "key").join(once.select("doc_id", "low"), "doc_id")
-    more = written(cross_pairs(rest, percent), "more")
-    more = more.join(first, ["u", "v"], "left_anti")
-    second = verified(more, texts, n, percent)
-    final = connected_components(first.unionByName(second), "components")
+    # buckets of three or more whose members are still of several components:
+    # likeliest partners, as long as they join components, then all that is left
+    buckets = entries.join(heads.where("size > 2").select("key", "size"), "key").join(once.select("doc_id", "low", "bands"), "doc_id")
+    buckets = written(buckets, "buckets")
+    links = first
+
+    def still_open() -> DataFrame:
+        label = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        keys = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+        return label.join(keys, "key")
+
+    tried = None
+    while True:
+        more = cross_pairs(still_open(), n, percent, True)
+        more = written(more if tried is None else more.join(tried, ["u", "v"], "left_anti"), "more")
+        new = written(verified(more, texts, n, percent), "links")
+        if new.isEmpty():
+            break
+        tried = more if tried is None else tried.unionByName(more)
+        links = links.unionByName(new)
+        found = connected_components(links, "components")
+    rest = still_open().join(texts.withColumnRenamed("id", "doc_id"), "doc_id")
+    more = written(cross_pairs(rest, n, percent, False), "more")
+    new = written(verified(more, texts, n, percent), "links")
+    if not new.isEmpty():
+        found = connected_components(links.unionByName(new), "components")
     out = every.select("doc_id", "n_shingles", "d1", "d2").join(copies, ["d1", "d2"], "left").drop("d1", "d2")
     out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    out = out.join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    out = out.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
