@@ -12,6 +12,9 @@ Documents are range-partitioned by doc_id; file k holds smaller ids than k + 1.
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import uuid
 import zlib
 
@@ -132,11 +135,16 @@ def unframe(data: bytes, offsets: list[int]) -> list[bytes]:
     return parts
 
 
+#: Words with one run of plain letters and at most one of marks: one or two pre-tokens.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?|]+)?")
+
+
 class WordEncoder:
     """Packed ids of texts by a tokenizer whose tokens never reach over a space or line feed.
 
     Each word between these is encoded by the tokenizers library once and
-    remembered, in bounded number.
+    remembered. Two generations of words bound the memory: when the younger is
+    full, the older is forgotten, and words met again move to the younger.
     """
 
     def __init__(self, spec: str, dtype: str):
@@ -146,18 +154,58 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tool, self.dtype = Tokenizer.from_str(spec), dtype
-        self.known: dict[str, bytes] = {}
+        vocab = self.tool.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids_of(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word. Plain ones go through as one text and are told apart by the tokens that end a pre-token."""
+        found: dict[str, bytes] = {}
+        plain, rest, counts = [], [], []
+        for w in words:
+            m = PLAIN.fullmatch(w)
+            if m:
+                plain.append(w)
+                counts.append(2 if m[1] else 1)
+            else:
+                rest.append(w)
+        for i in range(0, len(plain), 200):
+            part = plain[i : i + 200]
+            ids = np.array(self.tool.encode(" ".join(part), add_special_tokens=False).ids)
+            ends = np.flatnonzero(self.ends[ids]) if len(ids) else ids
+            last = np.cumsum(counts[i : i + 200])
+            if len(ends) != last[-1] or ends[-1] != len(ids) - 1:
+                rest += part
+                continue
+            packed, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            to = ((ends[last - 1] + 1) * width).tolist()
+            found.update(zip(part, (packed[x:y] for x, y in zip([0, *to[:-1]], to, strict=True)), strict=True))
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            found.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = set().union(*words).difference(young)
+        again = new & old.keys()
+        young.update((w, old[w]) for w in again)
+        young.update(self.ids_of(list(new - again)))
+        get = young.__getitem__
+        return [b"".join(map(get, ws)) for ws in words]
+
+
+def worker_encoder(spec: str, dtype: str) -> WordEncoder:
+    """The encoder of this Python worker, kept from task to task."""
+    kept = sys.modules.setdefault("_plexgrid_kept", types.ModuleType("_plexgrid_kept"))
+    if getattr(kept, "spec", None) != (spec, dtype):
+        kept.spec, kept.encoder = (spec, dtype), WordEncoder(spec, dtype)
+    return kept.encoder
 
 
 def write_records(documents: DataFrame, tokenizer_path: str, folder: str, partitions: int | None = None, end_id: int = END_ID):
@@ -186,7 +234,7 @@ def write_records(documents: DataFrame, tokenizer_path: str, folder: str, partit
         fs, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         name, end = f"{root}/part-{part:06d}", np.array([end_id], dtype).tobytes()
         mine = f"{name}.{uuid.uuid4().hex}"
-        tool, records, ids, at = WordEncoder(spec_cast.value, dtype), 0, 0, 0
+        tool, records, ids, at = worker_encoder(spec_cast.value, dtype), 0, 0, 0
         with fs.open_output_stream(f"{mine}.rec") as out, fs.open_output_stream(f"{mine}.idx") as index:
             for b in batches:
                 texts, keys = b["text"].to_pylist(), b["doc_id"].to_pylist()
