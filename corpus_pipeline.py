@@ -1,20 +1,75 @@
-"""The corpus pipeline: five stages from raw documents to encoded ones."""
+"""The corpus pipeline: five stages from raw documents to encoded ones.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next one's ``docs``.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from plexgrid.llm.common import shared_dir
+from plexgrid.llm.decontaminate import matches
+from plexgrid.llm.lines import dedup_lines
+from plexgrid.llm.minhash import near_duplicates
+from plexgrid.llm.pieces import encode_decode
 from plexgrid.llm.quality import score_quality, train_quality
 
+#: The classifiers and encoders are not expressible in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def quality_stage(spark, docs, sf_dir):
-    """Documents that the quality classifier doesn't reject."""
-    net = train_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the quality classifier doesn't reject; it is trained on the labelled ones of ``docs``."""
+    net = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, net).where("predicted = 1").select(docs.columns)
 
 
-STAGES = [("quality", quality_stage)]
+def lines_stage(spark, docs, sf_dir):
+    """Documents without repeated chunks of lines; those of which nothing is left go."""
+    out = dedup_lines(docs).where("text IS NULL OR text <> '' OR n_removed = 0")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """One document of each group of near-duplicates: that with the smallest id."""
+    kept = near_duplicates(docs, n=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents that hold no benchmark item."""
+    found = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_held")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")
+
+
+def sentencepiece_stage(spark, docs, sf_dir):
+    """(doc_id, n_ids, ids_crc32, decoded_ok, ids, decoded) of every document."""
+    import public_tokenizers
+
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line dedup", lines_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """All stages on ``documents``, in order."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -17,6 +17,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import languages_of
 
@@ -74,6 +80,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_lines": op2_lines,
         "op3_language": op3_language,
         "op4_decontamination": op4_decontamination,
         "op5_toxicity": op5_toxicity,
