@@ -179,14 +179,19 @@ def cross_pairs(entries: DataFrame, n: int, percent: int, best: bool) -> DataFra
             for a, b in zip(first, [*first[1:], len(ids)], strict=True):
                 sets = None
                 band = 0 if best else int(np.flatnonzero(bands[a] == key[a])[0])
-                for i in range(a, b - 1):
-                    o = slice(i + 1, b)
+                if best:
+                    found, n_own = np.unique(comps[a:b], return_counts=True)
+                    members = np.flatnonzero(comps[a:b] != found[n_own.argmax()]) + a
+                else:
+                    members = range(a, b - 1)
+                for i in members:
+                    o = slice(a if best else i + 1, b)
                     ok = (comps[o] != comps[i]) & (100 * np.minimum(sizes[o], sizes[i]) >= percent * np.maximum(sizes[o], sizes[i]))
                     if ta[a] != tb[a]:
                         ok &= own[o] != own[i]
                     if band:
                         ok &= (bands[o, :band] != bands[i, :band]).all(1)
-                    at = np.flatnonzero(ok) + i + 1
+                    at = np.flatnonzero(ok) + o.start
                     if not len(at):
                         continue
                     share = ((low[at] == low[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
@@ -199,7 +204,8 @@ def cross_pairs(entries: DataFrame, n: int, percent: int, best: bool) -> DataFra
                     us.append(np.minimum(ids[at], ids[i]))
                     vs.append(np.maximum(ids[at], ids[i]))
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                once = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["u", "v"])
 
     return tiles(entries, ["key"]).select(columns).mapInArrow(run, "u long, v long").distinct()
 
