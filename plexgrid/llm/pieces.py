@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words remembered in each of two generations; nodes of a trie before it is begun anew.
-REMEMBERED, NODES = 400_000, 600_000
+#: Words remembered, and nodes of a trie, before either is begun anew.
+REMEMBERED, NODES = 700_000, 600_000
 BARRIER = -1
 _units = re.compile(r" *[^ \n]+|\n| +")
 
@@ -47,6 +47,19 @@ def split_units(text: str) -> list[str]:
     return [u for u in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if u]
 
 
+def looked_up(texts: list[str], known: dict) -> tuple[list[list[str]], list[list], list]:
+    """Words of each text, what is known of them, and the places of those not known."""
+    units = [split_units(t) for t in texts]
+    found = [list(map(known.get, u)) for u in units]
+    return units, found, [[k for k, x in enumerate(v) if x is None] if None in v else () for v in found]
+
+
+def fill(units, found, gaps, known) -> None:
+    for u, v, at in zip(units, found, gaps, strict=True):
+        for k in at:
+            v[k] = known[u[k]]
+
+
 class Pieces:
     """A BPE vocabulary with byte fallback, read from the model file's content."""
 
@@ -118,8 +131,7 @@ class SuffixEncoder:
         self.above = np.array([k.encode().ljust(self.width, b"\xff") for k in order], f"S{self.width}")
         self.wanted_ids = np.array([pieces.ids[k] for k in order])
         self.lengths = np.array([len(k.encode()) for k in order])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def suffixes(self, data: np.ndarray) -> np.ndarray:
         """Positions of ``data`` in the order of the ``width`` bytes that begin there."""
@@ -204,26 +216,21 @@ class SuffixEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        units = [split_units(t) for t in texts]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = set().union(*units).difference(young)
-        again = new & old.keys()
-        young.update((w, old[w]) for w in again)
-        fresh = sorted(new - again)
-        long: list[str] = []
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        units, found, gaps = looked_up(texts, self.known)
+        part: list[str] = []
         size = 0
-        for w in fresh:  # a batch of about a megabyte, or one longer word
-            long.append(w)
+        for w in sorted({u[k] for u, at in zip(units, gaps, strict=True) for k in at}):
+            part.append(w)
             size += len(w) + 1
-            if size > 1 << 19:
-                young.update(zip(long, self.encode_words(long), strict=True))
-                long, size = [], 0
-        if long:
-            young.update(zip(long, self.encode_words(long), strict=True))
-        get = young.__getitem__
-        return [b"".join(map(get, u)) for u in units]
+            if size > 1 << 19:  # half a megabyte at a time, or one longer word
+                self.known.update(zip(part, self.encode_words(part), strict=True))
+                part, size = [], 0
+        if part:
+            self.known.update(zip(part, self.encode_words(part), strict=True))
+        fill(units, found, gaps, self.known)
+        return [b"".join(v) for v in found]
 
 
 class TrieCounter:
@@ -231,8 +238,7 @@ class TrieCounter:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
+        self.known: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -264,20 +270,15 @@ class TrieCounter:
         return self.count[node]
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        units = [split_units(t) for t in texts]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = set().union(*units).difference(young)
-        for w in sorted(new):
-            n = old.get(w)
-            if n is None:
-                if len(self.last) > NODES:
-                    self.clear()
-                n = self.insert(w)
-            young[w] = n
-        get = young.__getitem__
-        return np.array([sum(map(get, u)) for u in units], np.int64)
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        units, found, gaps = looked_up(texts, self.known)
+        for w in sorted({u[k] for u, at in zip(units, gaps, strict=True) for k in at}):
+            if len(self.last) > NODES:
+                self.clear()
+            self.known[w] = self.insert(w)
+        fill(units, found, gaps, self.known)
+        return np.array([sum(v) for v in found], np.int64)
 
 
 def kept_in_worker(kind: type, model: bytes):

@@ -30,7 +30,7 @@ END_ID = 1
 MASK_DELTA = np.uint32(0xA282EAD8)
 CHUNK = 512
 #: Words whose ids a worker remembers; beyond this it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 
 
 def _crc_tables() -> np.ndarray:
@@ -136,50 +136,57 @@ def unframe(data: bytes, offsets: list[int]) -> list[bytes]:
 
 
 #: Words with one run of plain letters and at most one of marks: one or two pre-tokens.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?|]+)?")
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|]+)?")
 
 
 class WordEncoder:
     """Packed ids of texts by a tokenizer whose tokens never reach over a space or line feed.
 
     Each word between these is encoded by the tokenizers library once and
-    remembered. Two generations of words bound the memory: when the younger is
-    full, the older is forgotten, and words met again move to the younger.
+    remembered, up to a bounded number of words.
     """
 
     def __init__(self, spec: str, dtype: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tool, self.dtype = Tokenizer.from_str(spec), dtype
+        # the same model for plain words: in lower case, with marks set apart, they need no other preparation
+        self.plain = Tokenizer(self.tool.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tool.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def ids_of(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word. Plain ones go through as one text and are told apart by the tokens that end a pre-token."""
+        """Ids of each word. Plain ones go through many at once and are told apart by the tokens that end a pre-token."""
         found: dict[str, bytes] = {}
-        plain, rest, counts = [], [], []
+        plain, ready, counts, rest = [], [], [], []
         for w in words:
             m = PLAIN.fullmatch(w)
-            if m:
-                plain.append(w)
-                counts.append(2 if m[1] else 1)
-            else:
+            if not m:
                 rest.append(w)
-        for i in range(0, len(plain), 200):
-            part = plain[i : i + 200]
-            ids = np.array(self.tool.encode(" ".join(part), add_special_tokens=False).ids)
+                continue
+            plain.append(w)
+            if m[2]:
+                ready.append(f"{m[1].lower()} {m[2]}")
+                counts.append(2)
+            else:
+                ready.append(w.lower())
+                counts.append(1)
+        parts = range(0, len(plain), 200)
+        width = np.dtype(self.dtype).itemsize
+        for i, e in zip(parts, self.plain.encode_batch_fast([" ".join(ready[i : i + 200]) for i in parts], add_special_tokens=False), strict=True):
+            part, ids = plain[i : i + 200], np.array(e.ids)
             ends = np.flatnonzero(self.ends[ids]) if len(ids) else ids
             last = np.cumsum(counts[i : i + 200])
             if len(ends) != last[-1] or ends[-1] != len(ids) - 1:
                 rest += part
                 continue
-            packed, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            packed = ids.astype(self.dtype).tobytes()
             to = ((ends[last - 1] + 1) * width).tolist()
             found.update(zip(part, (packed[x:y] for x, y in zip([0, *to[:-1]], to, strict=True)), strict=True))
         for i in range(0, len(rest), 10_000):
@@ -188,16 +195,17 @@ class WordEncoder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = set().union(*words).difference(young)
-        again = new & old.keys()
-        young.update((w, old[w]) for w in again)
-        young.update(self.ids_of(list(new - again)))
-        get = young.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        found = [list(map(known.get, ws)) for ws in words]
+        gaps = [[k for k, x in enumerate(v) if x is None] if None in v else () for v in found]
+        known.update(self.ids_of(list({ws[k] for ws, at in zip(words, gaps, strict=True) for k in at})))
+        for ws, v, at in zip(words, found, gaps, strict=True):
+            for k in at:
+                v[k] = known[ws[k]]
+        return [b"".join(v) for v in found]
 
 
 def worker_encoder(spec: str, dtype: str) -> WordEncoder:
