@@ -78,7 +78,8 @@ def assign_bins_by_pca(hits: DataFrame, counts: DataFrame, genes: list[str], com
     """As ``assign_bins_once``, with distances between principal components of the cells' profiles.
 
     ``genes`` is the column axis; vectors of that length are made for cells and
-    for shared bins only.
+    for shared bins only. Where fewer than two cells have bins of their own
+    there is nothing to project, and plain distances decide.
     """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -86,6 +87,8 @@ def assign_bins_by_pca(hits: DataFrame, counts: DataFrame, genes: list[str], com
     n = hits.groupBy("bin_id").agg(F.count("*").alias("_k"))
     marked = hits.join(n, "bin_id")
     alone, shared = marked.where("_k = 1").drop("_k"), marked.where("_k > 1").drop("_k")
+    if alone.select("ord").distinct().limit(2).count() < 2:
+        return assign_bins_once(hits, counts)
     index = {g: i for i, g in enumerate(genes)}
 
     def vectors(df: DataFrame, by: str) -> DataFrame:
