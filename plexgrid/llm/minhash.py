@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_classes, connected_components, shingle_hashes, texts_of, whole_groups, word_hashes, written
+from .common import blocks, byte_classes, connected_components, shingle_hashes, sliced, small_batches, texts_of, whole_groups, word_hashes, written
 
 ROWS, BANDS = 6, 32
 TILE = 512
@@ -96,7 +96,7 @@ def packed(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         tool = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in sliced(batches):
             data, offsets = texts_of(b["text"])
             out = [tool.compress(b" ".join(normal_words(data[p:q].tobytes()))) for p, q in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.binary())], ["id", "words"])
@@ -118,7 +118,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     def run(batches):
         tool = zstandard.ZstdDecompressor()
         last, own = None, set()
-        for b in batches:
+        for b in sliced(batches):
             u, v = b["u"].to_pylist(), b["v"].to_pylist()
             keep = np.zeros(len(u), bool)
             for k, (x, y) in enumerate(zip(b["words_u"], b["words_v"], strict=True)):
@@ -132,27 +132,42 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return both.select("u", "v", "words_u", "words_v").mapInArrow(run, "u long, v long")
 
 
-def tiles(entries: DataFrame, keys: list[str], size: str = "size", salt: str = "doc_id", tile: int = TILE) -> DataFrame:
-    """``entries`` repeated so that any two of a group meet in one (keys, ta, tb) of at most about 2 ``tile`` rows."""
-    t = F.ceil(F.col(size) / tile).cast("int")
-    e = entries.withColumn("own", F.pmod(F.xxhash64(salt), t).cast("int"))
-    e = e.withColumn("other", F.explode(F.sequence(F.lit(0), t - 1)))
-    e = e.withColumns({"ta": F.least("own", "other"), "tb": F.greatest("own", "other")}).drop("other")
-    return e.repartition(*keys, "ta", "tb").sortWithinPartitions(*keys, "ta", "tb")
+def tiles(entries: DataFrame) -> DataFrame:
+    """Rows of open buckets, repeated so that every pair that matters meets in one (key, ta, tb) of bounded size.
+
+    What matters are pairs with a member outside the bucket's largest component:
+    tiles of that component meet each tile of the others (ta >= 0), and the
+    others' tiles meet each other (ta < 0). ``entries``: key, doc_id, component, ...
+    """
+    each = entries.groupBy("key", "component").agg(F.count("*").alias("n"))
+    whole = each.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    count = lambda c: F.ceil(c / TILE).cast("int")
+    whole = whole.select("key", F.col("top.component").alias("largest"), count(F.col("top.n")).alias("tm"), count(F.col("size") - F.col("top.n")).alias("to"))
+    e = entries.join(whole, "key").withColumn("main", F.col("component") == F.col("largest"))
+    e = e.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("main"), F.col("tm")).otherwise(F.col("to"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    at = lambda a, b: F.struct(a.cast("int").alias("ta"), b.cast("int").alias("tb"))
+    own = F.col("own")
+    with_others = F.transform(upto(F.col("to")), lambda j: at(own, j))
+    with_main = F.transform(upto(F.col("tm")), lambda i: at(i, own))
+    among = F.transform(upto(F.col("to")), lambda j: at(-1 - F.least(own, j), F.greatest(own, j)))
+    e = e.withColumn("_t", F.explode(F.when(F.col("main"), with_others).otherwise(F.concat(with_main, among))))
+    e = e.withColumns({"ta": F.col("_t.ta"), "tb": F.col("_t.tb")}).drop("_t", "tm", "to", "largest")
+    return e.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
 
 
 def cross_pairs(entries: DataFrame, n: int, percent: int, best: bool) -> DataFrame:
     """Pairs (u, v) of one bucket and different components that may well be similar.
 
-    ``entries``: key, doc_id, component, n_shingles, low, size, and without
-    ``best`` also bands and words. A pair is left out if its sizes exclude it or
+    ``entries``: key, doc_id, component, n_shingles, low, and without ``best``
+    also bands and words. A pair is left out if its sizes exclude it or
     its estimate is more than five standard errors below the threshold. With
     ``best``, each document gets only its likeliest partner in each tile, which
     joins most components. Else every pair is looked at in the first bucket that
     it shares, and only those whose hashed shingle sets are similar come out.
     """
     at_least = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / (ROWS * BANDS))
-    columns = ["key", "ta", "tb", "own", "doc_id", "component", "n_shingles", "low"] + ([] if best else ["bands", "words"])
+    columns = ["key", "ta", "tb", "own", "main", "doc_id", "component", "n_shingles", "low"] + ([] if best else ["bands", "words"])
 
     def hashed_sets(words):
         tool = zstandard.ZstdDecompressor()
@@ -172,23 +187,23 @@ def cross_pairs(entries: DataFrame, n: int, percent: int, best: bool) -> DataFra
     def run(batches):
         for table, first in whole_groups(batches, ["key", "ta", "tb"], 2048):
             ids, comps, sizes = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-            key, own, ta, tb = (table[c].to_numpy() for c in ("key", "own", "ta", "tb"))
+            key, own, ta, tb, main = (table[c].to_numpy() for c in ("key", "own", "ta", "tb", "main"))
             low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(len(ids), -1)
             bands = None if best else table["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             us, vs = [], []
             for a, b in zip(first, [*first[1:], len(ids)], strict=True):
                 sets = None
                 band = 0 if best else int(np.flatnonzero(bands[a] == key[a])[0])
-                if best:
-                    found, n_own = np.unique(comps[a:b], return_counts=True)
-                    members = np.flatnonzero(comps[a:b] != found[n_own.argmax()]) + a
-                else:
-                    members = range(a, b - 1)
-                for i in members:
-                    o = slice(a if best else i + 1, b)
+                o = slice(a, b)
+                for i in np.flatnonzero(~main[o]) + a:
                     ok = (comps[o] != comps[i]) & (100 * np.minimum(sizes[o], sizes[i]) >= percent * np.maximum(sizes[o], sizes[i]))
-                    if ta[a] != tb[a]:
-                        ok &= own[o] != own[i]
+                    if ta[a] >= 0:
+                        ok &= main[o]
+                    else:
+                        if -1 - ta[a] != tb[a]:
+                            ok &= own[o] != own[i]
+                        if not best:  # once for both
+                            ok[: i - a] = False
                     if band:
                         ok &= (bands[o, :band] != bands[i, :band]).all(1)
                     at = np.flatnonzero(ok) + o.start
@@ -207,7 +222,7 @@ def cross_pairs(entries: DataFrame, n: int, percent: int, best: bool) -> DataFra
                 once = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["u", "v"])
 
-    return tiles(entries, ["key"]).select(columns).mapInArrow(run, "u long, v long").distinct()
+    return tiles(entries).select(columns).mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -217,7 +232,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     with nothing; rows with a null id are their own component and kept. Rows
     that repeat an id are one document. Other columns are not looked at.
     """
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = written(sketch(slim, n), "sketch")
     linked = every.where("doc_id IS NOT NULL AND n_shingles > 0")
     copies = written(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "copies")
@@ -237,9 +252,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     links = first
 
     def still_open() -> DataFrame:
-        label = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        keys = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        return label.join(keys, "key")
+        return buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
     tried = None
     while True:
@@ -251,7 +264,9 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
         tried = more if tried is None else tried.unionByName(more)
         links = links.unionByName(new)
         found = connected_components(links, "components")
-    rest = still_open().join(texts.withColumnRenamed("id", "doc_id"), "doc_id")
+    label = still_open()
+    keys = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    rest = label.join(keys, "key").join(texts.withColumnRenamed("id", "doc_id"), "doc_id")
     more = written(cross_pairs(rest, n, percent, False), "more")
     new = written(verified(more, texts, n, percent), "links")
     if not new.isEmpty():
