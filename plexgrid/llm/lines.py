@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import sliced, small_batches, texts_of, written
 
 LONG, LEAST = 25, 8
 
@@ -55,12 +55,12 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     all its lines is empty. Rows that repeat both id and text are treated as
     one document, so both keep what it keeps.
     """
-    docs = documents.drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string"))
+    docs = small_batches(documents).drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string"))
     # rows are told apart by id and text; ids may be null or repeat
     docs = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_row": F.xxhash64("doc_id", "text")})
 
     def find(batches):
-        for b in batches:
+        for b in sliced(batches):
             data, offsets = texts_of(b["text"])
             which, place, hashes = [], [], []
             for d, (p, q) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -81,7 +81,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 
     def pack(batches):
         tool = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in sliced(batches):
             texts = [None if t is None else tool.compress(t) for t in b["text"].cast(pa.binary()).to_pylist()]
             k = b.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(texts, pa.binary()), *b.columns[k + 1 :]], b.schema.names)
@@ -92,7 +92,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 
     def cut(batches):
         tool = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in sliced(batches):
             ids, rows, place, h, first, out = [], [], [], [], [], []
             for i, r, text, places in zip(b["_id"].to_pylist(), b["_row"].to_pylist(), b["text"], b["places"].to_pylist(), strict=True):
                 lines = tool.decompress(text.as_buffer()).split(b"\n") if text.is_valid else [b""]
@@ -103,19 +103,19 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
                             column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(place, pa.int32()), pa.array(h, pa.int64()), pa.array(first, pa.bool_()), pa.array(out, pa.binary())], ["_id", "_row", "place", "h", "is_first", "chunk"])
 
-    texts = as_packed(docs.select("_id", "_row", "text").where("text IS NOT NULL")).join(wanted, ["_id", "_row"])
+    texts = as_packed(docs.select("_id", "_row", "text").where("text IS NOT NULL")).join(wanted.hint("merge"), ["_id", "_row"])
     found = written(texts.mapInArrow(cut, "_id long, _row long, place int, h long, is_first boolean, chunk binary").dropDuplicates(["_id", "_row", "place"]), "candidates")
     firsts = found.where("is_first").select("h", F.col("chunk").alias("first_chunk"))
     same = found.where("NOT is_first").join(firsts, "h").where("chunk = first_chunk")
     removed = written(same.groupBy("_id", "_row").agg(F.collect_set("place").alias("places")), "removed")
 
     own = [c for c in docs.columns if c not in ("_id", "_row")]
-    back = as_packed(docs).join(removed, ["_id", "_row"], "left").select(*own, "places")
+    back = as_packed(docs).join(removed.hint("merge"), ["_id", "_row"], "left").select(*own, "places")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own] + ["n_lines int", "n_removed int"])
 
     def clean(batches):
         tool = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in sliced(batches):
             out, n_lines, n_removed = [], [], []
             for text, places in zip(b["text"], b["places"].to_pylist(), strict=True):
                 if not text.is_valid:
