@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_classes, shingle_hashes, texts_of, word_hashes, written
+from .common import blocks, byte_classes, shingle_hashes, small_batches, texts_of, word_hashes, written
 
 WORDS = 5
 COORDINATES = 64
@@ -144,7 +144,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     shingles). Null and empty items and texts match nothing; rows that repeat
     an item match alike. Null ids are kept as they are.
     """
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // BLOCK_CHARS))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, texts_of
+from .common import blocks, held_out, small_batches, texts_of
 
 SPAN, HIDDEN, AT_ONCE = 48, 8, 1024
 
@@ -209,7 +209,7 @@ def identify_language(documents: DataFrame, net: LanguageModel | None) -> DataFr
                 score = np.where(has, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    slim = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    slim = small_batches(documents).select("doc_id", F.col("text").cast("string").alias("text"))
     slim = slim.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     out = slim.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -25,14 +25,17 @@ import re
 import sys
 import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words remembered, and nodes of a trie, before either is begun anew.
-REMEMBERED, NODES = 700_000, 600_000
+from .common import small_batches
+
+#: Words remembered, nodes of a trie, pairs of pieces tried, before each is begun anew.
+REMEMBERED, NODES, PAIRS = 400_000, 400_000, 600_000
 BARRIER = -1
 _units = re.compile(r" *[^ \n]+|\n| +")
 
@@ -108,9 +111,9 @@ class Pieces:
         found = self.fits_known.get(key)
         if found is None:
             x, y = self.text[a], self.text[b]
+            if len(self.fits_known) > PAIRS:
+                self.fits_known.clear()
             found = self.fits_known[key] = self.merged(x + y) == [x, y]
-            if len(self.fits_known) > 2_000_000:
-                self.fits_known = {}
         return found
 
     def decode(self, ids: list[int]) -> str:
@@ -211,7 +214,8 @@ class SuffixEncoder:
                 else:
                     found.append(last[e])
                 e = s
-            out.append(np.array(found[::-1], "<u4").tobytes())
+            found.reverse()
+            out.append(array("I", found).tobytes())
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -224,7 +228,7 @@ class SuffixEncoder:
         for w in sorted({u[k] for u, at in zip(units, gaps, strict=True) for k in at}):
             part.append(w)
             size += len(w) + 1
-            if size > 1 << 19:  # half a megabyte at a time, or one longer word
+            if size > 1 << 18:  # 256 kB at a time, or one longer word
                 self.known.update(zip(part, self.encode_words(part), strict=True))
                 part, size = [], 0
         if part:
@@ -291,7 +295,7 @@ def kept_in_worker(kind: type, model: bytes):
 
 
 def _slim(documents: DataFrame) -> tuple[DataFrame, str]:
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    kind = small_batches(documents).schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), kind
 
 
@@ -310,8 +314,8 @@ def encode_decode(documents: DataFrame, model_path: str, with_ids: bool = True)
     def run(batches):
         tool = kept_in_worker(SuffixEncoder, cast.value)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 texts = part["text"].to_pylist()
                 packed = tool.encode(texts)
                 ids = [np.frombuffer(x, "<u4") for x in packed]
@@ -337,8 +341,8 @@ def token_counts(documents: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         tool = kept_in_worker(TrieCounter, cast.value)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(tool.counts(part["text"].to_pylist()))], ["doc_id", "n_tokens"])
 
     return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, texts_of
+from .common import blocks, held_out, small_batches, texts_of
 from .samples import labelled_texts
 
 STRIDE, PARTS, DIM, FILTERS = 8, 3, 6, 24
@@ -141,7 +141,7 @@ def score_quality(documents: DataFrame, net: ByteCnn, threshold: float = 0.3) ->
     ``score`` is in 0..1, ``predicted`` is 1 from ``threshold``. Rows are never
     dropped, repeated ids stay repeated.
     """
-    own = documents.drop("score", "predicted")
+    own = small_batches(documents).drop("score", "predicted")
     names = own.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields), "score double"])
 
@@ -156,7 +156,7 @@ def score_quality(documents: DataFrame, net: ByteCnn, threshold: float = 0.3) ->
 def quality_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Train, then (doc_id, held_out, score, predicted) of every document."""
     net = train_quality(documents, labels)
-    slim = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    slim = small_batches(documents).select("doc_id", F.col("text").cast("string").alias("text"))
     return drop_text(slim, net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small_batches
 
 END_ID = 1
 MASK_DELTA = np.uint32(0xA282EAD8)
@@ -231,7 +231,7 @@ def write_records(documents: DataFrame, tokenizer_path: str, folder: str, partit
     spark = documents.sparkSession
     spec = Path(tokenizer_path).read_text(encoding="utf-8")
     dtype = "<u2" if max(Tokenizer.from_str(spec).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spec_cast = spark.sparkContext.broadcast(spec)
 

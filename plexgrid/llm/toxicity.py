@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_classes, held_out, mix64, texts_of, word_hashes
+from .common import blocks, byte_classes, held_out, mix64, small_batches, texts_of, word_hashes
 from .samples import labelled_texts
 
 BITS = 20
@@ -107,7 +107,7 @@ def score_toxicity(documents: DataFrame, model: SparseModel, threshold: float =
             data, offsets = texts_of(b["text"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(score_texts(dense, bias, data, offsets))], ["doc_id", "score"])
 
-    out = documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    out = small_batches(documents).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
