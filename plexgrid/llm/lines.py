@@ -107,17 +107,17 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     found = written(texts.mapInArrow(cut, "_id long, _row long, place int, h long, is_first boolean, chunk binary").dropDuplicates(["_id", "_row", "place"]), "candidates")
     firsts = found.where("is_first").select("h", F.col("chunk").alias("first_chunk"))
     same = found.where("NOT is_first").join(firsts, "h").where("chunk = first_chunk")
-    removed = written(same.groupBy("_id", "_row").agg(F.collect_set("place").alias("places")), "removed")
+    removed = written(same.groupBy("_id", "_row").agg(F.collect_set("place").alias("_places")), "removed")
 
     own = [c for c in docs.columns if c not in ("_id", "_row")]
-    back = as_packed(docs).join(removed.hint("merge"), ["_id", "_row"], "left").select(*own, "places")
+    back = as_packed(docs).join(removed.hint("merge"), ["_id", "_row"], "left").select(*own, "_places")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own] + ["n_lines int", "n_removed int"])
 
     def clean(batches):
         tool = zstandard.ZstdDecompressor()
         for b in sliced(batches):
             out, n_lines, n_removed = [], [], []
-            for text, places in zip(b["text"], b["places"].to_pylist(), strict=True):
+            for text, places in zip(b["text"], b["_places"].to_pylist(), strict=True):
                 if not text.is_valid:
                     out.append(None)
                     n_lines.append(0)
