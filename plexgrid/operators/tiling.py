@@ -24,7 +24,8 @@ class Axis:
         self.n = patch_count(self.extent, width, overlap)
         if tight and self.n > 1 or tight and width > self.extent:
             width = (self.extent + (self.n - 1) * overlap) / self.n + 1e-4
-        self.width, self.step = width, width - overlap
+        # a single patch has no next one, and may be narrower than the overlap
+        self.width, self.step = width, width - overlap if self.n > 1 else max(width, 1e-9)
 
 
 def patches(spark: SparkSession, x: Axis, y: Axis) -> DataFrame:
