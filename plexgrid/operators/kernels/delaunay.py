@@ -65,17 +65,31 @@ def triangulate(points) -> list[tuple[int, int, int]]:
             return min(p[x], p[y]) < q < max(p[x], p[y])
         return _in_circle(p[x], p[y], p[z], q) > 0
 
+    def locate(q, x, y):
+        """The triangle, or the hull edge with the ghost, that q lies in: a walk from the triangle left of x, y."""
+        z = left[x, y]
+        if ghost in (x, y, z):
+            while z != ghost:
+                x, y, z = y, z, x
+            x, y = y, x
+            z = left[x, y]
+        while True:
+            for u, v in ((x, y), (y, z), (z, x)):
+                if _orient(p[u], p[v], q) < 0:
+                    w = left[v, u]
+                    if w == ghost:
+                        return v, u, ghost
+                    x, y, z = v, u, w
+                    break
+            else:
+                return x, y, z
+
+    recent = (a, b)
     for i in order:
         if i in (a, b, c):
             continue
         q = p[i]
-        bad = None
-        for (x, y), z in left.items():
-            if holds(x, y, z, q):
-                bad = (x, y, z)
-                break
-        if bad is None:
-            continue
+        bad = locate(q, *recent)
         hole, todo = set(), [bad]
         key = lambda t: frozenset(t)
         seen = {key(bad)}
@@ -97,4 +111,5 @@ def triangulate(points) -> list[tuple[int, int, int]]:
             left.pop(e, None)
         for u, v in rim:
             add(u, v, i)
+        recent = next(e for e in rim if ghost not in e)
     return sorted({tuple(sorted((x, y, z))) for (x, y), z in left.items() if ghost not in (x, y, z)})

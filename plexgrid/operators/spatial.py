@@ -30,6 +30,8 @@ def grid_size(shapes: DataFrame) -> tuple[float, int, int]:
         return 1.0, 0, 0
     base = 2.0 ** math.ceil(math.log2(r["low"]))
     top = max(0, math.ceil(math.log2(r["high"] / base)))
+    if top <= 2:  # sizes are alike: one level, so that points aren't repeated
+        return base * 2.0**top, 0, 0
     if top > MAX_LEVEL:
         base *= 2.0 ** (top - MAX_LEVEL)
         top = MAX_LEVEL
@@ -129,3 +131,19 @@ def overlap_ratio(left: DataFrame, right: DataFrame, exact: str = "box") -> Data
         whole = F.expr("(a.xmax - a.xmin) * (a.ymax - a.ymin)")
         return pairs.select(F.col("a.ord").alias("left_key"), F.col("b.ord").alias("right_key"), (G.box_intersection() / whole).alias("ratio"))
     return kernels.overlap_ratios(pairs)
+
+
+def dissolve_boxes(boxes: DataFrame, by: str) -> DataFrame:
+    """(by, area): the area of the union of each group's boxes, overlaps counted once.
+
+    Boxes are cut at all of their group's x borders; in each strip the covered
+    length is summed from runs of overlapping spans. No pairs are made.
+    """
+    from pyspark.sql import Window
+
+    edges = boxes.select(by, F.explode(F.array("xmin", "xmax")).alias("x")).groupBy(by).agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    cut = boxes.select(by, "xmin", "ymin", "xmax", "ymax").join(edges, by).withColumn("strip", F.explode(F.expr("filter(sequence(0, size(xs) - 2), i -> xs[i] >= xmin AND xs[i + 1] <= xmax)")))
+    cut = cut.select(by, "strip", (F.expr("xs[strip + 1]") - F.expr("xs[strip]")).alias("w"), "ymin", "ymax")
+    before = F.max("ymax").over(Window.partitionBy(by, "strip").orderBy("ymin", "ymax").rowsBetween(Window.unboundedPreceding, -1))
+    gain = F.greatest(F.lit(0.0), F.col("ymax") - F.greatest(F.col("ymin"), F.coalesce("before", "ymin")))
+    return cut.withColumn("before", before).groupBy(by).agg(F.sum(gain * F.col("w")).alias("area"))

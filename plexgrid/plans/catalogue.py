@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import stats as S
 from ..functions import text as T
+from ..functions.channels import channel_color
 from ..model import Affine
 from ..operators import aggregate as A
 from ..operators import annotate as N
@@ -118,6 +119,11 @@ def _(e):
     return hits.groupBy("ord", "gene").agg(F.count("*").alias("n"))
 
 
+@query("dissolve_boxes", sql("cells", "#u AS (SELECT DISTINCT c.ord % 7 AS g, CAST(gx.i AS DOUBLE) AS x, CAST(gy.i AS DOUBLE) AS y FROM cells c, range(-5, 60) gx(i), range(-5, 60) gy(i) WHERE gx.i >= c.xmin AND gx.i < c.xmax AND gy.i >= c.ymin AND gy.i < c.ymax) SELECT g, CAST(count(*) AS DOUBLE) AS area FROM u GROUP BY 1"))
+def _(e):
+    return spatial.dissolve_boxes(e.cells().withColumn("g", F.col("ord") % 7), "g")
+
+
 # bins, pixels, tables
 
 
@@ -275,6 +281,12 @@ def _(e):
     return p.select("p_partkey", "name", T.wavelength("_n").alias("wavelength"))
 
 
+@query("channel_colors", "SELECT p_partkey, CASE WHEN upper(p_name) = 'DAPI' THEN 'blue' ELSE list_element(['white', 'blue', 'green', 'yellow', 'red', 'magenta', 'cyan', 'orange'], CAST(p_partkey % 8 AS INT) + 1) END AS color FROM part WHERE NOT regexp_matches(p_name, '(^|[^0-9])[0-9]{3}([^0-9]|$)')")
+def _(e):
+    p = e.table("part").where(T.wavelength("p_name").isNull())
+    return p.select("p_partkey", channel_color("p_name", "p_partkey").alias("color"))
+
+
 # statistics
 
 

@@ -164,3 +164,27 @@ def report(cells: DataFrame, counts: DataFrame, n_cells: int) -> dict:
         except Exception as e:  # a report shows what can be had
             out[name] = f"failed: {type(e).__name__}"
     return out
+
+
+def report_html(figures: dict, title: str = "Quality report") -> str:
+    """The figures of ``report`` as a page."""
+    from html import escape
+
+    rows = "".join(f"<tr><th>{escape(k.replace('_', ' '))}</th><td>{escape(', '.join(map(str, v)) if isinstance(v, list) else str(v))}</td></tr>" for k, v in figures.items())
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table>{rows}</table></body></html>"
+
+
+def add_selection(data: Dataset, path: str, name: str = "selection", pixel_size: float = 0.2125) -> DataFrame:
+    """Polygons drawn in the viewer as a layer of shapes of ``data``."""
+    from .readers import selections
+
+    spark = next(df for own in data.elements.values() for df in own.values()).sparkSession
+    return data.add("shapes", name, selections(spark, path, pixel_size))
+
+
+def align(data: Dataset, image: str, matrix: list[list[float]], pixel_size: float = 0.2125) -> None:
+    """Places an image by the viewer's 3 x 3 matrix, from its pixels to those of the base image, and in microns."""
+    from ..model import Affine
+
+    to = Affine.from_array(matrix)
+    data.transforms[image] = {"global": to, "microns": to.then(Affine.scale(pixel_size))}

@@ -91,3 +91,21 @@ def test_command_line(spark, tmp_path, capsys):
     run("report")
     said = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert said[0]["polygons"] == 400 and said[-1]["n_cells"] == 400
+
+
+def test_small_helpers(spark, tmp_path):
+    from plexgrid.functions import channels
+    from plexgrid.model import Dataset
+    from plexgrid.sources import sinks
+
+    assert channels.best_level_for_objective(10, 40, [1, 2, 4, 8]) == (2, 1.0)
+    assert channels.nearest_objective(0.5) == 20 and channels.preset_for({"fov", "cell_ID", "target"}) == "cosmx"
+    df = spark.createDataFrame([("DAPI", 0), ("x 488", 1), ("y", 2)], "n string, k int")
+    assert [r["c"] for r in df.select(channels.channel_color("n", "k").alias("c")).collect()] == ["blue", "blue", "green"]
+    assert "<td>a, b</td>" in sinks.report_html({"low_count_genes": ["a", "b"]})
+    d = Dataset()
+    d.add("images", "i", df)
+    sinks.align(d, "i", [[1, 0, 10], [0, 1, 20], [0, 0, 1]])
+    assert d.transforms["i"]["global"].matrix == (1, 0, 10, 0, 1, 20)
+    (tmp_path / "s.csv").write_text("#a\n#b\nX,Y\n0,0\n1,0\n0,1\n")
+    assert sinks.add_selection(d, str(tmp_path / "s.csv")).count() == 1
