@@ -115,6 +115,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def byte_classes(separators: bytes, lower: bool = True) -> np.ndarray:
     """A table from byte to its code in a word, 0 for separators."""
     table = np.arange(256, dtype=np.uint8)
+    table[0] = 255  # which no UTF-8 text has
     if lower:
         table[65:91] += 32
     table[list(separators)] = 0

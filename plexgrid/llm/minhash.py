@@ -25,7 +25,7 @@ from .common import blocks, byte_classes, connected_components, shingle_hashes,
 
 ROWS, BANDS = 6, 32
 TILE = 512
-SPACES = byte_classes(b"\x20\x09\x0a\x0b\x0c\x0d\x00")
+SPACES = byte_classes(b"\x20\x09\x0a\x0b\x0c\x0d")
 
 
 def signatures(shingles: np.ndarray, offsets: np.ndarray, size: int = ROWS * BANDS) -> np.ndarray:

@@ -198,7 +198,7 @@ def test_near_duplicates_against_brute_force(spark, n):
             for _ in range(max(1, int(share * len(w)))):
                 w[r.randrange(len(w))] = f"new{r.random()}"
             texts.append(" ".join(w))
-    texts += [base[0], base[0].upper().replace(" ", "\t"), "one", "one", "Two words", "two  words"]
+    texts += [base[0], base[0].upper().replace(" ", "\t"), "one", "one", "Two words", "two  words", "nul\0in words", "nul in\0 words"]
     rows = list(enumerate(texts))
     want, sizes = components_by_brute_force(rows, n, 80)
     got = minhash.near_duplicates(docs(spark, texts), n, 80).collect()
