@@ -246,31 +246,21 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     first = written(verified(written(pairs, "pairs"), texts, n, percent), "links")
     found = connected_components(first, "components")
     # buckets of three or more whose members are still of several components:
-    # likeliest partners, as long as they join components, then all that is left
+    # likeliest partners first, which join most, then all pairs that are left
     buckets = entries.join(heads.where("size > 2").select("key", "size"), "key").join(once.select("doc_id", "low", "bands"), "doc_id")
     buckets = written(buckets, "buckets")
     links = first
-
-    def still_open() -> DataFrame:
-        return buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-    tried = None
-    while True:
-        more = cross_pairs(still_open(), n, percent, True)
-        more = written(more if tried is None else more.join(tried, ["u", "v"], "left_anti"), "more")
+    for best in (True, False):
+        label = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        label = written(label, "labelled")
+        if not best:
+            keys = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+            label = label.join(keys, "key").join(texts.withColumnRenamed("id", "doc_id"), "doc_id")
+        more = written(cross_pairs(label, n, percent, best), "more")
         new = written(verified(more, texts, n, percent), "links")
-        if new.isEmpty():
-            break
-        tried = more if tried is None else tried.unionByName(more)
-        links = links.unionByName(new)
-        found = connected_components(links, "components")
-    label = still_open()
-    keys = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rest = label.join(keys, "key").join(texts.withColumnRenamed("id", "doc_id"), "doc_id")
-    more = written(cross_pairs(rest, n, percent, False), "more")
-    new = written(verified(more, texts, n, percent), "links")
-    if not new.isEmpty():
-        found = connected_components(links.unionByName(new), "components")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = connected_components(links, "components")
     out = every.select("doc_id", "n_shingles", "d1", "d2").join(copies, ["d1", "d2"], "left").drop("d1", "d2")
     out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     out = out.join(found.withColumnRenamed("node", "rep"), "rep", "left")
