@@ -3,7 +3,8 @@
 A rolling hash over the hashes of the last two lines decides after which lines
 a chunk ends, so the same run of lines is cut alike wherever it stands. A line
 of ``LONG`` words or more is a chunk of its own, since it is a passage by
-itself. Chunks of several lines, and long lines, whose hash occurs more than
+itself, and a document of several lines is one chunk besides, so that copies go
+as a whole. Chunks of several lines, and long lines, whose hash occurs more than
 once in the corpus are candidates. A candidate is removed if its bytes equal
 those of the first occurrence, by (doc_id, place); the first occurrence stays.
 """
@@ -22,11 +23,16 @@ from pyspark.sql import functions as F
 from .common import sliced, small_batches, texts_of, written
 
 LONG, LEAST = 25, 8
+WHOLE = -1
 
 
-def chunks_of(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, line after the last) of each chunk that may be removed."""
-    out = []
+def chunks_of(lines: list[bytes]) -> dict[int, tuple[int, int]]:
+    """First line and line after the last of each chunk that may be removed, by its place.
+
+    The place is the first line, or WHOLE for the document as one chunk, which
+    is there if it has several lines that aren't one chunk already.
+    """
+    out = {}
     begin, words, before = 0, 0, 0
     n = len(lines)
     sizes = [x.count(b" ") + 1 if x else 0 for x in lines]
@@ -38,8 +44,10 @@ def chunks_of(lines: list[bytes]) -> list[tuple[int, int]]:
         long = sizes[i] >= LONG
         if long or i + 1 == n or sizes[i + 1] >= LONG or (rolling ^ rolling >> 15) * 0x2C1B3C6D >> 17 & 1:
             if long or (i > begin and words >= LEAST):
-                out.append((begin, i + 1))
+                out[begin] = (begin, i + 1)
             begin, words = i + 1, 0
+    if n > 1 and (0, n) not in out.values() and sum(sizes) >= LEAST:
+        out[WHOLE] = (0, n)
     return out
 
 
@@ -65,12 +73,12 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             which, place, hashes = [], [], []
             for d, (p, q) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 lines = _lines(data, p, q)
-                for x, y in chunks_of(lines):
+                for at, (x, y) in chunks_of(lines).items():
                     which.append(d)
-                    place.append(x)
+                    place.append(at)
                     hashes.append(blake2b(b"\n".join(lines[x:y]), digest_size=8).digest())
-            at = np.array(which, np.int64)
-            yield pa.RecordBatch.from_arrays([b["_id"].take(pa.array(at)), b["_row"].take(pa.array(at)), pa.array(place, pa.int32()), pa.array(np.frombuffer(b"".join(hashes), np.int64))], ["_id", "_row", "place", "h"])
+            rows = pa.array(np.array(which, np.int64))
+            yield pa.RecordBatch.from_arrays([b["_id"].take(rows), b["_row"].take(rows), pa.array(place, pa.int32()), pa.array(np.frombuffer(b"".join(hashes), np.int64))], ["_id", "_row", "place", "h"])
 
     chunks = written(docs.select("_id", "_row", "text").mapInArrow(find, "_id long, _row long, place int, h long"), "chunks")
     spot = F.struct("_id", "_row", "place")
@@ -96,10 +104,10 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             ids, rows, place, h, first, out = [], [], [], [], [], []
             for i, r, text, places in zip(b["_id"].to_pylist(), b["_row"].to_pylist(), b["text"], b["places"].to_pylist(), strict=True):
                 lines = tool.decompress(text.as_buffer()).split(b"\n") if text.is_valid else [b""]
-                ends = dict(chunks_of(lines))
+                spans = chunks_of(lines)
                 for x in places:
-                    if x["place"] in ends:
-                        for column, v in ((ids, i), (rows, r), (place, x["place"]), (h, x["h"]), (first, x["is_first"]), (out, b"\n".join(lines[x["place"] : ends[x["place"]]]))):
+                    if x["place"] in spans:
+                        for column, v in ((ids, i), (rows, r), (place, x["place"]), (h, x["h"]), (first, x["is_first"]), (out, b"\n".join(lines[slice(*spans[x["place"]])]))):
                             column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(place, pa.int32()), pa.array(h, pa.int64()), pa.array(first, pa.bool_()), pa.array(out, pa.binary())], ["_id", "_row", "place", "h", "is_first", "chunk"])
 
@@ -127,9 +135,9 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
                 lines = raw.split(b"\n") if raw else []
                 gone: set[int] = set()
                 if places:
-                    ends = dict(chunks_of(lines))
+                    spans = chunks_of(lines)
                     for p in places:
-                        gone.update(range(p, ends.get(p, p)))
+                        gone.update(range(*spans.get(p, (0, 0))))
                 out.append((b"\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else raw).decode())
                 n_lines.append(len(lines))
                 n_removed.append(len(gone))
