@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Words remembered, nodes of a trie, pairs of pieces tried, before each is begun anew.
-REMEMBERED, NODES, PAIRS = 400_000, 400_000, 600_000
+REMEMBERED, NODES, PAIRS = 900_000, 400_000, 600_000
 BARRIER = -1
 _units = re.compile(r" *[^ \n]+|\n| +")
 
@@ -134,6 +134,10 @@ class SuffixEncoder:
         self.above = np.array([k.encode().ljust(self.width, b"\xff") for k in order], f"S{self.width}")
         self.wanted_ids = np.array([pieces.ids[k] for k in order])
         self.lengths = np.array([len(k.encode()) for k in order])
+        # the first two and the last two bytes of each piece
+        pair = lambda b: b[0] << 8 | b[1] if len(b) > 1 else b[0] << 8
+        self.begins = np.array([pair(k.encode()) for k in order])
+        self.finishes = np.array([pair(k.encode()[-2:]) for k in order])
         self.known: dict[str, bytes] = {}
 
     def suffixes(self, data: np.ndarray) -> np.ndarray:
@@ -158,12 +162,18 @@ class SuffixEncoder:
         padded = np.concatenate([data, np.zeros(self.width, np.uint8)])
         windows = np.lib.stride_tricks.sliding_window_view(padded, self.width)[order]
         table = np.ascontiguousarray(windows).view(f"S{self.width}").ravel()
-        low, high = np.searchsorted(table, self.wanted), np.searchsorted(table, self.above, "right")
+        # pieces of which two neighbouring bytes don't occur need no search
+        there = np.zeros(1 << 16, bool)
+        there[data[:-1].astype(np.int64) << 8 | data[1:]] = True
+        there[np.unique(data).astype(np.int64) << 8] = True
+        some = np.flatnonzero(there[self.begins] & there[self.finishes])
+        low, high = np.searchsorted(table, self.wanted[some]), np.searchsorted(table, self.above[some], "right")
         counts = np.maximum(high - low, 0)
         at = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        start, which = order[at], np.repeat(np.arange(len(counts)), counts)
+        start, which = order[at], some[np.repeat(np.arange(len(counts)), counts)]
         end = start + self.lengths[which]
-        by = np.lexsort((start, end))
+        # by end, the longest first: two sorts of small keys in one
+        by = np.argsort(end << 6 | np.minimum(63, self.width - self.lengths[which]), kind="stable")
         return start[by], end[by], self.wanted_ids[which[by]]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
