@@ -75,9 +75,9 @@ def _(e):
     return spatial.assign_first(e.points(), e.cells(), POINT_ID, 0, exact=_box).select(*POINT_ID, "cell")
 
 
-@query("assign_transcript_to_cell_null", sql("points cells", f"SELECT {_ids}, min(c.ord) AS cell FROM points p LEFT JOIN cells c ON p.x BETWEEN c.xmin AND c.xmax AND p.y BETWEEN c.ymin AND c.ymax GROUP BY {_ids}"))
+@query("assign_transcript_to_cell_null", sql("points cells", f"SELECT {_ids}, CAST(min(c.ord) AS VARCHAR) AS cell FROM points p LEFT JOIN cells c ON p.x BETWEEN c.xmin AND c.xmax AND p.y BETWEEN c.ymin AND c.ymax GROUP BY {_ids}"))
 def _(e):
-    return spatial.assign_first(e.points(), e.cells(), POINT_ID, None, exact=_box).select(*POINT_ID, "cell")
+    return spatial.assign_first(e.points(), e.cells(), POINT_ID, None, exact=_box).select(*POINT_ID, F.col("cell").cast("string").alias("cell"))
 
 
 _overlap = "a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax"
@@ -88,14 +88,19 @@ def _(e):
     return spatial.sjoin(e.cells(), e.cells2(), "inner")
 
 
-@query("sjoin_left", sql("cells roi", f"SELECT a.ord AS left_key, b.roi AS right_key FROM cells a LEFT JOIN roi b ON {_overlap}"))
+def _as_text(df):
+    """Keys that may be null as text, which all engines show alike."""
+    return df.select(*(F.col(c).cast("string").alias(c) for c in df.columns))
+
+
+@query("sjoin_left", sql("cells roi", f"SELECT CAST(a.ord AS VARCHAR) AS left_key, CAST(b.roi AS VARCHAR) AS right_key FROM cells a LEFT JOIN roi b ON {_overlap}"))
 def _(e):
-    return spatial.sjoin(e.cells(), e.roi(), "left", right_key="roi")
+    return _as_text(spatial.sjoin(e.cells(), e.roi(), "left", right_key="roi"))
 
 
-@query("sjoin_right", sql("cells roi", f"SELECT a.ord AS left_key, b.roi AS right_key FROM cells a RIGHT JOIN roi b ON {_overlap}"))
+@query("sjoin_right", sql("cells roi", f"SELECT CAST(a.ord AS VARCHAR) AS left_key, CAST(b.roi AS VARCHAR) AS right_key FROM cells a RIGHT JOIN roi b ON {_overlap}"))
 def _(e):
-    return spatial.sjoin(e.cells(), e.roi(), "right", right_key="roi")
+    return _as_text(spatial.sjoin(e.cells(), e.roi(), "right", right_key="roi"))
 
 
 @query("sjoin_polygons", sql("diamonds", "SELECT a.ord AS left_key, b.ord AS right_key FROM diamonds a JOIN diamonds b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) <= a.r + b.r"))
