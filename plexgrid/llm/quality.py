@@ -157,10 +157,10 @@ def quality_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Train, then (doc_id, held_out, score, predicted) of every document."""
     net = train_quality(documents, labels)
     slim = small_batches(documents).select("doc_id", F.col("text").cast("string").alias("text"))
-    return drop_text(slim, net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return score_only(slim, net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def drop_text(slim: DataFrame, net: ByteCnn, threshold: float = 0.3) -> DataFrame:
+def score_only(slim: DataFrame, net: ByteCnn, threshold: float = 0.3) -> DataFrame:
     """As ``score_quality``, but texts don't go back to the JVM."""
 
     def run(batches):

@@ -216,6 +216,17 @@ def worker_encoder(spec: str, dtype: str) -> WordEncoder:
     return kept.encoder
 
 
+def put(fs: pafs.FileSystem, source: str, target: str) -> None:
+    """Renames, in place of what an earlier run of the task left; some file systems don't replace by themselves."""
+    try:
+        fs.move(source, target)
+    except OSError:
+        if fs.get_file_info(target).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(target)
+        fs.move(source, target)
+
+
 def write_records(documents: DataFrame, tokenizer_path: str, folder: str, partitions: int | None = None, end_id: int = END_ID):
     """Write all documents to ``folder``; the manifest rows (part, file, records, ids) in order.
 
@@ -260,7 +271,7 @@ def write_records(documents: DataFrame, tokenizer_path: str, folder: str, partit
                     records, ids, at = records + len(got), ids + int(rows[:, 2].sum()), at + int(sizes.sum())
         if records:
             for kind in ("rec", "idx"):
-                fs.move(f"{mine}.{kind}", f"{name}.{kind}")
+                put(fs, f"{mine}.{kind}", f"{name}.{kind}")
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"part-{part:06d}"], "records": [records], "ids": [ids]}, pa.schema([("part", pa.int32()), ("file", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]))
         else:
             for kind in ("rec", "idx"):
