@@ -20,7 +20,7 @@ def excluded(gene: str = "gene", pattern: str | None = EXCLUDED) -> Column:
 def gene_category(gene: str = "gene") -> Column:
     """``negative_control``, ``blank``, ``deprecated`` or ``gene``: the first that fits; null names are genes."""
     g = F.lower(F.col(gene))
-    return (
+    return (  # fixed values
         F.when(g.rlike("negcontrol|negprobe"), "negative_control")
         .when(g.contains("blank"), "blank")
         .when(g.rlike("systemcontrol|falsecode"), "deprecated")
