@@ -130,7 +130,7 @@ def prepare_network(distances: DataFrame, clip: float = 3.0) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame:
     """(node, component): the smallest node reachable. Labels jump along themselves, so rounds stay few."""
     label = _cut(nodes.select(F.col(key).alias("node"), F.col(key).alias("component")), "labels")
-    both = edges.select(F.col("src").alias("node"), "dst").unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("dst")))
+    both = _cut(edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("dst")), F.struct(F.col("dst").alias("node"), F.col("src").alias("dst")))).alias("e")).select("e.*"), "edges")
     while True:
         near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("node").agg(F.min("component").alias("m"))
         new = label.join(near, "node", "left").select("node", F.least("component", "m").alias("component"))
