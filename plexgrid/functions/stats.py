@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.storage import quantiles
+
 
 def log1p_tpm(df: DataFrame, by: str = "cell", value: str = "n", out: str = "log_tpm") -> DataFrame:
     """log(1 + parts per million of the row's total)."""
@@ -15,7 +17,7 @@ def log1p_tpm(df: DataFrame, by: str = "cell", value: str = "n", out: str = "log
 def normalize_log1p(df: DataFrame, by: str = "cell", value: str = "n", out: str = "value") -> DataFrame:
     """Counts scaled to the median total of cells that have counts, then log(1 + x)."""
     totals = df.groupBy(by).agg(F.sum(value).alias("_total")).where("_total > 0")
-    target = totals.agg(F.percentile("_total", 0.5).alias("_target"))
+    target = quantiles(totals, "_total", 0.5, out="_target")
     return df.join(totals, by).crossJoin(F.broadcast(target)).withColumn(out, F.log1p(F.col(value) / F.col("_total") * F.col("_target"))).drop("_total", "_target")
 
 
@@ -25,7 +27,7 @@ def fluorescence_scores(df: DataFrame, channel: str = "channel", value: str = "v
     The deviation is that of a sample. Statistics are taken by group and
     joined, so a channel's rows needn't meet in one task.
     """
-    q = df.groupBy(channel).agg((5 * F.percentile(value, 0.2)).alias("_d"), F.max(value).alias("_m"))
+    q = quantiles(df, value, 0.2, [channel], "_q").join(df.groupBy(channel).agg(F.max(value).alias("_m")), channel).withColumn("_d", 5 * F.col("_q"))
     q = q.select(channel, F.when(F.col("_d") == 0, F.col("_m")).otherwise(F.col("_d")).alias("_d"))
     turned = df.join(F.broadcast(q), channel).withColumn("_a", F.asinh(F.col(value) / F.col("_d")))
     stats = turned.groupBy(channel).agg(F.avg("_a").alias("_mean"), F.stddev_samp("_a").alias("_std"))
@@ -57,8 +59,11 @@ def hvg_dispersion(df: DataFrame, n_cells: int | Column, gene: str = "gene", val
 
 def clip_quantile_scale(df: DataFrame, channel: str = "c", value: str = "value", quantile: float | None = 0.99, out: str = "scaled") -> DataFrame:
     """Values over the channel's quantile (its maximum if none is given), clipped to 0..1, as integers 0..255."""
-    top = F.max(value) if quantile is None else F.percentile(value, quantile)
-    q = df.groupBy(channel).agg(top.cast("double").alias("_top"))
+    if quantile is None:
+        q = df.groupBy(channel).agg(F.max(value).cast("double").alias("_top"))
+    else:  # pixels have few distinct values: counts of each are enough
+        n = df.groupBy(channel, value).agg(F.count("*").alias("_n"))
+        q = n.groupBy(channel).agg(F.percentile(value, quantile, F.col("_n")).cast("double").alias("_top"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value) / F.col("_top")))
     return df.join(F.broadcast(q), channel).withColumn(out, F.floor(F.coalesce(share, F.lit(0.0)) * 255).cast("int")).drop("_top")
 
@@ -86,7 +91,7 @@ def otsu_threshold(df: DataFrame, value: str = "value", by: list[str] | None = N
 
 def hard_labels(df: DataFrame, cell: str = "cell", label: str = "label", value: str = "value", order: str = "pos") -> DataFrame:
     """Scores clipped at each label's 0.95 quantile and scaled to 0..1 by label, then the highest label of each cell."""
-    q = df.groupBy(label).agg(F.percentile(value, 0.95).alias("_q"), F.min(value).alias("_min"))
+    q = quantiles(df, value, 0.95, [label], "_q").join(df.groupBy(label).agg(F.min(value).alias("_min")), label)
     x = df.join(F.broadcast(q), label).withColumn("_x", F.least(value, "_q"))
     x = x.withColumn("_s", F.when(F.col("_q") > F.col("_min"), (F.col("_x") - F.col("_min")) / (F.col("_q") - F.col("_min"))).otherwise(F.lit(0.0)))
     return highest(x, [cell], "_s", label, order, label).withColumnRenamed("_s", "score")

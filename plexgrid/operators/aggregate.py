@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..functions.stats import log1p_tpm
 from . import spatial
+from .storage import ordinals, quantiles
 
 
 def kept_points(points: DataFrame, gene: str = "gene", pattern: str | None = T.EXCLUDED, only_excluded: bool = False, low_quality: str = "low_quality_transcript") -> DataFrame:
@@ -133,7 +134,7 @@ def filter_flags(cells: DataFrame, counts: DataFrame | None = None, min_transcri
         ok &= F.coalesce("_total", F.lit(0)) >= min_transcripts
     if intensities is not None and min_intensity_ratio:
         means = cells.select("ord").join(intensities.groupBy("ord").agg(F.avg("value").alias("_mean")), "ord", "left").withColumn("_mean", F.coalesce("_mean", F.lit(0.0)))
-        top = means.agg(F.percentile("_mean", 0.9).alias("_top"))
+        top = quantiles(means, "_mean", 0.9, out="_top")
         out = out.join(means, "ord").crossJoin(F.broadcast(top))
         ok &= F.col("_mean") >= min_intensity_ratio * F.col("_top")
     return out.select("ord", ok.alias("passes_filtering"))
@@ -203,22 +204,6 @@ def overlay_segmentation(old: DataFrame, new: DataFrame, points: DataFrame | Non
     return out
 
 
-def ordinals(df: DataFrame, order: list[str], out: str = "new_ord", partitions: int | None = None) -> DataFrame:
-    """``df`` numbered from 0 in the given order without bringing all rows into one task.
-
-    Rows are dealt out by range, numbered in their partition, and shifted by
-    the sizes of the partitions before.
-    """
-    from pyspark.sql import Window
-
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return within.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(out, (F.col("_row") + F.col("_before")).cast("long")).drop("_part", "_row", "_before")
-
-
 def low_count_genes(counts: DataFrame, n_cells: int, below: float = 0.01, most: int = 50) -> DataFrame:
     """Genes whose mean count over all cells is low, the first ``most`` by name."""
     mean = counts.groupBy("gene").agg((F.sum("n") / n_cells).alias("mean_count"))

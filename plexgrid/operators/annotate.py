@@ -78,13 +78,13 @@ def propagate_labels(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> Da
 
     A substitute for community detection that needs a graph library; ties go to the smallest label.
     """
-    from .graph import _cut
+    from .storage import written
 
     label = nodes.select("node", F.col("node").alias("cluster"))
     for _ in range(rounds):
         votes = edges.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "cluster").agg(F.count("*").alias("v"))
         best = votes.groupBy("node").agg(F.max(F.struct("v", (-F.col("cluster")).alias("c"))).alias("b")).select("node", (-F.col("b.c")).alias("new"))
-        new = _cut(label.join(best, "node", "left").select("node", F.coalesce("new", "cluster").alias("cluster")), "labels")
+        new = written(label.join(best, "node", "left").select("node", F.coalesce("new", "cluster").alias("cluster")), "labels")
         same = new.join(label.withColumnRenamed("cluster", "before"), "node").where("cluster <> before").isEmpty()
         label = new
         if same:

@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels.delaunay import triangulate
-
-
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir and read again, so lineage doesn't grow with rounds."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:  # only where no cluster names a folder, as in tests
-        base = tempfile.mkdtemp(prefix="plexgrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .storage import quantiles, written
 
 
 def delaunay(nodes: DataFrame, library: str = "lib") -> DataFrame:
@@ -60,7 +46,7 @@ def pruned(edges: DataFrame, radius: tuple[float, float] | float | None = None,
         low, high = radius if isinstance(radius, tuple) else (0.0, radius)
         out = out.where(f"dist BETWEEN {low}D AND {high}D")
     if percentile is not None:
-        q = edges.groupBy(library).agg(F.percentile("dist", percentile / 100).alias("_q"))
+        q = quantiles(edges, "dist", percentile / 100, [library], "_q")
         out = out.join(F.broadcast(q), library).where("dist <= _q").drop("_q")
     return out
 
@@ -89,7 +75,7 @@ def cells_to_groups(nodes: DataFrame, edges: DataFrame, group: str, ignore_zeros
         hop += 1
         step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node"), "grp").distinct()
         seen = done.where("hops > 0") if ignore_zeros else done
-        front = _cut(step.join(seen.select("node", "grp"), ["node", "grp"], "left_anti").withColumn("hops", F.lit(hop)), "front")
+        front = written(step.join(seen.select("node", "grp"), ["node", "grp"], "left_anti").withColumn("hops", F.lit(hop)), "front")
         if front.isEmpty():
             break
         done = done.unionByName(front)
@@ -129,13 +115,13 @@ def prepare_network(distances: DataFrame, clip: float = 3.0) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame:
     """(node, component): the smallest node reachable. Labels jump along themselves, so rounds stay few."""
-    label = _cut(nodes.select(F.col(key).alias("node"), F.col(key).alias("component")), "labels")
-    both = _cut(edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("dst")), F.struct(F.col("dst").alias("node"), F.col("src").alias("dst")))).alias("e")).select("e.*"), "edges")
+    label = written(nodes.select(F.col(key).alias("node"), F.col(key).alias("component")), "labels")
+    both = written(edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("dst")), F.struct(F.col("dst").alias("node"), F.col("src").alias("dst")))).alias("e")).select("e.*"), "edges")
     while True:
         near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("node").agg(F.min("component").alias("m"))
         new = label.join(near, "node", "left").select("node", F.least("component", "m").alias("component"))
         up = new.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = _cut(new.join(up, "component", "left").select("node", F.least("component", "up").alias("component")), "labels")
+        new = written(new.join(up, "component", "left").select("node", F.least("component", "up").alias("component")), "labels")
         moved = new.join(label.withColumnRenamed("component", "before"), "node").where("component <> before").isEmpty()
         label = new
         if moved:

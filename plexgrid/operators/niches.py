@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _cut, components
+from .graph import components
+from .storage import written
 
 
 def niche_triangles(triangles: DataFrame, nodes: DataFrame, edges: DataFrame, niche: str = "niche", library: str = "lib") -> DataFrame:
@@ -24,7 +25,7 @@ def niche_triangles(triangles: DataFrame, nodes: DataFrame, edges: DataFrame, ni
 def niche_components(tri: DataFrame, library: str = "lib") -> DataFrame:
     """Triangles with ``component``: those that share an edge are in one; its name is the smallest triangle number."""
     key = F.xxhash64("a", "b", "c")
-    t = _cut(tri.drop("tri").withColumn("tri", key), "triangles")
+    t = written(tri.drop("tri").withColumn("tri", key), "triangles")
     sides = F.explode(F.array(*(F.struct(F.col(p).alias("u"), F.col(q).alias("v")) for p, q in ("ab", "ac", "bc"))))
     e = t.select(library, "tri", sides.alias("e")).select(library, "tri", "e.u", "e.v")
     # at most two triangles share an edge

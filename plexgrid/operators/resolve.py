@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spatial
-from .aggregate import count_transcripts, ordinals
+from .aggregate import count_transcripts
 from .graph import components
 from .kernels.polygons import clip_area, convex_hull, signed_area
+from .storage import ordinals
 
 SHAPE = ["xs", "ys", "xmin", "ymin", "xmax", "ymax"]
 

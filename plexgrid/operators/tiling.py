@@ -69,7 +69,7 @@ def valid_patches(assigned: DataFrame, min_points: int, cells: DataFrame | None
 
 def patches_in_roi(tiles: DataFrame, roi: DataFrame) -> DataFrame:
     """Patches cut to the boxes of ``roi``, without those outside, numbered anew; one row for each box met."""
-    from .aggregate import ordinals
+    from .storage import ordinals
     from .spatial import shape_pairs
 
     need = ["xmin", "ymin", "xmax", "ymax"]
@@ -84,7 +84,7 @@ def recode_unassigned(df: DataFrame, column: str, unassigned, out: str = "prior"
     kind = dict(df.dtypes)[column]
     if kind == "string":
         names = df.where(F.col(column).isNotNull() & (F.col(column) != unassigned)).select(column).distinct()
-        from .aggregate import ordinals
+        from .storage import ordinals
 
         codes = ordinals(names, [column], "_code")
         coded = df.join(codes, column, "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..model import Dataset
-from ..operators.aggregate import ordinals
+from ..operators.storage import ordinals
 
 LETTERS = "bciotm"
 
