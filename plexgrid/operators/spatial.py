@@ -124,6 +124,13 @@ def sjoin(left: DataFrame, right: DataFrame, how: str = "inner", exact: str = "b
     raise ValueError(f"how: {how!r}")
 
 
+def first_shape(left: DataFrame, right: DataFrame, exact: str = "box", unassigned: int = 0) -> DataFrame:
+    """(left_key, cell): the first right shape that each left one meets, counted from ``unassigned`` + 1; else ``unassigned``."""
+    first = sjoin(left, right, "inner", exact).groupBy("left_key").agg(F.min("right_key").alias("cell"))
+    out = left.select(F.col("ord").alias("left_key")).join(first, "left_key", "left")
+    return out.withColumn("cell", F.coalesce(F.col("cell") + 1 + unassigned, F.lit(unassigned)).cast("long"))
+
+
 def overlap_ratio(left: DataFrame, right: DataFrame, exact: str = "box") -> DataFrame:
     """(left key, right key, ratio): the share of the left shape's area that each right shape covers."""
     pairs = shape_pairs(left, right, exact)

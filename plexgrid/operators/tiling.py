@@ -136,3 +136,18 @@ def padded_region(pixels: DataFrame, x0: int, y0: int, width: int, height: int)
     channels = pixels.select("c").distinct()
     inside = pixels.where(f"x >= {x0} AND x < {x0 + width} AND y >= {y0} AND y < {y0 + height}")
     return grid.crossJoin(channels).join(inside, ["c", "y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+
+
+def patch_centroids(tiles: DataFrame) -> DataFrame:
+    """(patch_id, x, y): the middle of each patch's box, whatever a region has cut from it."""
+    return tiles.select("patch_id", ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"))
+
+
+def prior_centroids(cells: DataFrame) -> DataFrame:
+    """(cell, x, y, z): centres of prior cells, numbered from 1 in order, z being 0."""
+    from ..functions import geometry as G
+    from .storage import ordinals
+
+    cx, cy = G.centroid()
+    c = ordinals(cells.select("ord", cx.alias("x"), cy.alias("y")), ["ord"], "cell")
+    return c.select((F.col("cell") + 1).alias("cell"), "x", "y", F.lit(0.0).alias("z"))

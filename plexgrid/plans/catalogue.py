@@ -436,6 +436,23 @@ def _(e):
     return tiling.padded_region(e.image(), 40, 40, 20, 20)
 
 
+@query("patch_centroids", "SELECT CAST(i AS BIGINT) AS patch_id, CAST((i % 3) * 200 + 150 AS DOUBLE) AS x, CAST((i // 3) * 200 + 150 AS DOUBLE) AS y FROM range(9) t(i)")
+def _(e):
+    return tiling.patch_centroids(tiling.image_patches(e.spark, 512, 512, 300, 100))
+
+
+@query("prior_centroids", sql("diamonds", "SELECT row_number() OVER (ORDER BY ord) AS cell, round(cx, 6) AS x, round(cy, 6) AS y, CAST(0 AS DOUBLE) AS z FROM diamonds"))
+def _(e):
+    return tiling.prior_centroids(e.diamonds()).withColumns({c: F.round(c, 6) for c in "xy"})
+
+
+@query("bins_to_prior", sql("bins cells", "SELECT CAST(b.bin_id AS BIGINT) AS left_key, CAST(coalesce(min(c.ord) + 1, 0) AS BIGINT) AS cell FROM bins b LEFT JOIN cells c ON b.x - 0.5 <= c.xmax AND c.xmin <= b.x + 0.5 AND b.y - 0.5 <= c.ymax AND c.ymin <= b.y + 0.5 GROUP BY 1"))
+def _(e):
+    half = lambda c, by: (F.col(c) + by).alias(("xmin" if by < 0 else "xmax") if c == "x" else ("ymin" if by < 0 else "ymax"))
+    squares = e.bins().select(F.col("bin_id").cast("long").alias("ord"), half("x", -0.5), half("x", 0.5), half("y", -0.5), half("y", 0.5))
+    return spatial.first_shape(squares, e.cells())
+
+
 # conflicts
 
 
