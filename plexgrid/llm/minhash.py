@@ -229,8 +229,9 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     """(doc_id, n_shingles, component_id, kept) of every row of ``documents`` (doc_id, text, ...).
 
     Null and empty texts and texts without a word have no shingles and link
-    with nothing; rows with a null id are their own component and kept. Rows
-    that repeat an id are one document. Other columns are not looked at.
+    with nothing; rows with a null id are their own component and kept. Ids are
+    meant to be unique; rows that repeat both id and text get the same result.
+    Other columns are not looked at.
     """
     slim = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = written(sketch(slim, n), "sketch")
