@@ -7,6 +7,7 @@ works on whole batches. A null text is treated as an empty one.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,8 +61,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
+def free_kept() -> None:
+    """Lets go of what a tokenizer's earlier task kept in this Python worker; other operators need the memory."""
+    sys.modules.pop("_plexgrid_kept", None)
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and 64-bit offsets of a string column, nulls being empty."""
+    free_kept()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -72,6 +79,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that lists made from them stay small."""
+    free_kept()
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)

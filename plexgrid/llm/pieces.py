@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Words remembered, nodes of a trie, pairs of pieces tried, before each is begun anew.
-REMEMBERED, NODES, PAIRS = 900_000, 400_000, 600_000
+REMEMBERED, NODES, PAIRS = 600_000, 300_000, 500_000
 BARRIER = -1
 _units = re.compile(r" *[^ \n]+|\n| +")
 
@@ -238,7 +238,7 @@ class SuffixEncoder:
         for w in sorted({u[k] for u, at in zip(units, gaps, strict=True) for k in at}):
             part.append(w)
             size += len(w) + 1
-            if size > 1 << 18:  # 256 kB at a time, or one longer word
+            if size > 1 << 17:  # 128 kB at a time, or one longer word
                 self.known.update(zip(part, self.encode_words(part), strict=True))
                 part, size = [], 0
         if part:
