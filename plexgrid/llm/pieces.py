@@ -57,6 +57,14 @@ def looked_up(texts: list[str], known: dict) -> tuple[list[list[str]], list[list
     return units, found, [[k for k, x in enumerate(v) if x is None] if None in v else () for v in found]
 
 
+def pruned(known: dict, most: int) -> dict:
+    """``known`` within its bound: when it is full only short words stay, which come again most."""
+    if len(known) <= most:
+        return known
+    short = {w: v for w, v in known.items() if len(w) <= 8}
+    return short if 2 * len(short) <= most else {}
+
+
 def fill(units, found, gaps, known) -> None:
     for u, v, at in zip(units, found, gaps, strict=True):
         for k in at:
@@ -230,8 +238,7 @@ class SuffixEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        self.known = pruned(self.known, REMEMBERED)
         units, found, gaps = looked_up(texts, self.known)
         part: list[str] = []
         size = 0
@@ -284,8 +291,7 @@ class TrieCounter:
         return self.count[node]
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        self.known = pruned(self.known, REMEMBERED)
         units, found, gaps = looked_up(texts, self.known)
         for w in sorted({u[k] for u, at in zip(units, gaps, strict=True) for k in at}):
             if len(self.last) > NODES:
