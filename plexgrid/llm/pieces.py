@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Words remembered, nodes of a trie, pairs of pieces tried, before each is begun anew.
-REMEMBERED, NODES, PAIRS = 600_000, 300_000, 500_000
+REMEMBERED, NODES, PAIRS = 800_000, 400_000, 500_000
 BARRIER = -1
 _units = re.compile(r" *[^ \n]+|\n| +")
 
@@ -212,15 +212,18 @@ class SuffixEncoder:
             by = np.lexsort((start, end))
             start, end, ids = start[by], end[by], ids[by]
         known, size, fits = p.fits_known, p.size, p.fits
-        for s, e, t in zip(start.tolist(), end.tolist(), ids.tolist(), strict=True):
-            a = last[s]
-            if a == -2 or last[e] != -2:
-                continue
-            if a < 0 or t < 0:
-                last[e], before[e] = t, s
-                continue
-            good = known.get(a * size + t)
-            if good or good is None and fits(a, t):
+        for at in range(0, len(start), 1 << 16):  # lists of numbers take much room
+            part = slice(at, at + (1 << 16))
+            for s, e, t in zip(start[part].tolist(), end[part].tolist(), ids[part].tolist(), strict=True):
+                if last[e] != -2:
+                    continue
+                a = last[s]
+                if a >= 0 and t >= 0:
+                    good = known.get(a * size + t)
+                    if not good and (good is False or not fits(a, t)):
+                        continue
+                elif a == -2:
+                    continue
                 last[e], before[e] = t, s
         out = []
         for r, b in zip(raws, begins, strict=True):
@@ -245,7 +248,7 @@ class SuffixEncoder:
         for w in sorted({u[k] for u, at in zip(units, gaps, strict=True) for k in at}):
             part.append(w)
             size += len(w) + 1
-            if size > 1 << 17:  # 128 kB at a time, or one longer word
+            if size > 1 << 18:  # 256 kB at a time, or one longer word
                 self.known.update(zip(part, self.encode_words(part), strict=True))
                 part, size = [], 0
         if part:
