@@ -4,9 +4,14 @@ A rolling hash over the hashes of the last two lines decides after which lines
 a chunk ends, so the same run of lines is cut alike wherever it stands. A line
 of ``LONG`` words or more is a chunk of its own, since it is a passage by
 itself, and a document of several lines is one chunk besides, so that copies go
-as a whole. Chunks of several lines, and long lines, whose hash occurs more than
-once in the corpus are candidates. A candidate is removed if its bytes equal
-those of the first occurrence, by (doc_id, place); the first occurrence stays.
+as a whole. So that a passage goes whatever its lines and surroundings are, the
+shortest runs of ``LONG`` words from each line on and up to each line are chunks
+too: every line of a repeated run of ``LONG`` words or more, from its first line
+with words to its last, lies in such a chunk that doesn't reach beyond the run.
+Chunks of several lines, and long lines,
+whose hash occurs more than once in the corpus are candidates. A candidate is
+removed if its bytes equal those of the first occurrence, by (doc_id, place);
+the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ WHOLE = -1
 def chunks_of(lines: list[bytes]) -> dict[int, tuple[int, int]]:
     """First line and line after the last of each chunk that may be removed, by its place.
 
-    The place is the first line, or WHOLE for the document as one chunk, which
-    is there if it has several lines that aren't one chunk already.
+    Places follow the order of (first line, end); WHOLE is the document as one
+    chunk, which is there if it has several lines that aren't one chunk already.
+    A chunk that overlaps its own first occurrence in the document isn't one.
     """
-    out = {}
+    spans = set()
     begin, words, before = 0, 0, 0
     n = len(lines)
     sizes = [x.count(b" ") + 1 if x else 0 for x in lines]
@@ -44,13 +50,46 @@ def chunks_of(lines: list[bytes]) -> dict[int, tuple[int, int]]:
         long = sizes[i] >= LONG
         if long or i + 1 == n or sizes[i + 1] >= LONG or (rolling ^ rolling >> 15) * 0x2C1B3C6D >> 17 & 1:
             if long or (i > begin and words >= LEAST):
-                out[begin] = (begin, i + 1)
+                spans.add((begin, i + 1))
             begin, words = i + 1, 0
-    if n > 1 and (0, n) not in out.values() and sum(sizes) >= LEAST:
+    full = [i for i in range(n) if sizes[i]]
+    at, words, before = 0, 0, -1
+    for i in full:
+        words += sizes[i]
+        while words >= LONG:
+            spans.add((full[at], i + 1))  # the shortest from its first line on
+            words -= sizes[full[at]]
+            at += 1
+        if at:
+            spans.add((full[at - 1], i + 1))  # the shortest up to its last line
+            if 0 <= before < i - 1:
+                spans.add((min(full[at - 1], before), i + 1))  # and with the empty lines before that
+        before = i
+    ordered = sorted(spans)
+    if len(set(lines)) < n:
+        first: dict[tuple[bytes, ...], int] = {}
+        ordered = [(x, y) for x, y in ordered if (at := first.setdefault(tuple(lines[x:y]), x)) == x or x >= at + y - x]
+    out = dict(enumerate(ordered))
+    if n > 1 and (0, n) not in spans and sum(sizes) >= LEAST:
         out[WHOLE] = (0, n)
     return out
 
 
+def cover(spans: dict[int, tuple[int, int]]) -> list[int]:
+    """Places of few chunks that hold the same lines as all of ``spans``."""
+    out: list[int] = []
+    end, best, reach = 0, None, 0
+    for place, (x, y) in sorted(spans.items(), key=lambda s: s[1]):
+        if x > end and best is not None:
+            out.append(best)
+            end, best = reach, None
+        if x > end:
+            end = x
+        if y > max(end, reach if best is not None else end):
+            best, reach = place, y
+    return out if best is None else [*out, best]
+
+
 def _lines(data: np.ndarray, p: int, q: int) -> list[bytes]:
     return data[p:q].tobytes().split(b"\n")
 
@@ -105,8 +144,10 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             for i, r, text, places in zip(b["_id"].to_pylist(), b["_row"].to_pylist(), b["text"], b["places"].to_pylist(), strict=True):
                 lines = tool.decompress(text.as_buffer()).split(b"\n") if text.is_valid else [b""]
                 spans = chunks_of(lines)
+                # of repeats, those that together hold all repeated lines
+                again = set(cover({x["place"]: spans[x["place"]] for x in places if not x["is_first"] and x["place"] in spans}))
                 for x in places:
-                    if x["place"] in spans:
+                    if x["place"] in again or x["is_first"] and x["place"] in spans:
                         for column, v in ((ids, i), (rows, r), (place, x["place"]), (h, x["h"]), (first, x["is_first"]), (out, b"\n".join(lines[slice(*spans[x["place"]])]))):
                             column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(place, pa.int32()), pa.array(h, pa.int64()), pa.array(first, pa.bool_()), pa.array(out, pa.binary())], ["_id", "_row", "place", "h", "is_first", "chunk"])

@@ -152,6 +152,52 @@ def test_lines_shift_resistant():
     assert len(a & b) >= len(a) - 2
 
 
+def runs_by_brute_force(texts, least=25):
+    """Lines of each text in a run of ``least`` words that an earlier text has, from line to line with words."""
+    seen, out = set(), []
+    for t in texts:
+        ls = t.split("\n")
+        full = [k for k, x in enumerate(ls) if x]
+        runs = [(a, b) for a in full for b in full if b >= a and sum(len(x.split()) for x in ls[a : b + 1]) >= least]
+        out.append({k for a, b in runs if tuple(ls[a : b + 1]) in seen for k in range(a, b + 1)})
+        seen |= {tuple(ls[a : b + 1]) for a, b in runs}
+    return out
+
+
+def test_lines_of_wrapped_passages(spark):
+    r = random.Random(7)
+    fresh = iter(range(10**9))
+    line = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n))
+    around = lambda: [line(r.randint(1, 14)) for _ in range(r.randint(1, 6))]
+    shapes = [[24] * 2, [20] * 3, [12] * 5, [10] * 6, [12] * 10, [12] * 20, [1] * 60, [20, 20, 1, 1], [30, 0, 0, 40], [3, 0] * 20 + [3]]
+    shapes += [[5] + [r.choice([0, 1, 5, 12, 24, 40]) for _ in range(r.randint(3, 12))] + [26] for _ in range(20)]
+    texts = []
+    for shape in shapes:
+        passage = [line(n) if n else "" for n in shape]
+        texts += ["\n".join(around() + passage + around()) for _ in range(3)]
+    want = runs_by_brute_force(texts)
+    got = {x["doc_id"]: x for x in lines.dedup_lines(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["text"] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i])
+        assert got[i]["n_removed"] == len(want[i]) and bool(want[i]) == (i % 3 > 0)
+
+
+def test_lines_that_repeat_within_a_document(spark):
+    rounds = [f"{a} one two three four" for a in "abc"] * 40
+    texts = ["\n".join(["\n" * 20_000, *rounds, "end"])]
+    out = lines.dedup_lines(docs(spark, texts)).first()
+    left = [x for x in out["text"].split("\n") if x]
+    assert left[:5] == rounds[:5] and left[-1] == "end" and len(left) < 20
+
+
+def test_cover_holds_the_same_lines():
+    r = random.Random(0)
+    for _ in range(500):
+        spans = {k: (a, a + r.randint(1, 6)) for k, a in enumerate(r.randint(0, 20) for _ in range(r.randint(0, 10)))}
+        held = lambda places, spans=spans: {k for p in places for k in range(*spans[p])}
+        assert held(lines.cover(spans)) == held(spans)
+
+
 def test_lines_on_odd_input(spark):
     out = {r["doc_id"]: r for r in lines.dedup_lines(docs(spark, ODD)).collect()}
     assert out[0]["text"] is None and out[0]["n_lines"] == 0 and out[1]["text"] == ""
