@@ -56,6 +56,7 @@ def _array(pdf, channels):
     h, w = int(np.ceil(pdf["ymax"].iloc[0])) - y0, int(np.ceil(pdf["xmax"].iloc[0])) - x0
     out = np.zeros((len(channels), h, w), float)
     index = {c: i for i, c in enumerate(channels)}
+    pdf = pdf[pdf["c"].notna()]
     out[pdf["c"].map(index).to_numpy(int), pdf["y"].to_numpy(int) - y0, pdf["x"].to_numpy(int) - x0] = pdf["value"].to_numpy(float)
     return out, x0, y0
 
@@ -85,7 +86,7 @@ def segment(pixels: DataFrame, patches: DataFrame, method: Callable | str, chann
 
 
 def embed_tiles(pixels: DataFrame, patches: DataFrame, model: Callable | str, channels: list[str], levels: float = 255.0) -> DataFrame:
-    """(patch_id, embedding) of each tile; values are divided by ``levels``, missing pixels are 0."""
+    """(patch_id, embedding) of each tile, one without pixels included; values are divided by ``levels``, missing pixels are 0."""
     run_model = MODELS[model] if isinstance(model, str) else model
 
     def run(pdf):
@@ -97,7 +98,8 @@ def embed_tiles(pixels: DataFrame, patches: DataFrame, model: Callable | str, ch
             raise ValueError("a model must return one vector for each tile")
         return pd.DataFrame({"patch_id": [int(pdf["patch_id"].iloc[0])], "embedding": [v[0].astype(float).tolist()]})
 
-    wanted = patch_pixels(pixels.where(F.col("c").isin(channels)), patches)
+    box = ["xmin", "ymin", "xmax", "ymax"]
+    wanted = patches.select("patch_id", *box).join(patch_pixels(pixels.where(F.col("c").isin(channels)), patches).drop(*box), "patch_id", "left")
     return wanted.groupBy("patch_id").applyInPandas(run, "patch_id long, embedding array<double>")
 
 

@@ -642,6 +642,13 @@ def _(e):
     return staining.embed_first_pixel(e.image(), tiling.image_patches(e.spark, 50, 50, 13))
 
 
+@query("embed_tiles_model")
+def _(e):
+    channels = ["F", "O"]
+    t = staining.embed_tiles(e.image(), tiling.image_patches(e.spark, 50, 50, 13), "dummy", channels)
+    return t.select("patch_id", F.posexplode("embedding").alias("k", "value")).select("patch_id", F.array(*map(F.lit, channels))[F.col("k")].alias("c"), "value")
+
+
 @query("segment_patches")
 def _(e):
     s = staining.segment(e.image(), tiling.image_patches(e.spark, 50, 50, 30), "dummy", ["F", "O"])

@@ -245,6 +245,13 @@ def test_segmentation_by_patch(spark):
     assert {r["patch_id"]: r["embedding"][0] for r in e.collect()}[0] == 0.0
 
 
+def test_tiles_without_pixels(spark):
+    pixels = spark.createDataFrame([("a", 1, 0, 51), ("b", 9, 9, 255), ("z", 2, 2, 9)], "c string, y int, x int, value int")
+    whole = lambda batch: batch.sum(axis=(2, 3))
+    out = staining.embed_tiles(pixels, tiling.image_patches(spark, 10, 10, 4), whole, ["a", "b"]).collect()
+    assert {r["patch_id"]: list(r["embedding"]) for r in out} == {k: {0: [0.2, 0.0], 8: [0.0, 1.0]}.get(k, [0.0, 0.0]) for k in range(9)}
+
+
 def test_readers_and_sinks(spark, tmp_path):
     d = readers.toy(spark, side=3, per_cell=5)
     _, points = d.get("points", role="transcripts")
