@@ -62,6 +62,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.fillna({"item_id": -1, "n_shared": 0, "n_item": 0})
 
 
+def op4_decontamination_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item) of every item that a document holds."""
+    from .decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lines": op2_lines,
         "op3_language": op3_language,
         "op4_decontamination": op4_decontamination,
+        "op4_decontamination_pairs": op4_decontamination_pairs,
         "op5_toxicity": op5_toxicity,
         "op6_embeddings": op6_embeddings,
         "op7_sentencepiece": op7_sentencepiece,
@@ -106,6 +114,8 @@ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(n_shared AS
 SELECT d.doc_id, k IS NOT NULL AS contaminated, coalesce(k, 0) AS n_items, coalesce(item_id, -1) AS item_id, coalesce(n_shared, 0) AS n_shared, coalesce(n_item, 0) AS n_item FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND r = 1
 """
 
+_op4_pairs = _op4[: _op4.index(",\nb AS")] + "\nSELECT doc_id, item_id, n_shared, n_item FROM f"
+
 _op6 = f"""
 WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 both_ways AS (SELECT a.id AS u, b.id AS v FROM nodes a JOIN nodes b ON a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= 0.9),
@@ -127,4 +137,4 @@ SELECT component.id AS doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _op4, "op6_embeddings": _op6, "op9_minhash": _op9}
+    return {"op4_decontamination": _op4, "op4_decontamination_pairs": _op4_pairs, "op6_embeddings": _op6, "op9_minhash": _op9}

@@ -460,3 +460,20 @@ def test_entry_has_all():
 
     q = e.queries()
     assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_", k)[0] for k in q if k.startswith("op")} and "pipeline" in q
+
+
+def test_every_pair_of_document_and_item_is_registered(spark, tmp_path):
+    import duckdb
+
+    from plexgrid.llm import queries
+
+    items = [" ".join(f"{c}{k}" for k in range(12)) for c in "abc"]
+    texts = [f"so {items[0]} then {items[2]} end", items[1], "nothing of these at all here", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(tuple(r) for r in queries.queries()["op4_decontamination_pairs"](spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 8, 8), (0, 2, 8, 8), (1, 1, 8, 8)]
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(con.sql(queries.oracle_sql()["op4_decontamination_pairs"]).fetchall()) == got
