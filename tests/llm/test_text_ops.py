@@ -477,3 +477,14 @@ def test_every_pair_of_document_and_item_is_registered(spark, tmp_path):
     for name in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert sorted(con.sql(queries.oracle_sql()["op4_decontamination_pairs"]).fetchall()) == got
+
+
+def test_registered_encoding_gives_ids_and_text(spark, tmp_path):
+    from plexgrid.llm import queries
+
+    texts = ["a small text", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.queries()["op7_sentencepiece"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["decoded"] == (t or "") and len(got[i]["ids"]) == got[i]["n_ids"]
+        assert zlib.crc32(np.array(got[i]["ids"], "<u4").tobytes()) == got[i]["ids_crc32"]
