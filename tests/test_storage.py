@@ -21,3 +21,35 @@ def test_ordinals_and_quantiles(spark):
     assert quantiles(df.where("v < 0"), "v", 0.5).first()["q"] is None  # as SQL has it
     assert ordinals(df.where("v < 0"), ["v"]).count() == 0
     assert quantiles(df.withColumn("v", F.lit(None).cast("double")), "v", 0.5, ["g"]).count() == 0
+
+
+def test_equal_values_spread_over_tasks(spark):
+    df = spark.range(1_000_000).select((F.col("id") % 2).cast("int").alias("g"), F.when(F.col("id") < 10, F.col("id")).otherwise(0).cast("double").alias("v"))
+    got = {r["g"]: r["q"] for r in quantiles(df, "v", 0.999999, ["g"]).collect()}
+    for g in range(2):
+        v = np.array([k if k < 10 else 0 for k in range(g, 1_000_000, 2)], float)
+        assert abs(got[g] - np.quantile(v, 0.999999)) < 1e-9
+    o = ordinals(spark.range(100_000).select("id", F.lit(0).alias("same")), ["same"], "o", 8)
+    assert o.agg(F.countDistinct("o"), F.min("o"), F.max("o")).first() == (100_000, 0, 99_999)
+    assert o.withColumn("part", F.spark_partition_id()).groupBy("part").count().agg(F.max("count")).first()[0] < 50_000
+
+
+def test_written_tables_go(spark):
+    import os
+
+    from plexgrid.operators.storage import Scratch, shared_dir
+
+    with Scratch(spark, "scratch") as tmp:
+        a, b = tmp.written(spark.range(3), "a"), tmp.written(spark.range(4), "b")
+        c = tmp.written(spark.range(5), "c")
+        tmp.drop(c)
+        tmp.keep(b)
+        assert len(os.listdir(tmp.root)) == 2 and a.count() == 3
+    assert [x[0] for x in map(str, os.listdir(tmp.root))] == ["b"] and b.count() == 4
+    assert tmp.root.startswith(shared_dir(spark))
+    try:
+        with Scratch(spark, "failed") as tmp:
+            tmp.keep(tmp.written(spark.range(3), "a"))
+            raise KeyError
+    except KeyError:
+        assert not os.listdir(tmp.root)
