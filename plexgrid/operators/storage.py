@@ -68,6 +68,7 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: dict[str, DataFrame] = {}
         self.kept: set[str] = set()
+        self.count = 0
 
     def __enter__(self) -> Scratch:
         return self
@@ -79,7 +80,8 @@ class Scratch:
             keep_till_exit(p)
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.made)}"
+        self.count += 1
+        path = f"{self.root}/{name}-{self.count}"
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.made[path] = back
