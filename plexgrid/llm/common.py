@@ -1,4 +1,4 @@
-"""What the corpus operators share: shared storage, Arrow text buffers, word
+"""What the corpus operators share: Arrow text buffers, word
 hashes, groups in sorted streams and connected components.
 
 Text columns are handled as Arrow buffers (bytes and offsets), so that numpy
@@ -8,31 +8,19 @@ works on whole batches. A null text is treated as an empty one.
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import Scratch
+
 #: Bytes of text that numpy handles at once; one document may be longer.
 BLOCK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from ``spark.checkpoint.dir``.
-
-    A local folder is made only where the setting is absent, as in tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="plexgrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 #: Rows in one Arrow batch, where the session has Spark's own default of 10,000.
 BATCH_ROWS = 1000
 
@@ -45,20 +33,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
+def held_out(doc_id: str = "doc_id"):
+    """True where crc32 of the id as text leaves no remainder by five; a null id isn't held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
-    This cuts lineage: a lost executor costs no recomputation of earlier steps.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def may_learn(doc_id: str = "doc_id"):
+    """True for rows whose labels may be learned: those with an id that isn't held out."""
+    return F.col(doc_id).isNotNull() & ~held_out(doc_id)
 
-def held_out(doc_id: str = "doc_id"):
-    """True where crc32 of the id as text leaves no remainder by five."""
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+#: Rows of a table of ids that is shipped to every task: 8 bytes each.
+FEW_IDS = 500_000
+
+
+def of_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``rows`` whose ``column`` is in ``ids`` (a written table of that column, without repeats)."""
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, column, "left_semi")
 
 
 def free_kept() -> None:
@@ -206,23 +199,31 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
         yield table, starts(table)
 
 
-def connected_components(edges: DataFrame, name: str) -> DataFrame:
+def connected_components(edges: DataFrame, tmp: Scratch, name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (u, v).
 
-    Large-star and small-star steps in turn; every round is written to the
-    shared folder. Nodes without an edge to another node don't appear.
+    Large-star and small-star steps in turn; every round is written by ``tmp``.
+    So are the least neighbours: a node that very many others link with is then
+    a skewed join, which adaptive execution splits. Nodes without an edge to
+    another node don't appear.
     """
     e = edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct()
-    e = written(e, name)
+    e = tmp.written(e, name)
     seen = None
     while True:
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
+        least = tmp.written(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"), "least")
         large = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").selectExpr("v AS u", "m AS v").where("u <> v").unionByName(least.selectExpr("u", "m AS v"))
-        e = written(small.distinct(), name)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").selectExpr("v AS u", "m AS v").where("u <> v").unionByName(low.selectExpr("u", "m AS v"))
+        new = tmp.written(small.distinct(), name)
+        tmp.drop(e)
+        tmp.drop(least)
+        e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            return e.selectExpr("u AS node", "v AS component").unionByName(e.selectExpr("v AS node", "v AS component").distinct())
+            found = e.selectExpr("u AS node", "v AS component").unionByName(e.selectExpr("v AS node", "v AS component").distinct())
+            found = tmp.written(found, name)
+            tmp.drop(e)
+            return found
         seen = now

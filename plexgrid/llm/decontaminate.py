@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_classes, shingle_hashes, small_batches, texts_of, word_hashes, written
+from ..operators.storage import Scratch
+from .common import blocks, byte_classes, shingle_hashes, small_batches, texts_of, word_hashes
 
 WORDS = 5
 COORDINATES = 64
@@ -66,8 +67,12 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str]):
         sets = [(i, shingles_of(words_of(t))) for i, t in zip(ids, texts, strict=True)]
         self.items = [(i, s) for i, s in sets if s]
-        self.short = {n: [k for k, (_, s) in enumerate(self.items) if len(s) == 1 and len(next(iter(s))) == n] for n in range(1, WORDS)}
-        self.short = {n: v for n, v in self.short.items() if v}
+        # items of fewer than five words: the items of each run of words, by its first word
+        self.short: dict[str, dict[tuple, list[int]]] = {}
+        for k, (_, found) in enumerate(self.items):
+            words = next(iter(found))
+            if len(words) < WORDS:
+                self.short.setdefault(words[0], {}).setdefault(words, []).append(k)
         raw = [" ".join(w for w in words_of(t) if w).encode() for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         hashes, at = shingle_hashes(*word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets, LETTERS), WORDS)
@@ -137,69 +142,112 @@ class Items:
         return found
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item) of every item that a document contains.
+def distinct_items(benchmark: DataFrame, tmp: Scratch) -> DataFrame:
+    """(text_id, item_id, text) written, with one number for each text: items that repeat are looked for once."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    return tmp.written(items.withColumn("text_id", F.xxhash64("text")), "items")
 
-    An item is contained if 100 * shared >= ``percent`` * (its distinct
-    shingles). Null and empty items and texts match nothing; rows that repeat
-    an item match alike. Null ids are kept as they are.
-    """
+
+def rows_of(documents: DataFrame) -> DataFrame:
+    """(doc_id, row, text): rows are told apart by id and text, as ids may be null or repeat."""
     slim = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    return slim.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+
+
+def text_matches(slim: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, row, text_id, n_shared, n_item) of every distinct item text that a row of ``slim`` contains.
+
+    Item texts go to the tasks in blocks of about BLOCK_CHARS characters.
+    """
+    texts = items.groupBy("text_id").agg(F.min("text").alias("text"))
+    total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // BLOCK_CHARS))
     out = None
     for block in range(n_blocks):
-        rows = sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == block).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        rows = sorted((r["text_id"], r["text"]) for r in texts.where(F.pmod("text_id", F.lit(n_blocks)) == block).collect())
         part = matches_of_block(slim, [r[0] for r in rows], [r[1] for r in rows], percent)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def matches(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item) of every item that a row of ``documents`` contains.
+
+    An item is contained if 100 * shared >= ``percent`` * (its distinct
+    shingles). Null and empty items and texts match nothing; rows that repeat
+    an item match alike, and so do rows that repeat a document. Null ids are
+    kept as they are.
+    """
+    with Scratch(documents.sparkSession, "matches") as tmp:
+        items = distinct_items(benchmark, tmp)
+        tmp.keep(items)
+        found = text_matches(rows_of(documents), items, percent)
+        return found.join(items.select("text_id", "item_id"), "text_id").select("doc_id", "item_id", "n_shared", "n_item")
+
+
 def matches_of_block(slim: DataFrame, ids: list[int], texts: list[str], percent: int) -> DataFrame:
+    cast = slim.sparkSession.sparkContext.broadcast((ids, texts))
+
     def run(batches):
-        items = Items(ids, texts)
-        short = {next(iter(items.items[k][1])): k for n in items.short for k in items.short[n]}
-        firsts = {}
-        for words, k in short.items():
-            firsts.setdefault(words[0], []).append((words, [i for i, (_, s) in enumerate(items.items) if words in s and len(s) == 1]))
+        items = Items(*cast.value)
         for b in batches:
             data, offsets = texts_of(b["text"])
-            keys = b["doc_id"].to_pylist()
-            rows = []
+            at_row, found = [], []
             for i, j in blocks(offsets):
                 text, at = lowered(data, offsets[i : j + 1])
                 shingles, where = shingle_hashes(*word_hashes(text, at, LETTERS), WORDS)
-                pairs = items.candidates(shingles, where, np.diff(where))
                 by_doc: dict[int, list[int]] = {}
-                for d, k in pairs:
+                for d, k in items.candidates(shingles, where, np.diff(where)):
                     by_doc.setdefault(d, []).append(k)
-                for d, candidates in sorted(by_doc.items()):
-                    own = shingles_of(words_of(data[offsets[i + d] : offsets[i + d + 1]].tobytes().decode("utf-8", "replace")))
+                for d in range(j - i) if items.short else sorted(by_doc):
+                    words = [x for x in words_of(data[offsets[i + d] : offsets[i + d + 1]].tobytes().decode("utf-8", "replace")) if x]
+                    candidates = by_doc.get(d, [])
+                    own = shingles_of(words) if candidates else set()
                     for k in sorted(candidates):
                         item, s = items.items[k]
                         shared = len(s & own)
                         if shared and 100 * shared >= percent * len(s):
-                            rows.append((keys[i + d], item, shared, len(s)))
-                if firsts:
-                    for d in range(j - i):
-                        w = [x for x in words_of(data[offsets[i + d] : offsets[i + d + 1]].tobytes().decode("utf-8", "replace")) if x]
-                        hit = set()
-                        for p, x in enumerate(w):
-                            for words, members in firsts.get(x, ()):
-                                if tuple(w[p : p + len(words)]) == words:
-                                    hit.update(members)
-                        rows += [(keys[i + d], items.items[k][0], 1, 1) for k in sorted(hit)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_shared", "n_item"])
-
-    return slim.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long")
+                            at_row.append(i + d)
+                            found.append((item, shared, len(s)))
+                    hit = set()
+                    for p, x in enumerate(words) if items.short else ():
+                        for run_of, members in items.short.get(x, {}).items():
+                            if tuple(words[p : p + len(run_of)]) == run_of:
+                                hit.update(members)
+                    for k in sorted(hit):
+                        at_row.append(i + d)
+                        found.append((items.items[k][0], 1, 1))
+            rows = pa.array(at_row, pa.int64())
+            columns = list(zip(*found, strict=True)) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(rows), b["row"].take(rows), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "row", "text_id", "n_shared", "n_item"])
+
+    return slim.mapInArrow(run, "doc_id long, row long, text_id long, n_shared long, n_item long")
+
+
+def contaminated_rows(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
+    """(_row): xxhash64 of (doc_id as long, text as string) of every row that contains an item."""
+    with Scratch(documents.sparkSession, "contaminated") as tmp:
+        found = text_matches(rows_of(documents), distinct_items(benchmark, tmp), percent)
+        out = tmp.written(found.select(F.col("row").alias("_row")).distinct(), "rows")
+        tmp.keep(out)
+        return out
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, contaminated, n_items, item_id, n_shared, n_item) of every row; the item is the one best contained."""
-    found = written(matches(documents, benchmark, percent), "matches")
-    best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("share"), "n_item", (-F.col("item_id")).alias("item"), "n_shared")).alias("best")
-    by_doc = found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), best)
-    out = documents.select(F.col("doc_id").cast("long").alias("doc_id")).join(by_doc, "doc_id", "left")
-    return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), (-F.col("best.item")).alias("item_id"), F.col("best.n_shared").alias("n_shared"), F.col("best.n_item").alias("n_item"))
+    """(doc_id, contaminated, n_items, item_id, n_shared, n_item) of every row; the item is the one best contained.
+
+    ``n_items`` counts distinct item ids. Rows with a null id are judged by
+    their own texts, and so is each of several rows with one id.
+    """
+    with Scratch(documents.sparkSession, "contamination") as tmp:
+        items = distinct_items(benchmark, tmp)
+        named = tmp.written(items.groupBy("text_id").agg(F.countDistinct("item_id").alias("ids"), F.min("item_id").alias("item_id")), "named")
+        found = text_matches(rows_of(documents), items, percent).dropDuplicates(["row", "text_id"])
+        # of an id that several texts have, one counts
+        held = found.join(named, "text_id").join(items.select("text_id", F.col("item_id").alias("each")).distinct(), "text_id")
+        best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("share"), "n_item", (-F.col("item_id")).alias("item"), "n_shared")).alias("best")
+        by_row = tmp.written(held.groupBy("row").agg(F.countDistinct("each").alias("n_items"), best), "rows")
+        tmp.keep(by_row)
+        # rows without a text, or of which nothing was found, have no partner here; keys are hashes, none is common but that of copies
+        out = rows_of(documents).select("doc_id", "row").join(by_row, "row", "left")
+        return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), (-F.col("best.item")).alias("item_id"), F.col("best.n_shared").alias("n_shared"), F.col("best.n_item").alias("n_item"))

@@ -4,7 +4,8 @@ Texts are cut into windows of 48 bytes that together cover everything. One
 gated recurrent unit reads a window forwards, another backwards; from both
 states each position gets a distribution over the languages, and a document's
 probability of a language is the mean over its positions. Training is
-back-propagation through time on the driver, over a bounded sample of windows.
+back-propagation through time on the driver, over all windows of a bounded
+sample of documents.
 
 Documents whose text is null or has no letter are ``und`` with score 0.
 """
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, small_batches, texts_of
+from .common import blocks, held_out, may_learn, small_batches, texts_of
+from .samples import sampled
 
 SPAN, HIDDEN, AT_ONCE = 48, 8, 1024
 
@@ -115,8 +117,12 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return flat.reshape(-1, SPAN), first, filled
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5, steps: int = 600, batch: int = 192) -> LanguageModel:
-    """Adam on the log loss of every position of windows ``x`` (window, SPAN) with language numbers ``y``."""
+def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5, steps: int = 600, batch: int = 192) -> LanguageModel:
+    """Adam on the log loss of every position of windows ``x`` (window, SPAN).
+
+    Document d has the windows from ``first[d]`` on and language number
+    ``y[d]``; a step draws documents, then any window of each.
+    """
     rng = np.random.default_rng(seed)
     k = len(languages)
     net = LanguageModel(languages, Gru.fresh(rng), Gru.fresh(rng), (rng.standard_normal((k, 2 * HIDDEN)) * 0.2).astype(np.float32), np.zeros((k, 1), np.float32))
@@ -125,7 +131,8 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5, steps
     tensors = [*vars(net.ahead).values(), *vars(net.behind).values(), net.out, net.out_bias]
     moments = [(np.zeros_like(t), np.zeros_like(t)) for t in tensors]
     for step in range(1, steps + 1):
-        take = rng.integers(0, len(x), batch)
+        doc = rng.integers(0, len(y), batch)
+        take = first[doc] + (rng.random(batch) * (first[doc + 1] - first[doc])).astype(np.int64)
         xs = np.ascontiguousarray(x[take].T)
         ahead, trace_a = net.ahead.run(xs, True)
         behind, trace_b = net.behind.run(xs[::-1], True)
@@ -134,7 +141,7 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5, steps
         z = net.out @ both + net.out_bias
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
-        z[:, y[take], np.arange(batch)] -= 1
+        z[:, y[doc], np.arange(batch)] -= 1
         z *= (xs > 0)[:, None] / (batch * SPAN)
         d_both = net.out.T @ z
         grads = [*net.ahead.back(xs, trace_a, d_both[:, :HIDDEN]), *net.behind.back(xs[::-1], trace_b, d_both[::-1, HIDDEN:]), np.einsum("tkb,thb->kh", z, both), z.sum((0, 2))[:, None]]
@@ -166,32 +173,21 @@ def document_probabilities(net: LanguageModel, data: np.ndarray, offsets: np.nda
     return out
 
 
-def train_language(documents: DataFrame, max_docs: int = 2000, windows_per_doc: int = 12) -> LanguageModel | None:
-    """Fit on windows of at most ``max_docs`` documents with a language that aren't held out; None if there are none."""
-    slim = documents.select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    chosen = slim.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = slim.where("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-
-    def cut(batches):
-        for b in batches:
-            ids, langs, parts = [], [], []
-            for doc, text, lang in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
-                raw = text.encode()
-                n = -(-len(raw) // SPAN)
-                for w in sorted({int(v) for v in np.linspace(0, max(0, n - 1), min(max(n, 1), windows_per_doc))}):
-                    ids.append(doc)
-                    langs.append(lang)
-                    parts.append(raw[w * SPAN : (w + 1) * SPAN].ljust(SPAN, b"\0"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b["doc_id"].type), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["doc_id", "lang", "part"])
+def train_language(documents: DataFrame, max_docs: int = 2000, max_bytes: int = 64 << 20) -> LanguageModel | None:
+    """Fit on whole texts of documents with a language that aren't held out; None if there are none.
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    got = rows.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).mapInArrow(cut, f"doc_id {kind}, lang string, part binary").collect()
+    At most ``max_docs`` documents, with ``max_bytes`` together, in the order of a hash of their ids.
+    """
+    rows = small_batches(documents).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & may_learn())
+    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    got = [(r["text"].encode(), r["lang"]) for r in sampled(rows, [r["doc_id"] for r in chosen.collect()], max_bytes)]
+    got = [(t, lang) for t, lang in got if t]
     if not got:
         return None
-    got.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["part"])))
-    languages = sorted({r["lang"] for r in got})
-    x = np.frombuffer(b"".join(bytes(r["part"]) for r in got), np.uint8).reshape(-1, SPAN)
-    return fit(x, np.array([languages.index(r["lang"]) for r in got]), languages)
+    languages = sorted({lang for _, lang in got})
+    x, first, _ = windows(np.frombuffer(b"".join(t for t, _ in got), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t, _ in got])]))
+    return fit(x, first, np.array([languages.index(lang) for _, lang in got]), languages)
 
 
 def identify_language(documents: DataFrame, net: LanguageModel | None) -> DataFrame:

@@ -8,10 +8,10 @@ as a whole. So that a passage goes whatever its lines and surroundings are, the
 shortest runs of ``LONG`` words from each line on and up to each line are chunks
 too: every line of a repeated run of ``LONG`` words or more, from its first line
 with words to its last, lies in such a chunk that doesn't reach beyond the run.
-Chunks of several lines, and long lines,
-whose hash occurs more than once in the corpus are candidates. A candidate is
-removed if its bytes equal those of the first occurrence, by (doc_id, place);
-the first occurrence stays.
+A chunk between boundaries counts if it has several lines with words, however
+short they are. Chunks whose hash occurs more than once in the corpus are
+candidates. A candidate is removed if its bytes equal those of the first
+occurrence, by (doc_id, place); the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
-from .common import sliced, small_batches, texts_of, written
+from ..operators.storage import Scratch
+from .common import sliced, small_batches, texts_of
 
-LONG, LEAST = 25, 8
+#: Words of a line that is a passage by itself, and of the shortest runs of lines.
+LONG = 25
 WHOLE = -1
 
 
@@ -39,19 +42,19 @@ def chunks_of(lines: list[bytes]) -> dict[int, tuple[int, int]]:
     A chunk that overlaps its own first occurrence in the document isn't one.
     """
     spans = set()
-    begin, words, before = 0, 0, 0
+    begin, full_lines, before = 0, 0, 0
     n = len(lines)
     sizes = [x.count(b" ") + 1 if x else 0 for x in lines]
     for i in range(n):
         own = zlib.crc32(lines[i])
-        words += sizes[i]
+        full_lines += sizes[i] > 0
         rolling = (before * 0x9E3779B1 + own) & 0xFFFFFFFF
         before = own
         long = sizes[i] >= LONG
         if long or i + 1 == n or sizes[i + 1] >= LONG or (rolling ^ rolling >> 15) * 0x2C1B3C6D >> 17 & 1:
-            if long or (i > begin and words >= LEAST):
+            if long or full_lines > 1:
                 spans.add((begin, i + 1))
-            begin, words = i + 1, 0
+            begin, full_lines = i + 1, 0
     full = [i for i in range(n) if sizes[i]]
     at, words, before = 0, 0, -1
     for i in full:
@@ -70,7 +73,7 @@ def chunks_of(lines: list[bytes]) -> dict[int, tuple[int, int]]:
         first: dict[tuple[bytes, ...], int] = {}
         ordered = [(x, y) for x, y in ordered if (at := first.setdefault(tuple(lines[x:y]), x)) == x or x >= at + y - x]
     out = dict(enumerate(ordered))
-    if n > 1 and (0, n) not in spans and sum(sizes) >= LEAST:
+    if len(full) > 1 and (0, n) not in spans:
         out[WHOLE] = (0, n)
     return out
 
@@ -97,14 +100,23 @@ def _lines(data: np.ndarray, p: int, q: int) -> list[bytes]:
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """``documents`` with ``text`` without repeated chunks, and ``n_lines``, ``n_removed`` (lines).
 
-    Every row stays; other columns are as they were, except that they lose to
-    the two new names. Null texts stay null, with no lines; a text that loses
-    all its lines is empty. Rows that repeat both id and text are treated as
-    one document, so both keep what it keeps.
+    Every row stays; other columns are as they were, whatever their names,
+    except that they lose to the two new names. Null texts stay null, with no
+    lines; a text that loses all its lines is empty. Rows that repeat both id and
+    text are treated as one document, so both keep what it keeps.
     """
-    docs = small_batches(documents).drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string"))
-    # rows are told apart by id and text; ids may be null or repeat
-    docs = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_row": F.xxhash64("doc_id", "text")})
+    own = [c for c in documents.columns if c not in ("n_lines", "n_removed", "text")]
+    docs = small_batches(documents).withColumn("text", F.col("text").cast("string"))
+    # the documents' other columns travel as one; rows are told apart by id and text, as ids may be null or repeat
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    docs = docs.select(number.alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), "text", F.struct(*(F.col(f"`{c}`") for c in own)).alias("_own"))
+    with Scratch(documents.sparkSession, "lines") as tmp:
+        out = _deduped(docs, tmp)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"_own.`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+
+
+def _deduped(docs: DataFrame, tmp: Scratch) -> DataFrame:
+    """(_own, text, n_lines, n_removed) of every row of ``docs`` (_id, _row, text, _own)."""
 
     def find(batches):
         for b in sliced(batches):
@@ -119,12 +131,13 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             rows = pa.array(np.array(which, np.int64))
             yield pa.RecordBatch.from_arrays([b["_id"].take(rows), b["_row"].take(rows), pa.array(place, pa.int32()), pa.array(np.frombuffer(b"".join(hashes), np.int64))], ["_id", "_row", "place", "h"])
 
-    chunks = written(docs.select("_id", "_row", "text").mapInArrow(find, "_id long, _row long, place int, h long"), "chunks")
+    chunks = tmp.written(docs.select("_id", "_row", "text").mapInArrow(find, "_id long, _row long, place int, h long"), "chunks")
     spot = F.struct("_id", "_row", "place")
-    repeated = chunks.groupBy("h").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1")
-    wanted = chunks.join(repeated.select("h", "first"), "h").withColumn("is_first", F.col("first") == spot)
+    repeated = chunks.groupBy("h").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    repeated = tmp.written(repeated, "hashes")  # so that a chunk which very many documents have is a skewed join, which adaptive execution splits
+    wanted = chunks.join(repeated.hint("merge"), "h").withColumn("is_first", F.col("first") == spot)
     wanted = wanted.groupBy("_id", "_row").agg(F.collect_set(F.struct("place", "h", "is_first")).alias("places"))
-    wanted = written(wanted, "repeated")
+    wanted = tmp.written(wanted, "repeated")
 
     def pack(batches):
         tool = zstandard.ZstdCompressor(level=1)
@@ -134,8 +147,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(texts, pa.binary()), *b.columns[k + 1 :]], b.schema.names)
 
     def as_packed(df: DataFrame) -> DataFrame:
-        schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.mapInArrow(pack, schema)
+        return df.mapInArrow(pack, StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in df.schema.fields]))
 
     def cut(batches):
         tool = zstandard.ZstdDecompressor()
@@ -153,14 +165,14 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(place, pa.int32()), pa.array(h, pa.int64()), pa.array(first, pa.bool_()), pa.array(out, pa.binary())], ["_id", "_row", "place", "h", "is_first", "chunk"])
 
     texts = as_packed(docs.select("_id", "_row", "text").where("text IS NOT NULL")).join(wanted.hint("merge"), ["_id", "_row"])
-    found = written(texts.mapInArrow(cut, "_id long, _row long, place int, h long, is_first boolean, chunk binary").dropDuplicates(["_id", "_row", "place"]), "candidates")
+    found = tmp.written(texts.mapInArrow(cut, "_id long, _row long, place int, h long, is_first boolean, chunk binary").dropDuplicates(["_id", "_row", "place"]), "candidates")
     firsts = found.where("is_first").select("h", F.col("chunk").alias("first_chunk"))
     same = found.where("NOT is_first").join(firsts, "h").where("chunk = first_chunk")
-    removed = written(same.groupBy("_id", "_row").agg(F.collect_set("place").alias("_places")), "removed")
+    removed = tmp.written(same.groupBy("_id", "_row").agg(F.collect_set("place").alias("_places")), "removed")
 
-    own = [c for c in docs.columns if c not in ("_id", "_row")]
-    back = as_packed(docs).join(removed.hint("merge"), ["_id", "_row"], "left").select(*own, "_places")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own] + ["n_lines int", "n_removed int"])
+    tmp.keep(removed)
+    back = as_packed(docs).join(removed.hint("merge"), ["_id", "_row"], "left").select("_own", "text", "_places")
+    schema = StructType([docs.schema["_own"], StructField("text", StringType()), StructField("n_lines", IntegerType()), StructField("n_removed", IntegerType())])
 
     def clean(batches):
         tool = zstandard.ZstdDecompressor()
@@ -182,7 +194,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
                 out.append((b"\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else raw).decode())
                 n_lines.append(len(lines))
                 n_removed.append(len(gone))
-            k = own.index("text")
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(out, pa.string()), *b.columns[k + 1 : len(own)], pa.array(n_lines, pa.int32()), pa.array(n_removed, pa.int32())], [*own, "n_lines", "n_removed"])
+            columns = [b["_own"], pa.array(out, pa.string()), pa.array(n_lines, pa.int32()), pa.array(n_removed, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["_own", "text", "n_lines", "n_removed"])
 
     return back.mapInArrow(clean, schema)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import blocks, held_out, small_batches, texts_of
 from .samples import labelled_texts
@@ -75,8 +76,36 @@ def pool(responses: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(responses, bounds, axis=0)[::2]
 
 
+#: Rows of STRIDE bytes that go through the network at once.
+PIECE = 1 << 16
+
+
+def tops(net: ByteCnn, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest response of each filter in each document, and the row of the chunk that gives it.
+
+    Long documents go through in pieces that overlap by a chunk, so memory is
+    bounded by the piece.
+    """
+    n = len(first) - 1
+    top, best = np.full((n, FILTERS), -np.inf, np.float32), np.zeros((n, FILTERS), np.int64)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + PIECE, "right")) - 1)
+        for a in range(int(first[i]), int(first[j]) - PARTS + 1, PIECE):
+            r = net.responses(rows[a : min(a + PIECE, int(first[j]) - PARTS + 1) + PARTS - 1])[1]
+            for d in range(i, j):
+                p, q = max(int(first[d]), a) - a, min(int(first[d + 1]) - PARTS + 1 - a, len(r))
+                if q > p:
+                    at = r[p:q].argmax(0)
+                    value = r[p + at, np.arange(FILTERS)]
+                    better = value > top[d]
+                    top[d, better], best[d, better] = value[better], (a + p + at)[better]
+        i = j
+    return top, best
+
+
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = 600, batch: int = 32) -> ByteCnn:
-    """Adam on the log loss; a step takes ``batch`` documents."""
+    """Adam on the log loss; a step takes ``batch`` whole documents."""
     net, rng = ByteCnn.fresh(seed), np.random.default_rng(seed)
     if not len(texts):
         return net
@@ -90,20 +119,18 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = 600,
         take, order = order[:batch], order[batch:]
         offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in take])])
         rows, first = strided(np.frombuffer(b"".join(texts[i] for i in take), np.uint8), offsets)
-        x, r = net.responses(rows)
-        best = np.stack([a + r[a : max(a + 1, b - PARTS + 1)].argmax(0) for a, b in zip(first[:-1], first[1:], strict=True)])
-        top = np.take_along_axis(r, best, 0)
+        top, best = tops(net, rows, first)
         p = 1 / (1 + np.exp(-net.pooled_logit(top)))
         d = ((p - labels[take]) / len(take)).astype(np.float32)
         d_top = d[:, None] * net.out * (top > 0)
         d_conv, d_embed = np.zeros_like(net.conv), np.zeros_like(net.embed)
         filters = np.broadcast_to(np.arange(FILTERS), best.shape)
         for k in range(PARTS):
-            at = best + k
+            at = rows[best + k]
             cols = slice(k * FILTERS, (k + 1) * FILTERS)
-            d_conv[:, cols] = np.einsum("nfx,nf->xf", x[at], d_top)
+            d_conv[:, cols] = np.einsum("nfx,nf->xf", net.embed[at].reshape(*best.shape, STRIDE * DIM), d_top)
             back = net.conv[:, cols].T[filters] * d_top[..., None]
-            np.add.at(d_embed, rows[at].ravel(), back.reshape(-1, DIM))
+            np.add.at(d_embed, at.ravel(), back.reshape(-1, DIM))
         grads = [d_embed, d_conv, d_top.sum(0), np.maximum(top, 0).T @ d, d.sum(keepdims=True)]
         lr = 0.01 * min(1.0, 2 * (1 - step / (steps + 1)))
         for t, g, (m, v) in zip(net.tensors(), grads, moments, strict=True):
@@ -129,10 +156,10 @@ def score_texts(net: ByteCnn, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return out
 
 
-def train_quality(documents: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = 4000, max_doc_bytes: int = 16 << 10) -> ByteCnn:
-    """Fit on at most ``max_docs`` labelled documents that are not held out."""
-    texts, y = labelled_texts(documents, labels, label, max_docs, max_doc_bytes)
-    return fit(texts, np.array([float(v) for v in y], np.float32))
+def train_quality(documents: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = 4000, max_bytes: int = 64 << 20) -> ByteCnn:
+    """Fit on whole texts of labelled documents that are not held out: at most ``max_docs``, with ``max_bytes`` together."""
+    texts, y = labelled_texts(documents, labels, label, max_docs, max_bytes)
+    return fit(texts, np.array(y, np.float32))
 
 
 def score_quality(documents: DataFrame, net: ByteCnn, threshold: float = 0.3) -> DataFrame:
@@ -143,7 +170,7 @@ def score_quality(documents: DataFrame, net: ByteCnn, threshold: float = 0.3) ->
     """
     own = small_batches(documents).drop("score", "predicted")
     names = own.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields), "score double"])
+    schema = StructType([*own.schema.fields, StructField("score", DoubleType())])
 
     def run(batches):
         for b in batches:

@@ -24,7 +24,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from ..operators.storage import keep_till_exit, shared_dir
+from .common import small_batches
 
 END_ID = 1
 MASK_DELTA = np.uint32(0xA282EAD8)
@@ -322,5 +323,6 @@ def token_records(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
     fs, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
     fs.create_dir(root, recursive=True)
+    keep_till_exit(folder)
     manifest, dtype = write_records(documents, tokenizer_path, folder)
     return read_records(spark, folder, manifest, dtype)

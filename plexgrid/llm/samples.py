@@ -1,52 +1,45 @@
-"""Bounded samples of labelled documents for fitting classifiers on the driver."""
+"""Bounded samples of labelled documents for fitting classifiers on the driver.
+
+A sample is bounded in rows and in bytes of all of them together; the texts in
+it are whole.
+"""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
-
-WINDOW = 1024
-
+from .common import may_learn, small_batches
 
-def spread(text: bytes, most: int) -> bytes:
-    """``text`` if it has up to ``most`` bytes, else windows at even distances over all of it."""
-    if len(text) <= most:
-        return text
-    n = most // WINDOW
-    step = (len(text) - WINDOW) / max(1, n - 1)
-    return b" ".join(text[int(i * step) : int(i * step) + WINDOW] for i in range(n))
 
+def sampled(rows: DataFrame, ids: list, max_bytes: int) -> list:
+    """Rows of the first of ``ids`` whose texts have up to ``max_bytes`` together; texts are never cut.
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, max_docs: int, max_doc_bytes: int) -> tuple[list[bytes], list]:
-    """Texts and labels of at most ``max_docs`` documents that are not held out.
-
-    The documents with the smallest hashes of their ids are taken, so the
-    sample is the same on every run. ``max_doc_bytes`` bounds each text by
-    windows spread over the whole of it. Null labels and texts are left out.
+    ``rows``: doc_id, text without nulls, ... ``ids`` is a short list.
+    """
+    kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}"
+    of = lambda some: rows.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in some], kind)), "doc_id")
+    sizes = {r["doc_id"]: r["size"] for r in of(ids).groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    taken, total = [], 0
+    for i in ids:
+        total += sizes.get(i, 0)
+        if total > max_bytes:
+            break
+        if i in sizes:
+            taken.append(i)
+    return sorted(of(taken).collect(), key=tuple) if taken else []
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, max_docs: int, max_bytes: int) -> tuple[list[bytes], list[float]]:
+    """Whole texts and labels of a bounded sample of documents that are not held out.
+
+    Documents are taken in the order of a hash of their ids, so the sample is
+    the same on every run. Null labels and texts are left out; of labels that
+    repeat an id the largest counts.
     """
-    chosen = (
-        labels.select(F.col("doc_id"), F.col(label).alias("label"))
-        .where(F.col("label").isNotNull() & ~held_out())
-        .groupBy("doc_id")
-        .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_docs)
-    )
-    rows = (
-        documents.select("doc_id", F.col("text").cast("string").alias("text"))
-        .where(F.col("text").isNotNull())
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", F.col("label").cast("string").alias("label"))
-    )
-
-    def cut(batches):
-        for b in batches:
-            texts = [spread(t.encode(), max_doc_bytes) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.binary()), b["label"]], ["doc_id", "text", "label"])
-
-    got = rows.mapInArrow(cut, "doc_id long, text binary, label string").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["text"])))
-    return [bytes(r["text"]) for r in got], [r["label"] for r in got]
+    marked = labels.select("doc_id", F.col(label).cast("double").alias("label")).where(F.col("label").isNotNull() & may_learn())
+    marked = marked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    by_id = {r["doc_id"]: r["label"] for r in marked.collect()}
+    texts = small_batches(documents).select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    got = sampled(texts, list(by_id), max_bytes)
+    return [r["text"].encode() for r in got], [by_id[r["doc_id"]] for r in got]

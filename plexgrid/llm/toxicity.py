@@ -90,10 +90,10 @@ def score_texts(dense: np.ndarray, bias: float, data: np.ndarray, offsets: np.nd
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = 12000, max_doc_bytes: int = 64 << 10) -> SparseModel:
-    """Fit on at most ``max_docs`` labelled documents that are not held out."""
-    texts, y = labelled_texts(documents, labels, label, max_docs, max_doc_bytes)
-    return fit(texts, np.array([float(v) for v in y]))
+def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = 12000, max_bytes: int = 64 << 20) -> SparseModel:
+    """Fit on whole texts of labelled documents that are not held out: at most ``max_docs``, with ``max_bytes`` together."""
+    texts, y = labelled_texts(documents, labels, label, max_docs, max_bytes)
+    return fit(texts, np.array(y))
 
 
 def score_toxicity(documents: DataFrame, model: SparseModel, threshold: float = 0.5) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from plexgrid.llm import decontaminate, language, lines, minhash, pieces, quality, records, toxicity
 from plexgrid.llm.common import connected_components
+from plexgrid.operators.storage import Scratch
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -100,8 +101,10 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in out) / len(out) > 0.95
     q = quality.quality_of(d, lab).join(lab, "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == r["quality"] for r in q) / len(q) > 0.9
-    t = toxicity.toxicity_of(d, lab).join(lab, "doc_id").where("held_out AND toxic = 0").collect()
-    assert sum(r["predicted"] for r in t) / len(t) < 0.05
+    t = toxicity.toxicity_of(d, lab).join(lab, "doc_id").where("held_out").collect()
+    clean, toxic = [r for r in t if r["toxic"] == 0], [r for r in t if r["toxic"] == 1]
+    assert sum(r["predicted"] for r in clean) / len(clean) < 0.05
+    assert len(toxic) >= 5 and sum(r["predicted"] for r in toxic) / len(toxic) > 0.7
 
 
 def test_language_of_odd_input(spark):
@@ -292,7 +295,8 @@ def test_components(spark):
         a, b = find(u), find(v)
         root[max(a, b)] = min(a, b)
     df = spark.createDataFrame(edges, "u long, v long")
-    got = {x["node"]: x["component"] for x in connected_components(df, "test").collect()}
+    with Scratch(spark, "test") as tmp:
+        got = {x["node"]: x["component"] for x in connected_components(df, tmp).collect()}
     assert got == {i: find(i) for u, v in edges if u != v for i in (u, v)}
 
 
