@@ -21,7 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_classes, connected_components, shingle_hashes, sliced, small_batches, texts_of, whole_groups, word_hashes, written
+from ..operators.storage import Scratch
+from .common import blocks, byte_classes, connected_components, of_ids, shingle_hashes, sliced, small_batches, texts_of, whole_groups, word_hashes
 
 ROWS, BANDS = 6, 32
 TILE = 512
@@ -132,18 +133,23 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return both.select("u", "v", "words_u", "words_v").mapInArrow(run, "u long, v long")
 
 
+def open_buckets(entries: DataFrame) -> DataFrame:
+    """(key, largest, tm, to): buckets whose members are of several components, their largest one, and tiles of it and of the others."""
+    each = entries.groupBy("key", "component").agg(F.count("*").alias("n"))
+    whole = each.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    count = lambda c: F.ceil(c / TILE).cast("int")
+    return whole.select("key", F.col("top.component").alias("largest"), count(F.col("top.n")).alias("tm"), count(F.col("size") - F.col("top.n")).alias("to"))
+
+
 def tiles(entries: DataFrame) -> DataFrame:
     """Rows of open buckets, repeated so that every pair that matters meets in one (key, ta, tb) of bounded size.
 
     What matters are pairs with a member outside the bucket's largest component:
     tiles of that component meet each tile of the others (ta >= 0), and the
-    others' tiles meet each other (ta < 0). ``entries``: key, doc_id, component, ...
+    others' tiles meet each other (ta < 0). ``entries``: key, doc_id, component,
+    largest, tm, to, ...
     """
-    each = entries.groupBy("key", "component").agg(F.count("*").alias("n"))
-    whole = each.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    count = lambda c: F.ceil(c / TILE).cast("int")
-    whole = whole.select("key", F.col("top.component").alias("largest"), count(F.col("top.n")).alias("tm"), count(F.col("size") - F.col("top.n")).alias("to"))
-    e = entries.join(whole, "key").withColumn("main", F.col("component") == F.col("largest"))
+    e = entries.withColumn("main", F.col("component") == F.col("largest"))
     e = e.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("main"), F.col("tm")).otherwise(F.col("to"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     at = lambda a, b: F.struct(a.cast("int").alias("ta"), b.cast("int").alias("tb"))
@@ -159,7 +165,7 @@ def tiles(entries: DataFrame) -> DataFrame:
 def cross_pairs(entries: DataFrame, n: int, percent: int, best: bool) -> DataFrame:
     """Pairs (u, v) of one bucket and different components that may well be similar.
 
-    ``entries``: key, doc_id, component, n_shingles, low, and without ``best``
+    ``entries``: as for ``tiles``, with n_shingles, low, and without ``best``
     also bands and words. A pair is left out if its sizes exclude it or
     its estimate is more than five standard errors below the threshold. With
     ``best``, each document gets only its likeliest partner in each tile, which
@@ -234,36 +240,55 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     Other columns are not looked at.
     """
     slim = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = written(sketch(slim, n), "sketch")
-    linked = every.where("doc_id IS NOT NULL AND n_shingles > 0")
-    copies = written(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "copies")
-    once = linked.join(copies, ["d1", "d2"]).where("doc_id = rep").dropDuplicates(["doc_id", "d1", "d2"])
-    entries = written(once.select("doc_id", "n_shingles", F.explode("bands").alias("key")), "entries")
-    heads = entries.groupBy("key").agg(F.min("doc_id").alias("u"), F.min_by("n_shingles", "doc_id").alias("nu"), F.count("*").alias("size")).where("size > 1")
-    heads = written(heads, "heads")
-    fits = f"100 * least(nu, n_shingles) >= {percent} * greatest(nu, n_shingles)"
-    pairs = entries.join(heads, "key").where(f"doc_id <> u AND {fits}").select("u", F.col("doc_id").alias("v")).distinct()
-    texts = packed(slim.where("doc_id IS NOT NULL"))
-    first = written(verified(written(pairs, "pairs"), texts, n, percent), "links")
-    found = connected_components(first, "components")
-    # buckets of three or more whose members are still of several components:
-    # likeliest partners first, which join most, then all pairs that are left
-    buckets = entries.join(heads.where("size > 2").select("key", "size"), "key").join(once.select("doc_id", "low", "bands"), "doc_id")
-    buckets = written(buckets, "buckets")
-    links = first
-    for best in (True, False):
-        label = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        label = written(label, "labelled")
-        if not best:
-            keys = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-            label = label.join(keys, "key").join(texts.withColumnRenamed("id", "doc_id"), "doc_id")
-        more = written(cross_pairs(label, n, percent, best), "more")
-        new = written(verified(more, texts, n, percent), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = connected_components(links, "components")
-    out = every.select("doc_id", "n_shingles", "d1", "d2").join(copies, ["d1", "d2"], "left").drop("d1", "d2")
-    out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    out = out.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    with Scratch(documents.sparkSession, "minhash") as tmp:
+        every = tmp.written(sketch(slim, n), "sketch")
+        linked = every.where("doc_id IS NOT NULL AND n_shingles > 0")
+        copies = tmp.written(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "copies")
+        # joined by id too, so the copies of one text don't meet in a task
+        once = linked.join(copies.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
+        entries = tmp.written(once.select("doc_id", "n_shingles", F.explode("bands").alias("key")), "entries")
+        heads = entries.groupBy("key").agg(F.min("doc_id").alias("u"), F.min_by("n_shingles", "doc_id").alias("nu"), F.count("*").alias("size")).where("size > 1")
+        heads = tmp.written(heads, "heads")
+        fits = f"100 * least(nu, n_shingles) >= {percent} * greatest(nu, n_shingles)"
+        pairs = entries.join(heads, "key").where(f"doc_id <> u AND {fits}").select("u", F.col("doc_id").alias("v")).distinct()
+
+        def links_of(pairs: DataFrame) -> DataFrame:
+            """The pairs (a written table) that are similar; only documents of pairs are read again."""
+            ids = tmp.written(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
+            texts = tmp.written(packed(of_ids(slim, ids)), "texts")
+            out = tmp.written(verified(pairs, texts, n, percent), "links")
+            tmp.drop(texts)
+            return out
+
+        links = links_of(tmp.written(pairs, "pairs"))
+        found = connected_components(links, tmp)
+        # buckets of three or more whose members are still of several components:
+        # likeliest partners first, which join most, then all pairs that are left
+        buckets = tmp.written(entries.join(heads.where("size > 2").select("key"), "key"), "buckets")
+        tmp.drop(entries)
+        tmp.drop(heads)
+        for best in (True, False):
+            label = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            label = tmp.written(label, "labelled")
+            keys = tmp.written(open_buckets(label), "open")
+            if keys.isEmpty():
+                break
+            rows = tmp.written(label.join(keys, "key"), "rows")
+            tmp.drop(label)
+            ids = tmp.written(rows.select("doc_id").distinct(), "ids")
+            marks = of_ids(once.select("doc_id", "low", *([] if best else ["bands"])), ids)
+            rows = rows.join(marks, "doc_id")
+            if not best:
+                rows = rows.join(packed(of_ids(slim, ids)).withColumnRenamed("id", "doc_id"), "doc_id")
+            new = links_of(tmp.written(cross_pairs(rows, n, percent, best), "more"))
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                found = connected_components(links, tmp)
+        # one row a text first, so that a text with very many copies is a skewed join of two written tables
+        result = copies.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        result = tmp.written(result.select("d1", "d2", F.coalesce("component", "rep").alias("component")), "result")
+        tmp.keep(every, result)
+        out = every.select("doc_id", "n_shingles", "d1", "d2").join(result, ["d1", "d2"], "left")
+        component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+        out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+        return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
