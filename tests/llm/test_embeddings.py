@@ -46,10 +46,11 @@ def test_against_brute_force(spark, monkeypatch, tile):
 
 def test_odd_vectors(spark):
     v = [1.0, 2.0, 3.0]
-    rows = [v, v, None, [0, 0, 0], [1, None, 2], [1, float("nan"), 2], [1, float("inf"), 2], [], [1, 2], [2e30, 4e30, 6e30], [-0.0, 0.0, 1.0], [0.0, 0.0, 1.0]]
+    rows = [v, v, None, [0, 0, 0], [1, None, 2], [1, float("nan"), 2], [1, float("inf"), 2], [], [1, 2], [2e30, 4e30, 6e30], [-0.0, 0.0, 1.0], [0.0, 0.0, 1.0], [2, 4]]
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(frame(spark, rows)).collect()}
     assert got[0] == (2, 0, True) and got[1] == (2, 0, False) and got[9] == (2, 0, False)
-    assert all(got[k] == (0, k, True) for k in range(2, 9))
+    assert all(got[k] == (0, k, True) for k in range(2, 8))
+    assert got[8] == (1, 8, True) and got[12] == (1, 8, False)  # vectors of another length link among themselves
     assert got[10] == (1, 10, True) and got[11] == (1, 10, False)
     assert near_vectors(frame(spark, [])).count() == 0
     assert near_vectors(frame(spark, [None, [0.0]])).count() == 2
@@ -64,10 +65,40 @@ def test_estimates_are_unbiased():
     b = 0.9 * a + (1 - 0.81) ** 0.5 * (b - (a @ b) * a) / np.linalg.norm(b - (a @ b) * a)
     found, inside = [], 0
     for seed in range(300):
-        t = Codes(64, 10_000, 0.9, 1e-3, seed)
+        t = Codes(64, 10_000, 0.9, 1e-4, seed)
         code, f = t.of(np.stack([a, b]))
         r, s = t.rebuilt(code, f), t.spread(f)
         e = (r[0][0] @ r[1][1] + r[1][0] @ r[0][1]) / 2
         found.append(e)
         inside += abs(e - 0.9) <= embeddings.BOUND * np.hypot(s[0], s[1])
     assert np.mean(found) == pytest.approx(0.9, abs=0.01) and inside == 300
+
+
+def test_recall_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((400, 48))
+    x = np.concatenate([base, *(base + rng.standard_normal((400, 48)) * s for s in (0.2, 0.35, 0.44, 0.47))])
+    n, root = brute(x.astype(np.float32).astype(float))
+    got = near_vectors(frame(spark, x.astype(np.float32))).orderBy("vec_id").collect()
+    found = sum(r["n_links"] for r in got)
+    assert n.sum() > 1000 and 0.999 * n.sum() <= found <= n.sum()
+    assert np.mean([r["component_id"] == c for r, c in zip(got, root, strict=True)]) > 0.99
+
+
+def test_few_components_and_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    parts = [rng.standard_normal((50, d)).astype(np.float32) for d in (1, 2, 3, 5)]
+    got = {r["vec_id"]: r for r in near_vectors(frame(spark, [v for p in parts for v in p])).collect()}
+    at = 0
+    for p in parts:
+        n, root = brute(p.astype(float))
+        assert sum(got[at + k]["n_links"] != n[k] for k in range(50)) <= 2
+        if all(got[at + k]["n_links"] == n[k] for k in range(50)):
+            assert [got[at + k]["component_id"] for k in range(50)] == (root + at).tolist()
+        at += 50
+
+
+def test_repeated_ids_are_one_vector(spark):
+    got = near_vectors(frame(spark, [[1, 0, 0], [1, 0, 0], [0, 1, 0], [1, 0.1, 0], [1, 0, 0]], [7, 7, 7, 3, 9])).collect()
+    assert len(got) == 5 and len({(r["n_links"], r["component_id"]) for r in got if r["vec_id"] == 7}) == 1
+    assert {r["component_id"] for r in got if r["vec_id"] in (3, 9)} == {3}
