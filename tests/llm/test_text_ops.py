@@ -376,14 +376,81 @@ def test_suffix_array_finds_all_pieces():
     assert set(zip(s.tolist(), e.tolist(), t.tolist(), strict=True)) == want
 
 
-def test_caches_are_bounded(monkeypatch):
-    monkeypatch.setattr(pieces, "REMEMBERED", 5)
-    monkeypatch.setattr(pieces, "NODES", 20)
-    monkeypatch.setattr(pieces, "PAIRS", 10)
-    p = pieces.Pieces(open(SP, "rb").read())
-    e, c = pieces.SuffixEncoder(p), pieces.TrieCounter(p)
-    texts = invented(30)
-    assert [len(x) // 4 for t in texts for x in e.encode([t])] == [int(n) for t in texts for n in c.counts([t])]
+def flat_texts(texts):
+    raw = [t.encode() for t in texts]
+    return pieces.prepared(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+
+
+def encoded(model, texts):
+    """Ids of each text, and the counts by the trie."""
+    p = pieces.Pieces(model)
+    data, offsets = flat_texts(texts)
+    ids, n = pieces.SuffixEncoder(p).encode(data, offsets)
+    at = np.concatenate([[0], np.cumsum(n)])
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)], pieces.TrieCounter(p).counts(data, offsets).tolist()
+
+
+@pytest.mark.parametrize("bounds", [{}, {"SEGMENT": 300, "LONG_UNIT": 12, "WINDOW": 37, "NODES": 20, "PAIRS": 64}])
+def test_batches_windows_and_bounded_tables(monkeypatch, bounds):
+    import base64
+
+    import sentencepiece
+
+    for name, value in bounds.items():
+        monkeypatch.setattr(pieces, name, value)
+    sp = sentencepiece.SentencePieceProcessor(model_file=SP)
+    r = random.Random(0)
+    texts = invented(40) + ODD_TEXT + [base64.b64encode(r.randbytes(900)).decode(), "".join(chr(r.randint(0x4E00, 0x5200)) for _ in range(500)), "a\u0301" * 300, "\n" * 700, "  " * 400 + "x"]
+    want = [sp.encode(t) for t in texts]
+    got, counts = encoded(open(SP, "rb").read(), texts)
+    assert got == want and counts == [len(w) for w in want]
+
+
+def test_units_with_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(pieces, "mix64", lambda x: x & np.uint64(3))
+    raw = b" ab cd ab\nef  gh"
+    u = pieces.Units(np.frombuffer(raw, np.uint8), np.array([0]))
+    text = [raw[p : p + n] for p, n in zip(u.starts, u.sizes, strict=True)]
+    assert text == [b" ab", b" cd", b" ab", b"\n", b"ef", b"  gh"]
+    assert [raw[u.begin[k] : u.begin[k] + u.size[k]] for k in u.which] == text
+
+
+def unigram_model(scores):
+    """A model file of the unigram kind with these pieces, byte pieces, and no normalization; nothing is trained."""
+    import struct
+
+    def number(v):
+        out = b""
+        while v > 127:
+            out, v = out + bytes([v & 127 | 128]), v >> 7
+        return out + bytes([v])
+
+    def field(n, value):
+        return number(n << 3) + number(value) if isinstance(value, int) else number(n << 3 | 2) + number(len(value)) + value
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((k, v, 1) for k, v in scores.items())]
+    out = b"".join(field(1, field(1, k.encode()) + number(2 << 3 | 5) + struct.pack("<f", v) + field(3, kind)) for k, v, kind in rows)
+    trainer = field(3, 1) + field(35, 1)
+    return out + field(2, trainer) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+
+
+@pytest.mark.parametrize("bounds", [{}, {"LONG_UNIT": 6, "WINDOW": 11}])
+def test_unigram_vocabularies_are_relaxed_by_scores(monkeypatch, bounds):
+    import sentencepiece
+
+    for name, value in bounds.items():
+        monkeypatch.setattr(pieces, name, value)
+    r = random.Random(3)
+    scores = {c: -r.uniform(6, 9) for c in "▁abcdé"}
+    while len(scores) < 120:
+        scores.setdefault(r.choice(["▁", ""]) + "".join(r.choice("abcdé") for _ in range(r.randint(2, 5))), -r.uniform(3, 14))
+    model = unigram_model(scores)
+    assert pieces.is_unigram(model) and not pieces.is_unigram(open(SP, "rb").read())
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = [" ".join("".join(r.choice("abcdéabcdézß") for _ in range(r.randint(1, 14))) for _ in range(r.randint(1, 12))) for _ in range(60)] + ["", "abcd" * 200]
+    want = [sp.encode(t) for t in texts]
+    got, counts = encoded(model, texts)
+    assert got == want and counts == [len(w) for w in want]
 
 
 # records
