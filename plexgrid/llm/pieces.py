@@ -22,8 +22,9 @@ test in place of a comparison of scores; results equal the library's.
 Characters without a piece become one piece for each byte. A batch is handled a
 few megabytes at a time, cut between units; a unit of more than LONG_UNIT bytes,
 such as a text without spaces, is relaxed in windows, with five bytes of memory
-for each of its own. Nothing is kept from batch to batch but a bounded table of
-pairs of pieces, and for counting a trie of a bounded number of nodes.
+for each of its own. Encoding keeps nothing from batch to batch but a bounded table
+of pairs of pieces; counting keeps a trie of a bounded number of nodes, and the
+counts at the ends of a bounded number of units of up to 32 bytes.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ from .common import _power_table, blocks, mix64, small_batches
 
 #: Pairs of pieces remembered (8 bytes each, in a table twice as large); nodes of a trie before it is begun anew.
 PAIRS, NODES = 1 << 20, 400_000
+#: Ends of units in the trie whose counts outlast it.
+TERMINALS = 800_000
 #: Bytes of text handled at once, bytes of a unit that is relaxed by itself, and of its windows.
 SEGMENT, LONG_UNIT, WINDOW = 4 << 20, 256, 1 << 16
 UNSEEN, START = -2, -1
@@ -280,6 +283,10 @@ class Units:
         begin[0] = True
         self.starts = np.flatnonzero(begin)
         self.sizes = np.diff(self.starts, append=len(data))
+        if len(self.starts) == 1:  # which may be very long
+            self.which = self.first = np.zeros(1, np.int64)
+            self.begin, self.size = self.starts, self.sizes
+            return
         # equal units by 64-bit hashes, then byte by byte
         within = np.arange(len(data)) - np.repeat(self.starts, self.sizes)
         value = (data.astype(np.uint64) + np.uint64(1)) * _power_table(int(self.sizes.max()))[within]
@@ -304,63 +311,71 @@ def spread_out(flat: np.ndarray, counts: np.ndarray, which: np.ndarray) -> tuple
     return flat[np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
 
+def by_digits(keys: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0, by digits of 16 bits, for which sorting takes linear time."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    top, shift = int(keys.max()) if len(keys) else 0, 16
+    while top >> shift:
+        order = order[np.argsort((keys >> shift).astype(np.uint16)[order], kind="stable")]
+        shift += 16
+    return order
+
+
 class SuffixEncoder:
     """Ids of texts by suffix-array matching and relaxation."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        order = sorted(pieces.ids, key=lambda k: k.encode())
-        self.width = 8
-        while self.width < max(len(k.encode()) for k in order):
-            self.width *= 2
-        self.wanted = np.array([k.encode() for k in order], f"S{self.width}")
-        self.above = np.array([k.encode().ljust(self.width, b"\xff") for k in order], f"S{self.width}")
-        self.wanted_ids = np.array([pieces.ids[k] for k in order])
-        self.lengths = np.array([len(k.encode()) for k in order])
+        raws = sorted((k.encode() for k in pieces.ids), key=lambda r: (-len(r), r))  # the longest first
+        self.ids = np.array([pieces.ids[r.decode()] for r in raws])
+        self.lengths = np.array([len(r) for r in raws])
+        self.width = int(self.lengths[0])
+        # the first eight bytes as a number, with the least and the greatest that may follow
+        self.low = np.array([int.from_bytes(r[:8].ljust(8, b"\0"), "big") for r in raws], np.uint64)
+        self.high = np.array([int.from_bytes(r[:8].ljust(8, b"\xff"), "big") for r in raws], np.uint64)
+        self.rest = np.frombuffer(b"".join(r[8:].ljust(max(0, self.width - 8), b"\0") for r in raws), np.uint8).reshape(len(raws), -1)
         # the first two and the last two bytes of each piece
         pair = lambda b: b[0] << 8 | b[1] if len(b) > 1 else b[0] << 8
-        self.begins = np.array([pair(k.encode()) for k in order])
-        self.finishes = np.array([pair(k.encode()[-2:]) for k in order])
+        self.begins = np.array([pair(r) for r in raws])
+        self.finishes = np.array([pair(r[-2:]) for r in raws])
 
-    def suffixes(self, data: np.ndarray) -> np.ndarray:
-        """Positions of ``data`` in the order of the ``width`` bytes that begin there."""
+    def suffixes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of ``data`` in the order of the eight bytes that begin there, and these bytes as numbers."""
         n = len(data)
-        padded = np.concatenate([data, np.zeros(2 * self.width, np.uint8)])
-        key = np.zeros(n + self.width, np.uint64)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        key = np.zeros(n, np.uint64)
         for k in range(8):
-            key[: n + self.width] = key << np.uint64(8) | padded[k : k + n + self.width]
-        if self.width == 8:
-            return np.argsort(key[:n], kind="stable")
-        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-        step = 8
-        while 2 * step < self.width:
-            later = np.zeros_like(rank)
-            later[:-step] = rank[step:]
-            rank = np.unique(rank << np.uint64(32) | later, return_inverse=True)[1].astype(np.uint64)
-            step *= 2
-        later = np.zeros_like(rank)
-        later[:-step] = rank[step:]
-        return np.argsort((rank << np.uint64(32) | later)[:n], kind="stable")
+            key <<= np.uint64(8)
+            key |= padded[k : k + n]
+        order = np.argsort(key)
+        return order, key[order]
 
     def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and id of every occurrence of a piece, by end, the longest first."""
-        order = self.suffixes(data)
-        padded = np.concatenate([data, np.zeros(self.width, np.uint8)])
-        windows = np.lib.stride_tricks.sliding_window_view(padded, self.width)[order]
-        table = np.ascontiguousarray(windows).view(f"S{self.width}").ravel()
+        order, table = self.suffixes(data)
         # pieces of which two neighbouring bytes don't occur need no search
         there = np.zeros(1 << 16, bool)
         there[data[:-1].astype(np.int64) << 8 | data[1:]] = True
         there[np.unique(data).astype(np.int64) << 8] = True
         some = np.flatnonzero(there[self.begins] & there[self.finishes])
-        low, high = np.searchsorted(table, self.wanted[some]), np.searchsorted(table, self.above[some], "right")
-        counts = np.maximum(high - low, 0)
+        low, high = np.searchsorted(table, self.low[some]), np.searchsorted(table, self.high[some], "right")
+        counts = high - low
         at = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        start, which = order[at], some[np.repeat(np.arange(len(counts)), counts)]
-        end = start + self.lengths[which]
-        # by end, the longest first: two sorts of small keys in one
-        by = np.argsort(end << 6 | np.minimum(63, self.width - self.lengths[which]), kind="stable")
-        return start[by], end[by], self.wanted_ids[which[by]]
+        start, which = order[at], np.repeat(some, counts)
+        size = self.lengths[which]
+        # the ninth and further bytes of longer pieces, which come first
+        n_long = int(np.searchsorted(-size, -8))
+        if n_long:
+            ok = start[:n_long] + size[:n_long] <= len(data)
+            padded = np.concatenate([data, np.zeros(self.width, np.uint8)])
+            for k in range(8, int(size[0])):
+                m = int(np.searchsorted(-size[:n_long], -k))
+                ok[:m] &= padded[start[:m] + k] == self.rest[which[:m], k - 8]
+            keep = np.concatenate([np.flatnonzero(ok), np.arange(n_long, len(start))])
+            start, which, size = start[keep], which[keep], size[keep]
+        end = start + size
+        by = by_digits(end)
+        return start[by], end[by], self.ids[which[by]]
 
     def all_edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As ``edges``, with one for each byte of characters without a piece."""
@@ -368,7 +383,7 @@ class SuffixEncoder:
         odd = np.flatnonzero(self.pieces.strange(data))
         if len(odd):
             start, end, ids = np.concatenate([start, odd]), np.concatenate([end, odd + 1]), np.concatenate([ids, BYTES - data[odd].astype(np.int64)])
-            by = np.lexsort((start, end))
+            by = by_digits(end)  # a character without a piece is no part of one, so lengths stay in order
             start, end, ids = start[by], end[by], ids[by]
         return start, end, ids
 
@@ -534,6 +549,7 @@ class TrieCounter:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.counted: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -614,10 +630,19 @@ class TrieCounter:
             units = Units(data[a:b], offsets[(offsets > a) & (offsets < b)] - a)
             part = data[a:b]
             raw, n = part.tobytes(), np.zeros(len(units.size), np.int64)
-            for k in np.flatnonzero(units.size <= LONG_UNIT).tolist():
-                if len(self.last) > NODES:
-                    self.clear()
-                n[k] = self.insert(raw[units.begin[k] : units.begin[k] + units.size[k]].decode())
+            small = np.flatnonzero(units.size <= LONG_UNIT)
+            words = [raw[p : p + m] for p, m in zip(units.begin[small].tolist(), units.size[small].tolist(), strict=True)]
+            if len(self.counted) > TERMINALS:
+                self.counted = {}
+            found = list(map(self.counted.get, words))
+            for k, word in enumerate(words):
+                if found[k] is None:
+                    if len(self.last) > NODES:
+                        self.clear()
+                    found[k] = self.insert(word.decode())
+                    if len(word) <= 32:
+                        self.counted[word] = found[k]
+            n[small] = found
             for k in np.flatnonzero(units.size > LONG_UNIT).tolist():
                 n[k] = self.long(part[units.begin[k] : units.begin[k] + units.size[k]])
             np.add.at(totals, np.searchsorted(offsets, units.starts + a, "right") - 1, n[units.which])
@@ -638,7 +663,8 @@ def _slim(documents: DataFrame) -> tuple[DataFrame, str]:
     return documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), kind
 
 
-def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and 64-bit offsets of a string column without nulls."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     data = column.buffers()[2]
@@ -660,7 +686,7 @@ def encode_decode(documents: DataFrame, model_path: str, with_ids: bool = True)
     def run(batches):
         tool = kept_in_worker(SuffixEncoder, cast.value)
         for b in batches:
-            texts, ends = _texts(b["text"])
+            texts, ends = string_buffers(b["text"])
             for i, j in blocks(ends, SEGMENT):
                 data, offsets = prepared(texts, ends[i : j + 1])
                 ids, n = tool.encode(data, offsets)
@@ -690,7 +716,7 @@ def token_counts(documents: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         tool = kept_in_worker(TrieCounter, cast.value)
         for b in batches:
-            texts, ends = _texts(b["text"])
+            texts, ends = string_buffers(b["text"])
             for i, j in blocks(ends, SEGMENT):
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(tool.counts(*prepared(texts, ends[i : j + 1])))], ["doc_id", "n_tokens"])
 
