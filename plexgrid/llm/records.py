@@ -12,6 +12,7 @@ Documents are range-partitioned by doc_id; file k holds smaller ids than k + 1.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -25,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import keep_till_exit, shared_dir
-from .common import small_batches
+from .common import blocks, small_batches
+from .pieces import SEGMENT, Units, segments, spread_out, string_buffers
 
 END_ID = 1
 MASK_DELTA = np.uint32(0xA282EAD8)
 CHUNK = 512
-#: Words whose ids a worker remembers; beyond this it starts anew.
-REMEMBERED = 900_000
+#: Words whose ids a worker remembers, of so many characters; beyond this it starts anew.
+REMEMBERED, LONGEST = 900_000, 32
 
 
 def _crc_tables() -> np.ndarray:
@@ -139,28 +141,73 @@ def unframe(data: bytes, offsets: list[int]) -> list[bytes]:
 #: Words with one run of plain letters and at most one of marks: one or two pre-tokens.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|]+)?")
 
+# The settings of a tokenizer for which WordEncoder is right.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
-class WordEncoder:
-    """Packed ids of texts by a tokenizer whose tokens never reach over a space or line feed.
 
-    Each word between these is encoded by the tokenizers library once and
-    remembered, up to a bounded number of words.
+def by_words(spec: str) -> bool:
+    """True if the tokenizer drops spaces and line feeds before anything else looks at them, so that words can be encoded by themselves.
+
+    It must lower and split texts as stated above, end pre-tokens in "</w>", and
+    have no added tokens that take spaces or hold them.
     """
+    d = json.loads(spec)
+    model = d["model"]
+    plain = lambda t: t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]))
+    return (
+        d.get("normalizer") == {"type": "Sequence", "normalizers": NORMALIZER}
+        and d.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": PRE_TOKENIZERS}
+        and d.get("post_processor") is None
+        and d.get("truncation") is None
+        and d.get("padding") is None
+        and model["type"] == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and all(map(plain, d.get("added_tokens", [])))
+    )
+
+
+class TextEncoder:
+    """Ids of whole texts by the tokenizers library."""
 
     def __init__(self, spec: str, dtype: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tool, self.dtype = Tokenizer.from_str(spec), dtype
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text."""
+        texts = [data[p:q].tobytes().decode() for p, q in zip(offsets[:-1], offsets[1:], strict=True)]
+        return [np.array(e.ids, self.dtype) for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class WordEncoder(TextEncoder):
+    """Ids of texts by a tokenizer that ``by_words`` admits.
+
+    The distinct words between spaces and line feeds of a few megabytes of text
+    are encoded by the tokenizers library once. Those of up to LONGEST characters
+    are remembered for later texts, up to a bounded number.
+    """
+
+    def __init__(self, spec: str, dtype: str):
+        super().__init__(spec, dtype)
+        from tokenizers import Tokenizer, pre_tokenizers
+
         # the same model for plain words: in lower case, with marks set apart, they need no other preparation
         self.plain = Tokenizer(self.tool.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[str, bytes] = {}
         vocab = self.tool.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
 
     def ids_of(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word. Plain ones go through many at once and are told apart by the tokens that end a pre-token."""
@@ -195,25 +242,41 @@ class WordEncoder:
             found.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False), strict=True))
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(known.get, ws)) for ws in words]
-        gaps = [[k for k, x in enumerate(v) if x is None] if None in v else () for v in found]
-        known.update(self.ids_of(list({ws[k] for ws, at in zip(words, gaps, strict=True) for k in at})))
-        for ws, v, at in zip(words, found, gaps, strict=True):
-            for k in at:
-                v[k] = known[ws[k]]
-        return [b"".join(v) for v in found]
-
-
-def worker_encoder(spec: str, dtype: str) -> WordEncoder:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        begin = int(offsets[0])
+        data, offsets = data[begin : int(offsets[-1])], offsets - begin
+        found, totals = [], np.zeros(len(offsets) - 1, np.int64)
+        width = np.dtype(self.dtype).itemsize
+        for a, b in segments(data):
+            at = np.flatnonzero((data[a:b] != 32) & (data[a:b] != 10))
+            if not len(at):
+                continue
+            new = np.diff(at, prepend=-2) != 1
+            heads = np.searchsorted(at, offsets[(offsets > a) & (offsets < b)] - a)
+            new[heads[heads < len(at)]] = True  # a document's first character begins a word
+            letters = data[a:b][at]
+            units = Units(letters, np.flatnonzero(new))
+            raw = letters.tobytes()
+            words = [raw[p : p + n].decode() for p, n in zip(units.begin.tolist(), units.size.tolist(), strict=True)]
+            if len(self.known) > REMEMBERED:
+                self.known = {}
+            packed = list(map(self.known.get, words))
+            fresh = self.ids_of([w for w, x in zip(words, packed, strict=True) if x is None])
+            packed = [fresh[w] if x is None else x for w, x in zip(words, packed, strict=True)]
+            self.known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
+            counts = np.array([len(x) // width for x in packed])
+            ids, n = spread_out(np.frombuffer(b"".join(packed), self.dtype), counts, units.which)
+            found.append(ids)
+            np.add.at(totals, np.searchsorted(offsets, at[new] + a, "right") - 1, n)
+        ids = np.concatenate(found) if found else np.zeros(0, self.dtype)
+        return np.split(ids, np.cumsum(totals)[:-1])
+
+
+def worker_encoder(spec: str, dtype: str) -> TextEncoder:
     """The encoder of this Python worker, kept from task to task."""
     kept = sys.modules.setdefault("_plexgrid_kept", types.ModuleType("_plexgrid_kept"))
     if getattr(kept, "spec", None) != (spec, dtype):
-        kept.spec, kept.encoder = (spec, dtype), WordEncoder(spec, dtype)
+        kept.spec, kept.encoder = (spec, dtype), (WordEncoder if by_words(spec) else TextEncoder)(spec, dtype)
     return kept.encoder
 
 
@@ -257,19 +320,18 @@ def write_records(documents: DataFrame, tokenizer_path: str, folder: str, partit
         tool, records, ids, at = worker_encoder(spec_cast.value, dtype), 0, 0, 0
         with fs.open_output_stream(f"{mine}.rec") as out, fs.open_output_stream(f"{mine}.idx") as index:
             for b in batches:
-                texts, keys = b["text"].to_pylist(), b["doc_id"].to_pylist()
-                for i in range(0, len(texts), 512):
-                    got = tool.encode(texts[i : i + 512])
-                    parts = [x + end for x in got]
+                (texts, ends), keys = string_buffers(b["text"]), b["doc_id"].to_pylist()
+                for i, j in blocks(ends, SEGMENT):
+                    parts = [x.tobytes() + end for x in tool.encode(texts, ends[i : j + 1])]
                     framed = frame(parts)
-                    rows = np.empty((len(got), 3), "<i8")
-                    rows[:, 0] = [-(1 << 63) if k is None else k for k in keys[i : i + 512]]
+                    rows = np.empty((j - i, 3), "<i8")
+                    rows[:, 0] = [-(1 << 63) if k is None else k for k in keys[i:j]]
                     rows[:, 2] = [len(x) // len(end) for x in parts]
                     sizes = np.array([len(f) for f in framed])
                     rows[:, 1] = at + np.cumsum(sizes) - sizes
                     out.write(b"".join(framed))
                     index.write(rows.tobytes())
-                    records, ids, at = records + len(got), ids + int(rows[:, 2].sum()), at + int(sizes.sum())
+                    records, ids, at = records + j - i, ids + int(rows[:, 2].sum()), at + int(sizes.sum())
         if records:
             for kind in ("rec", "idx"):
                 put(fs, f"{mine}.{kind}", f"{name}.{kind}")

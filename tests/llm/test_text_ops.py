@@ -475,6 +475,18 @@ def test_records_equal_the_library(spark):
     assert [r["doc_id"] for r in same] == [None, 3, 3] and [r["n_tokens"] for r in same] == [1, 2, 3]
 
 
+def test_records_of_other_tokenizers_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert records.by_words(open(BPE).read()) and not records.by_words(open(path).read())
+    t, texts = Tokenizer.from_file(path), [*ODD_TEXT, *invented(20), "a  b\n c", None]
+    got = records.token_records(docs(spark, texts), path).orderBy("doc_id").collect()
+    for r, text in zip(got, texts, strict=True):
+        want = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+
+
 def test_record_format(spark, tmp_path):
     crc = records.crc32c([b"123456789", b"", b"abc", b"x" * 5000])
     assert hex(crc[0]) == "0xe3069283" and crc[1] == 0
