@@ -516,7 +516,7 @@ class SuffixEncoder:
         small = np.flatnonzero(units.size <= LONG_UNIT)
         # the index takes some hundred bytes a byte
         size = units.size[small]
-        for i, j in blocks(np.concatenate([[0], np.cumsum(size)]), 1 << 19):
+        for i, j in blocks(np.concatenate([[0], np.cumsum(size)]), 1 << 18):
             n = size[i:j]
             at = np.repeat(units.begin[small[i:j]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             ids, counts[small[i:j]] = self.short(data[at], np.cumsum(n) - n, n)
