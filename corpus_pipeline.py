@@ -22,14 +22,20 @@ ORACLE_SQL = None
 
 
 def _wrapped(docs):
-    """(doc_id, text, _doc): the operators see two columns, so those of the documents keep their names and values."""
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    """(doc_id, text, _doc): the operators see two columns, so the others of the documents keep their names and values."""
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in others)).alias("_doc"))
+
+
+def _unwrapped(out, docs, **new):
+    """The columns of ``docs`` from wrapped rows, with the ``new`` ones in their places."""
+    return out.select(*(new.get(c, F.col("text") if c == "text" else F.col("_doc")[c]).alias(c) for c in docs.columns))
 
 
 def quality_stage(spark, docs, sf_dir):
     """Documents that the quality classifier doesn't reject; it is trained on the labelled ones of ``docs``."""
     net = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(_wrapped(docs), net).where("predicted = 1").select("_doc.*")
+    return _unwrapped(score_quality(_wrapped(docs), net).where("predicted = 1"), docs)
 
 
 def lines_stage(spark, docs, sf_dir):
@@ -38,12 +44,11 @@ def lines_stage(spark, docs, sf_dir):
     ``n_chars``, where the documents have it, is that of the text which stays.
     """
     out = dedup_lines(_wrapped(docs)).where("text IS NULL OR text <> '' OR n_removed = 0")
-    doc = F.col("_doc")
     new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(doc["n_chars"])
-    return out.select(*(new.get(c, doc[c]).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("_doc")["n_chars"])
+    return _unwrapped(out, docs, **new)
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
@@ -54,15 +59,15 @@ def near_duplicate_stage(spark, docs, sf_dir):
     """
     kept = near_duplicates(docs, n=5, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
     held = _wrapped(docs).withColumn("_id", F.col("doc_id").cast("long"))
-    without = held.where("_id IS NULL").select("_doc.*")
-    return held.join(kept, F.col("_id") == F.col("_kept"), "left_semi").select("_doc.*").unionByName(without)
+    without = held.where("_id IS NULL")
+    return _unwrapped(held.join(kept, F.col("_id") == F.col("_kept"), "left_semi").unionByName(without), docs)
 
 
 def decontamination_stage(spark, docs, sf_dir):
     """Documents that hold no benchmark item; rows without an id and rows that repeat one are judged by their own texts."""
     held = contaminated_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     own = _wrapped(docs).withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return own.join(held, "_row", "left_anti").select("_doc.*")
+    return _unwrapped(own.join(held, "_row", "left_anti"), docs)
 
 
 def sentencepiece_stage(spark, docs, sf_dir):
