@@ -65,6 +65,12 @@ def contains(x: str = "x", y: str = "y", xs: str = "xs", ys: str = "ys") -> Colu
     )
 
 
+def is_box(xs: str = "xs", ys: str = "ys") -> Column:
+    """True for rings of four vertices that are the corners of their bounds, one after the other."""
+    corners = F.expr(f"size({xs}) = 4 AND forall({xs}, v -> v = xmin OR v = xmax) AND forall({ys}, v -> v = ymin OR v = ymax)")
+    return F.coalesce(corners & (2 * area(xs, ys) > F.expr("(xmax - xmin) * (ymax - ymin)")), F.lit(False))
+
+
 def contains_convex(x: str = "x", y: str = "y", xs: str = "xs", ys: str = "ys") -> Column:
     """As ``contains``, for convex rings given counter-clockwise: on the left of every edge or on it."""
     n = f"size({xs})"

@@ -28,6 +28,27 @@ def gene_category(gene: str = "gene") -> Column:
     )
 
 
+# The viewer's categories of genes, in the order of their columns.
+GENE_FLAGS = (
+    "is_gene",
+    "is_negative_control_probe",
+    "is_negative_control_codeword",
+    "is_deprecated",
+    "is_predicted_false_positive",
+    "is_unassigned_codeword",
+    "is_blank_codeword",
+    "is_anti_sense",
+    "is_genomic_control",
+)
+
+
+def gene_flags(gene: str = "gene") -> dict[str, Column]:
+    """Nine columns of which one is true: that of the gene's category. Categories that no name tells of are false."""
+    column = {"gene": "is_gene", "negative_control": "is_negative_control_probe", "deprecated": "is_deprecated", "blank": "is_blank_codeword"}
+    own = {flag: gene_category(gene) == kind for kind, flag in column.items()}
+    return {flag: own.get(flag, F.lit(False)) for flag in GENE_FLAGS}
+
+
 def cell_name(number: str) -> Column:
     """Eight letters a..p, base 16, and a suffix."""
     digits = F.lpad(F.lower(F.hex(F.col(number))), 8, "0")

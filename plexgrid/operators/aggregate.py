@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..functions.stats import log1p_tpm
 from . import spatial
-from .storage import ordinals, quantiles
+from .storage import ordinals, quantiles, written
 
 
 def kept_points(points: DataFrame, gene: str = "gene", pattern: str | None = T.EXCLUDED, only_excluded: bool = False, low_quality: str = "low_quality_transcript") -> DataFrame:
@@ -156,7 +156,8 @@ def aggregate(
 
     Bins come before points. Ids are given before cells are dropped, so they
     keep their numbers. ``expand_radius_ratio`` grows cells by that share of the
-    mean radius (1 for bins, 0 for channels if none is given).
+    mean radius (1 for bins, 0 for channels if none is given). If no cell
+    passes and cells are dropped, that is an error.
     """
     counts = intensities = None
     if bins is not None:
@@ -173,9 +174,11 @@ def aggregate(
         intensities = aggregate_channels(pixels, cells, "average", exact)
     if counts is None and intensities is None:
         raise ValueError("nothing to aggregate: give points, bins or pixels")
-    flags = filter_flags(cells, counts, min_transcripts, intensities, min_intensity_ratio)
+    flags = written(filter_flags(cells, counts, min_transcripts, intensities, min_intensity_ratio), "flags")
     table = cell_geometry(cells).join(flags, "ord")
     if drop:
+        if flags.where("passes_filtering").isEmpty() and not flags.isEmpty():
+            raise ValueError("all cells were filtered; lower the limits")
         table = table.where("passes_filtering").drop("passes_filtering")
     keep = table.select("ord")
     return {k: v for k, v in (("cells", table), ("counts", counts and counts.join(keep, "ord", "left_semi")), ("intensities", intensities and intensities.join(keep, "ord", "left_semi"))) if v is not None}
@@ -204,9 +207,11 @@ def overlay_segmentation(old: DataFrame, new: DataFrame, points: DataFrame | Non
     return out
 
 
-def low_count_genes(counts: DataFrame, n_cells: int, below: float = 0.01, most: int = 50) -> DataFrame:
-    """Genes whose mean count over all cells is low, the first ``most`` by name."""
+def low_count_genes(counts: DataFrame, n_cells: int, below: float = 0.01, most: int = 50, genes: DataFrame | None = None) -> DataFrame:
+    """Genes whose mean count over all cells is low, the first ``most`` by name; with ``genes``, those never counted too."""
     mean = counts.groupBy("gene").agg((F.sum("n") / n_cells).alias("mean_count"))
+    if genes is not None:
+        mean = genes.select("gene").distinct().join(mean, "gene", "left").withColumn("mean_count", F.coalesce("mean_count", F.lit(0.0)))
     return mean.where(F.col("mean_count") < below).orderBy("gene").limit(most)
 
 

@@ -3,7 +3,7 @@
 A range predicate alone would be planned as a nested loop. So each shape goes
 to the grid squares that its bounding box covers, on a level whose squares are
 at least as large as the shape (four squares at most), each point to one square
-for each level in use, and an equi-join on the squares comes before the exact
+for each level from the lowest to the highest in use, and an equi-join on the squares comes before the exact
 test. Shapes of very different size don't multiply rows this way. Crowded
 squares are skewed join keys, which adaptive execution splits.
 """
@@ -67,8 +67,12 @@ def points_in_shapes(points: DataFrame, shapes: DataFrame, exact: Callable[[], C
     left = point_squares(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()), grid, x, y)
     right = shape_squares(shapes, grid, reach)
     box = f"{x} BETWEEN xmin - {reach}D AND xmax + {reach}D AND {y} BETWEEN ymin - {reach}D AND ymax + {reach}D"
-    test = G.contains(x, y) if exact is None else exact()
-    return left.join(right, ["_lv", "_gx", "_gy"]).where(F.expr(box)).where(test).drop("_lv", "_gx", "_gy")
+    if exact is None:  # boxes, found once a shape, need no more than the test of bounds
+        right = right.withColumn("_whole", G.is_box())
+        test = F.col("_whole") | G.contains(x, y)
+    else:
+        test = exact()
+    return left.join(right, ["_lv", "_gx", "_gy"]).where(F.expr(box)).where(test).drop("_lv", "_gx", "_gy", "_whole")
 
 
 def in_box(x: str = "x", y: str = "y") -> Callable[[], Column]:

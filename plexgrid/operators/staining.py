@@ -103,12 +103,6 @@ def embed_tiles(pixels: DataFrame, patches: DataFrame, model: Callable | str, ch
     return wanted.groupBy("patch_id").applyInPandas(run, "patch_id long, embedding array<double>")
 
 
-def embed_first_pixel(pixels: DataFrame, patches: DataFrame, levels: float = 255.0) -> DataFrame:
-    """(patch_id, c, value): what ``dummy_model`` gives, by columns only."""
-    corner = patches.select("patch_id", F.col("xmin").cast("int").alias("x"), F.col("ymin").cast("int").alias("y"))
-    return corner.join(pixels, ["x", "y"]).select("patch_id", "c", (F.col("value") / levels).alias("value"))
-
-
 def fill_outside(pixels: DataFrame, by: str = "c") -> DataFrame:
     """Pixels outside ``inside`` take the mean of their channel's pixels inside (rounded down to an integer)."""
     mean = pixels.where("inside").groupBy(by).agg(F.avg("value").alias("_m"))

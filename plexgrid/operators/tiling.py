@@ -124,11 +124,6 @@ def metrics_density(points: DataFrame, cell: float, x0: float = 0.0, y0: float =
     return g.select("row", "col", "total", F.col("total").alias("total_again"), "negative", F.lit(0).cast("long").alias("zero"))
 
 
-def best_level(objective_power: float, mpp: float) -> float:
-    """The objective power nearest to what a resolution of ``mpp`` microns a pixel asks for."""
-    return objective_power * mpp / 10.0
-
-
 def padded_region(pixels: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
     """All pixels of a region, zero where the image has none."""
     spark = pixels.sparkSession

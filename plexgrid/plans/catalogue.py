@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import stats as S
 from ..functions import text as T
-from ..functions.channels import channel_color
+from ..functions.channels import channel_labels
 from ..model import Affine
 from ..operators import aggregate as A
 from ..operators import annotate as N
@@ -286,10 +286,23 @@ def _(e):
     return p.select("p_partkey", "name", T.wavelength("_n").alias("wavelength"))
 
 
-@query("channel_colors", "SELECT p_partkey, CASE WHEN upper(p_name) = 'DAPI' THEN 'blue' ELSE list_element(['white', 'blue', 'green', 'yellow', 'red', 'magenta', 'cyan', 'orange'], CAST(p_partkey % 8 AS INT) + 1) END AS color FROM part WHERE NOT regexp_matches(p_name, '(^|[^0-9])[0-9]{3}([^0-9]|$)')")
+_channel = "CASE p_partkey % 7 WHEN 0 THEN 'DAPI' WHEN 1 THEN 'DNA1' WHEN 2 THEN p_name || ' 488' ELSE p_name END"
+
+
+@query("channel_colors", f"""
+WITH c AS (SELECT p_brand, p_partkey, {_channel} AS name FROM part),
+w AS (SELECT *, regexp_matches(name, '(^|[^0-9])[0-9]{{3}}([^0-9]|$)') AS wave, name IN ('DAPI', 'DNA1', 'DNA2', 'DAPI (000)') AS known FROM c),
+t AS (SELECT *, ceil(sum(CASE WHEN wave OR known THEN 0 ELSE 1 END) OVER (PARTITION BY p_brand) / 4.0) AS share, sum(CASE WHEN wave OR known THEN 0 ELSE 1 END) OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS turn FROM w)
+SELECT p_brand, p_partkey, CASE WHEN wave THEN name WHEN known THEN name || ' (color=white)' ELSE name || ' (color=' || CAST(700 - 100 * CAST(floor(turn / share) AS INT) AS VARCHAR) || ')' END AS label FROM t
+""")
+def _(e):
+    p = e.table("part").select("p_brand", "p_partkey", F.expr(_channel).alias("name"))
+    return channel_labels(p, "name", "p_partkey", ["p_brand"]).select("p_brand", "p_partkey", "label")
+
+
+@query("gene_flags", sql("points", "SELECT DISTINCT gene, NOT (g OR b OR d) AS is_gene, g AS is_negative_control_probe, false AS is_negative_control_codeword, d AND NOT g AND NOT b AS is_deprecated, false AS is_predicted_false_positive, false AS is_unassigned_codeword, b AND NOT g AS is_blank_codeword, false AS is_anti_sense, false AS is_genomic_control FROM (SELECT gene, regexp_matches(lower(gene), 'negcontrol|negprobe') AS g, contains(lower(gene), 'blank') AS b, regexp_matches(lower(gene), 'systemcontrol|falsecode') AS d FROM points WHERE gene IS NOT NULL)"))
 def _(e):
-    p = e.table("part").where(T.wavelength("p_name").isNull())
-    return p.select("p_partkey", channel_color("p_name", "p_partkey").alias("color"))
+    return e.points().where("gene IS NOT NULL").select("gene").distinct().withColumns(T.gene_flags())
 
 
 # statistics
@@ -637,12 +650,7 @@ def _(e):
     return N.propagate_labels(both, nodes)
 
 
-@query("embed_tiles", sql("image", "SELECT CAST(py * 4 + px AS BIGINT) AS patch_id, c, value / CAST(255 AS DOUBLE) AS value FROM image JOIN (SELECT i % 4 AS px, i // 4 AS py FROM range(16) t(i)) ON x = px * 13 AND y = py * 13"))
-def _(e):
-    return staining.embed_first_pixel(e.image(), tiling.image_patches(e.spark, 50, 50, 13))
-
-
-@query("embed_tiles_model")
+@query("embed_tiles", sql("image", "SELECT CAST(py * 4 + px AS BIGINT) AS patch_id, n.c, coalesce(value, 0) / CAST(255 AS DOUBLE) AS value FROM (SELECT i % 4 AS px, i // 4 AS py FROM range(16) t(i)) CROSS JOIN (SELECT unnest(['F', 'O']) AS c) n LEFT JOIN image m ON m.c = n.c AND m.x = px * 13 AND m.y = py * 13"))
 def _(e):
     channels = ["F", "O"]
     t = staining.embed_tiles(e.image(), tiling.image_patches(e.spark, 50, 50, 13), "dummy", channels)

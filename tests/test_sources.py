@@ -98,10 +98,19 @@ def test_small_helpers(spark, tmp_path):
     from plexgrid.model import Dataset
     from plexgrid.sources import sinks
 
-    assert channels.best_level_for_objective(10, 40, [1, 2, 4, 8]) == (2, 1.0)
-    assert channels.nearest_objective(0.5) == 20 and channels.preset_for({"fov", "cell_ID", "target"}) == "cosmx"
-    df = spark.createDataFrame([("DAPI", 0), ("x 488", 1), ("y", 2)], "n string, k int")
-    assert [r["c"] for r in df.select(channels.channel_color("n", "k").alias("c")).collect()] == ["blue", "blue", "green"]
+    level = lambda m, **k: channels.level_for_magnification(m, [1, 2.5, 6, 20], **k)
+    assert level(8, objective_power=64) == (2, 6 / 8) and level(64, objective_power=64) == (0, 1.0)
+    assert level(100, objective_power=50) == (0, 2.0) and level(1, objective_power=60) == (3, 20 / 60)
+    assert level(7, mpp=0.26) == (1, 2.5 / (40 / 7))
+    with pytest.raises(ValueError):
+        level(5)
+    assert channels.nearest_objective(0.11) == 80 and channels.nearest_objective(9) == 5 and channels.preset_for({"fov", "cell_ID", "target"}) == "cosmx"
+    names = ["CD8", "DAPI", "405nm", "Ki67", "KRT", "SMA", "DAPI (000)", "PanCK", "dapi", "CD45"]
+    df = spark.createDataFrame([("one", k, n) for k, n in enumerate(names)] + [("two", 0, "CD8")], "image string, k int, n string")
+    got = [r["label"] for r in channels.channel_labels(df, "n", "k", ["image"]).orderBy("image", "k").collect()]
+    # seven of the first image's channels have no colour: two of each wavelength from 700 on
+    colors = ["700", "white", None, "700", "600", "600", None, "500", "500", "400"]
+    assert got == [n if c is None else f"{n} (color={c})" for n, c in zip(names, colors, strict=True)] + ["CD8 (color=700)"]
     assert "<td>a, b</td>" in sinks.report_html({"low_count_genes": ["a", "b"]})
     d = Dataset()
     d.add("images", "i", df)

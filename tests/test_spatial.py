@@ -1,4 +1,4 @@
-"""Hand-computed cases of the spatial operators."""
+"""Spatial operators against brute force and hand-computed cases."""
 
 import numpy as np
 import pytest
@@ -27,23 +27,60 @@ def matrix(counts, n, genes):
     return [[got.get((i, g), 0) for g in genes] for i in range(n)]
 
 
-XS, YS = [1, 2, 3, 7, 11, 1, 3, 2, 2, 1], [1, 1, 2, 8, 0, 2, 4, 3, 3, 1]
-GENES = [None, "a", "b", "c", "a", "c", "gene_control", "b", "b", "blank"]
-CELLS = [[(1, 2), (3, 2), (3, 4), (1, 4)], [(0, 0), (2, 0), (2, 2), (0, 2)], [(0, 0), (3, 0), (3, 3), (0, 3)]]
+RNG = np.random.default_rng(17)
+#: Points on whole numbers, so that many lie on borders.
+POINTS = [(int(x), int(y), str(g)) for x, y, g in zip(RNG.integers(0, 12, 150), RNG.integers(0, 12, 150), RNG.choice(["g1", "g2", "g3", "blank_9", "NegControl"], 150), strict=True)] + [(4, 4, None)]
+CELLS = [[(1, 1), (9, 2), (5, 8)], [(3, 3), (11, 3), (11, 10), (3, 10)], [(0, 6), (4, 2), (8, 6), (4, 11)], [(2, 0), (10, 0), (10, 5), (6, 2), (2, 5)]]
+
+
+def holds(ring, x, y):
+    """By whole numbers: on an edge, or an odd number of edges to the right."""
+    odd = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+        cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+        if cross == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+            return True
+        if (y1 > y) != (y2 > y) and (cross > 0) == (y2 > y1):
+            odd = not odd
+    return odd
+
+
+def counted(genes):
+    return [[sum(g == gene and holds(c, x, y) for x, y, g in POINTS) for gene in genes] for c in CELLS]
+
+
+def point_frame(spark):
+    return spark.createDataFrame([(float(x), float(y), g) for x, y, g in POINTS], "x double, y double, gene string")
 
 
 def test_counts_with_borders(spark):
-    p = spark.createDataFrame([(float(x), float(y), g) for x, y, g in zip(XS, YS, GENES, strict=True)], "x double, y double, gene string")
-    c = shapes(spark, CELLS)
-    assert matrix(aggregate.count_transcripts(p, c), 3, "abc") == [[0, 3, 1], [1, 0, 1], [1, 3, 1]]
-    assert matrix(aggregate.count_transcripts(p, c, only_excluded=True), 3, ["blank", "gene_control"]) == [[0, 1], [1, 0], [1, 0]]
+    p, c = point_frame(spark), shapes(spark, CELLS)
+    assert matrix(aggregate.count_transcripts(p, c), 4, ["g1", "g2", "g3"]) == counted(["g1", "g2", "g3"])
+    assert matrix(aggregate.count_transcripts(p, c, only_excluded=True), 4, ["blank_9", "NegControl"]) == counted(["blank_9", "NegControl"])
     dense = aggregate.completed(aggregate.count_transcripts(p, c), c, aggregate.features(p))
-    assert dense.count() == 9
+    assert dense.count() == 12
+
+
+def test_boxes_need_no_test_of_edges(spark):
+    rings = [box(0, 0, 4, 2), [(0, 2), (0, 0), (4, 0), (4, 2)], [(0, 0), (4, 2), (4, 0), (0, 2)], [(0, 0), (4, 0), (2, 2)], [(0, 0), (2, 0), (4, 0), (4, 2), (0, 2)], [(0, 1), (2, 0), (4, 1), (2, 2)]]
+    assert [r["b"] for r in shapes(spark, rings).select("ord", G.is_box().alias("b")).orderBy("ord").collect()] == [True, True, False, False, False, False]
 
 
 def test_low_quality_points_are_left_out(spark):
-    p = spark.createDataFrame([(1.0, 1.0, "a", True), (2.0, 1.0, "a", False), (3.0, 2.0, "b", False), (1.0, 2.0, "b", False)], "x double, y double, gene string, low_quality_transcript boolean")
-    assert matrix(aggregate.count_transcripts(p, shapes(spark, [box(-1, -1, 10, 10)])), 1, "ab") == [[1, 2]]
+    rows = [(float(k), 0.5 * k, f"g{k % 2}", None if k == 6 else k % 3 == 0) for k in range(9)]
+    p = spark.createDataFrame(rows, "x double, y double, gene string, low_quality_transcript boolean")
+    assert matrix(aggregate.count_transcripts(p, shapes(spark, [box(0, 0, 7, 7)])), 1, ["g0", "g1"]) == [[3, 3]]
+
+
+def test_all_cells_filtered_is_an_error(spark):
+    p, c = point_frame(spark), shapes(spark, CELLS)
+    with pytest.raises(ValueError, match="filtered"):
+        aggregate.aggregate(c, p, min_transcripts=10_000)
+    flagged = aggregate.aggregate(c, p, min_transcripts=10_000, drop=False)["cells"].collect()
+    assert len(flagged) == 4 and not any(r["passes_filtering"] for r in flagged)
+    counts = aggregate.count_transcripts(p, c)
+    genes = spark.createDataFrame([("g1",), ("never",)], "gene string")
+    assert [tuple(r) for r in aggregate.low_count_genes(counts, 4, genes=genes).collect()] == [("never", 0.0)]
 
 
 def test_random_counts_come_back(spark):
@@ -56,123 +93,187 @@ def test_random_counts_come_back(spark):
 
 
 def test_first_match(spark):
-    c = shapes(spark, [box(10, 10, 20, 28), box(15, 18, 25, 22), box(30, 35, 34, 42)])
-    xs, ys = [1.5, 16, 23, 67, 33, 19, 22, 10], [15, 21, 34, 5, 40, 20, 21, 10]
-    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(xs, ys, strict=True))], "id int, x double, y double")
+    rng = np.random.default_rng(2)
+    boxes = [(int(x), int(y), int(x + w), int(y + h)) for x, y, w, h in zip(rng.integers(0, 40, 9), rng.integers(0, 40, 9), rng.integers(3, 15, 9), rng.integers(3, 15, 9), strict=True)]
+    at = [(int(x), int(y)) for x, y in rng.integers(0, 55, (80, 2))]
+    first = [next((k for k, (a, b, c, d) in enumerate(boxes) if a <= x <= c and b <= y <= d), None) for x, y in at]
+    c = shapes(spark, [box(*b) for b in boxes])
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id int, x double, y double")
     by = lambda u: [r["cell"] for r in spatial.assign_first(p, c, ["id"], u).orderBy("id").collect()]
-    assert by(0) == [0, 1, 0, 0, 3, 1, 2, 1]
-    assert by(None) == [None, 0, None, None, 2, 0, 1, 0]
+    assert by(None) == first and len(set(first)) > 5
+    assert by(0) == [0 if k is None else k + 1 for k in first]
 
 
 @pytest.mark.parametrize("exact", ["box", "polygon"])
 def test_shapes_that_meet(spark, exact):
-    a = shapes(spark, [box(*b, by=0.1) for b in ((0, 0, 1, 1), (1, 1, 2, 2), (7, 7, 8, 8), (4, 4, 6, 6))])
-    b = shapes(spark, [box(*b, by=0.1) for b in ((0, 0, 1, 5), (3, 3, 5, 5), (10, 10, 11, 11))])
-    rows = lambda x, y: [r["right_key"] for r in spatial.sjoin(x, y, "left", exact).orderBy("left_key", "right_key").collect()]
-    assert rows(a, b) == [0, 0, None, 1]
-    assert rows(b, a) == [0, 1, 3, None]
+    rng = np.random.default_rng(3)
+    some = lambda n: [(int(x), int(y), int(x) + int(w), int(y) + int(h)) for x, y, w, h in zip(rng.integers(0, 30, n), rng.integers(0, 30, n), rng.integers(1, 9, n), rng.integers(1, 9, n), strict=True)]
+    one, two = some(12), [*some(10), (100, 100, 101, 101)]
+    a, b = shapes(spark, [box(*v) for v in one]), shapes(spark, [box(*v) for v in two])
+
+    def meets(u, v):
+        return u[0] <= v[2] and v[0] <= u[2] and u[1] <= v[3] and v[1] <= u[3]
+
+    for x, y, left, right in ((a, b, one, two), (b, a, two, one)):
+        got = [(r["left_key"], r["right_key"]) for r in spatial.sjoin(x, y, "left", exact).orderBy("left_key", "right_key").collect()]
+        want = [(i, j) for i, u in enumerate(left) for j in ([j for j, v in enumerate(right) if meets(u, v)] or [None])]
+        assert got == want
 
 
 def test_bins(spark):
-    at = [(0, 0), (1, 0), (0, 1), (5, 5), (6, 5), (5, 6), (6, 6)]
-    n = [[3, 2, 1], [0, 1, 0], [10, 10, 15], [0, 0, 12], [2, 2, 2], [0, 4, 0], [32, 1, 2]]
-    bins = spark.createDataFrame([(i, x + 0.5, y + 0.5) for i, (x, y) in enumerate(at)], "bin_id int, x double, y double")
-    counts = spark.createDataFrame([(i, g, v) for i, row in enumerate(n) for g, v in zip("abc", row, strict=True)], "bin_id int, gene string, n long")
-    c = shapes(spark, [[(-1, -1), (0.5, 0.5), (1, -1)], box(-1, -1, 4, 4), [(4, 4), (4, 9), (9, 4)]])
-    assert matrix(aggregate.aggregate_bins(bins, counts, c), 3, "abc") == [[3, 2, 1], [13, 13, 16], [34, 7, 16]]
+    rng = np.random.default_rng(4)
+    at = [(2 * i + 1, 2 * j + 1) for i in range(6) for j in range(6)]
+    n = rng.integers(0, 9, (36, 3))
+    bins = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "bin_id int, x double, y double")
+    counts = spark.createDataFrame([(i, f"g{k}", int(n[i, k])) for i in range(36) for k in range(3)], "bin_id int, gene string, n long")
+    want = [[int(sum(n[i, k] for i, (x, y) in enumerate(at) if holds(c, x, y))) for k in range(3)] for c in CELLS]
+    assert matrix(aggregate.aggregate_bins(bins, counts, shapes(spark, CELLS)), 4, ["g0", "g1", "g2"]) == want
 
 
 def test_shared_bins_go_to_the_like_cell(spark):
-    rows = [(i * 4 + j, i + 0.45, j + 0.45) for i in range(4) for j in range(4)]
-    bins = spark.createDataFrame(rows, "bin_id int, x double, y double")
-    value = lambda i, j: [int(i < 2 and j < 2), 1, int(i >= 2 and j >= 2), int(i < 2 and j >= 2)]
-    counts = spark.createDataFrame([(i * 4 + j, f"g{k}", v) for i in range(4) for j in range(4) for k, v in enumerate(value(i, j)) if v], "bin_id int, gene string, n long")
-    disc = lambda x, y: [(x + 0.6 * np.cos(t), y + 0.6 * np.sin(t)) for t in np.linspace(0, 2 * np.pi, 128, endpoint=False)]
-    c = shapes(spark, [disc(0.7, 1.5), disc(1.3, 3), disc(2.5, 3.2)])
-    r = aggregate.radius(c, 1.5)
-    hits = spatial.points_in_shapes(bins, c, lambda: G.within_distance(r), r).select("bin_id", "ord").cache()
-    total = lambda h: matrix(h.join(counts, "bin_id").groupBy("ord", "gene").agg(F.sum("n").alias("n")), 3, [f"g{k}" for k in range(4)])
-    assert total(hits) == [[4, 6, 0, 2], [0, 6, 2, 4], [0, 6, 4, 2]]
-    assert total(aggregate.assign_bins_once(hits, counts)) == [[4, 4, 0, 0], [0, 4, 0, 4], [0, 4, 4, 0]]
+    # two discs that overlap; bins on the left hold red, on the right blue, and the two shared ones a little more of either
+    at = [(0, 0, "red", 8), (1, 0, "red", 9), (3, 0, "red", 7), (3, 1, "blue", 7), (5, 0, "blue", 9), (6, 0, "blue", 8)]
+    bins = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y, _, _) in enumerate(at)], "bin_id int, x double, y double")
+    counts = spark.createDataFrame([(i, g, n) for i, (_, _, g, n) in enumerate(at)], "bin_id int, gene string, n long")
+    disc = lambda x, y, r: [(x + r * np.cos(t), y + r * np.sin(t)) for t in np.linspace(0, 2 * np.pi, 90, endpoint=False)]
+    c = shapes(spark, [disc(1.5, 0.5, 2.2), disc(4.5, 0.5, 2.2)])
+    hits = spatial.points_in_shapes(bins, c).select("bin_id", "ord").cache()
+    total = lambda h: matrix(h.join(counts, "bin_id").groupBy("ord", "gene").agg(F.sum("n").alias("n")), 2, ["red", "blue"])
+    assert total(hits) == [[24, 7], [7, 24]]
+    assert total(aggregate.assign_bins_once(hits, counts)) == [[24, 0], [0, 24]]
 
 
 def test_channels(spark):
-    image = np.random.default_rng(1).integers(1, 10, (3, 8, 16))
-    p = spark.createDataFrame([(c, y, x, int(image[k, y, x])) for k, c in enumerate(["DAPI", "CD3", "CD20"]) for y in range(8) for x in range(16)], "c string, y int, x int, value int")
-    at = [(0, 0), (6, 2), (9, 3)]
-    cells = shapes(spark, [box(x, y, x + 3, y + 3) for x, y in at])
+    image = np.random.default_rng(5).integers(0, 200, (2, 20, 17))
+    names = ["ch_a", "ch_b"]
+    p = spark.createDataFrame([(names[k], y, x, int(image[k, y, x])) for k in range(2) for y in range(20) for x in range(17)], "c string, y int, x int, value int")
+    at = [(2, 5, 6, 9), (0, 0, 3, 12), (10, 11, 16, 19)]
+    cells = shapes(spark, [box(*b) for b in at])
     for mode, f in (("average", np.mean), ("min", np.min), ("max", np.max)):
         got = {(r["ord"], r["channel"]): r["value"] for r in aggregate.aggregate_channels(p, cells, mode).collect()}
-        for i, (x, y) in enumerate(at):
-            for k, c in enumerate(["DAPI", "CD3", "CD20"]):
-                assert got[i, c] == pytest.approx(f(image[k, y : y + 4, x : x + 4]))
+        for i, (x1, y1, x2, y2) in enumerate(at):
+            for k, c in enumerate(names):
+                inside = [image[k, y, x] for y in range(20) for x in range(17) if x1 <= x <= x2 and y1 <= y <= y2]
+                assert got[i, c] == pytest.approx(f(inside))
 
 
 def test_tiles(spark):
-    assert [tiling.image_patches(spark, 512, 512, w, o).count() for w, o in ((300, 100), (512, 0), (80, 0))] == [9, 1, 49]
-    p = spark.createDataFrame([(x, y, f"G{i + 1}") for i, (x, y) in enumerate(zip([0, 0.1, 1, 0, 1, 0.9], [0, 0.1, 0, 1, 1, 0.9], strict=True)) for x, y in [(float(x), float(y))]], "x double, y double, gene string")
-    got = tiling.in_patches(p, *tiling.transcript_axes(p, 0.5, 0)).groupBy("patch_id").agg(F.sort_array(F.collect_list("gene")).alias("g"))
-    assert {r["patch_id"]: r["g"] for r in got.collect()} == {0: ["G1", "G2"], 1: ["G3"], 2: ["G4"], 3: ["G5", "G6"]}
+    for side, w, o in ((700, 250, 50), (640, 640, 0), (333, 90, 15)):
+        along = 1
+        while w + (along - 1) * (w - o) < side:
+            along += 1
+        assert tiling.image_patches(spark, side, side, w, o).count() == along**2
+    rng = np.random.default_rng(6)
+    xy = [(0.0, 0.0), (8.0, 8.0), *((float(a), float(b)) for a, b in rng.uniform(0, 8, (40, 2)))]
+    p = spark.createDataFrame([(x, y, f"n{i:02d}") for i, (x, y) in enumerate(xy)], "x double, y double, gene string")
+    got = tiling.in_patches(p, *tiling.transcript_axes(p, 4.0, 0)).groupBy("patch_id").agg(F.sort_array(F.collect_list("gene")).alias("g"))
+    want: dict = {}
+    for i, (x, y) in enumerate(xy):
+        want.setdefault(2 * int(y >= 4) + int(x >= 4), []).append(f"n{i:02d}")
+    assert {r["patch_id"]: r["g"] for r in got.collect()} == want
     with pytest.raises(ValueError):
         tiling.patch_count(10, 2, 3)
 
 
 def test_gene_names(spark):
-    genes = ["NA", "NaN", "bLaNk", "SystemControl", "negcontrol_gene", "gene1", "gene2", "gene3", "CDNAN", None]
-    df = spark.createDataFrame([(g,) for g in genes], "gene string")
+    kept, gone = ["ACTB", "cd_blank", "Negative", "NANOG2x"], ["nan", "BLANK-01", "my Control 7", "antisense_x", "Unassigned1", "Deprecated", "INTERGENIC", "FalseCode"]
+    gone += ["NEGprobe", "Negative"]
+    kept = [g for g in kept if g != "Negative" and not g.lower().startswith("nan")]
+    df = spark.createDataFrame([(g,) for g in [*kept, *gone, None]], "gene string")
     out = {r["gene"]: r["x"] for r in df.withColumn("x", T.excluded()).collect()}
-    assert [g for g in genes if not out[g]] == ["NA", "gene1", "gene2", "gene3", "CDNAN"]
-    assert out[None]
+    assert {g for g, x in out.items() if not x} == set(kept) and out[None]
     assert not any(r["x"] for r in df.withColumn("x", T.excluded(pattern=None)).collect())
+    flags = {r["gene"]: [f for f in T.GENE_FLAGS if r[f]] for r in df.withColumns(T.gene_flags()).collect()}
+    assert flags["NEGprobe"] == ["is_negative_control_probe"] and flags["BLANK-01"] == ["is_blank_codeword"] and flags["FalseCode"] == ["is_deprecated"] and flags["ACTB"] == ["is_gene"]
 
 
 def test_recode(spark):
     rec = lambda v, u, kind: [r["prior"] for r in tiling.recode_unassigned(spark.createDataFrame([(i, x) for i, x in enumerate(v)], f"i int, c {kind}"), "c", u).orderBy("i").collect()]
-    assert rec(["a", "b", "zero", "b"], "zero", "string") == [1, 2, 0, 2]
-    assert rec([-1, 0, 1, 2], -1, "long") == [0, 9223372036854775806, 1, 2]
-    assert rec([0, 1, 2, 10], 0, "int") == [0, 1, 2, 10]
+    named = rec(["k7", "none", "k2", "k7", "none", "k9"], "none", "string")
+    assert named[1] == named[4] == 0 and named[0] == named[3] and len({named[0], named[2], named[5], 0}) == 4
+    assert rec([5, 99, 0, 99], 99, "long") == [5, 0, (1 << 63) - 2, 0]
+    assert rec([0, 3, 3, 8], 0, "int") == [0, 3, 3, 8]
     with pytest.raises(ValueError):
-        rec([1.0], 0, "double")
+        rec([2.5], 0, "double")
 
 
 def test_cell_names(spark):
-    names = [r["s"] for r in spark.range(17).select(T.cell_name("id").alias("s")).collect()]
-    assert names == [f"aaaaaaa{c}-1" for c in "abcdefghijklmnop"] + ["aaaaaaba-1"]
-    df = spark.createDataFrame([(x,) for x in ["aaaaaaaa-1", "aaaaabcd", "aaaaaaaa-", "aaaaaaa1", "aaaaaaaa-11", "aaabb"]], "s string")
-    assert [r["v"] for r in df.select(T.is_cell_name("s").alias("v")).collect()] == [True, True, False, False, False, False]
-    assert spark.range(10000, 10001).select(T.cell_name("id")).first()[0] == "aaaachba-1"
-
-
-NODES = [(0, 0), (2, 0), (0, 2), (3, 0), (5, 0), (5, 2), (0, 3), (0, 5), (2, 5), (3, 5), (5, 5), (5, 3)]
-
-
-def nodes(spark):
-    return spark.createDataFrame([(0, i, float(x), float(y), "aaabbbcccddd"[i], "c1 c1 c1 c1 c2 c2 c3 c3 c3 c3 c3 c3".split()[i]) for i, (x, y) in enumerate(NODES)], "lib int, node long, x double, y double, niche string, cell_type string")
+    def name(k):
+        out = ""
+        for _ in range(8):
+            out, k = "abcdefghijklmnop"[k % 16] + out, k // 16
+        return out + "-1"
+
+    numbers = [0, 5, 15, 16, 255, 256, 4095, 123_456, (1 << 32) - 1]
+    df = spark.createDataFrame([(k,) for k in numbers], "id long").withColumn("s", T.cell_name("id"))
+    rows = df.withColumn("back", T.cell_number("s")).orderBy("id").collect()
+    assert [r["s"] for r in rows] == [name(k) for k in numbers] and [r["back"] for r in rows] == numbers
+    good, bad = ["mnopabcd-1", "ppppbbbb", "ABCDefgh-9"], ["mnopabcd-", "mnopabc7", "mnopabcd-10", "mnop", ""]
+    df = spark.createDataFrame([(x,) for x in good + bad], "s string")
+    assert {r["s"] for r in df.where(T.is_cell_name("s")).collect()} == set(good)
+
+
+def nodes(spark, at, niche=None):
+    rows = [(0, i, float(x), float(y), niche[i] if niche else "even" if i % 2 == 0 else "odd" if i % 3 else "third") for i, (x, y) in enumerate(at)]
+    return spark.createDataFrame(rows, "lib int, node long, x double, y double, niche string")
+
+
+def neighbours_by_brute_force(at, most):
+    """Edges of the triangles whose circle holds no other point, up to a length."""
+    edges = set()
+    n = len(at)
+    for a in range(n):
+        for b in range(a + 1, n):
+            for c in range(b + 1, n):
+                (ax, ay), (bx, by), (cx, cy) = at[a], at[b], at[c]
+                d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+                if abs(d) < 1e-12:
+                    continue
+                ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
+                uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
+                r = (ax - ux) ** 2 + (ay - uy) ** 2
+                if all((x - ux) ** 2 + (y - uy) ** 2 >= r - 1e-9 for x, y in at):
+                    edges |= {(a, b), (a, c), (b, c)}
+    return {(a, b) for a, b in edges if np.hypot(at[a][0] - at[b][0], at[a][1] - at[b][1]) <= most}
 
 
 def test_hops(spark):
-    n = nodes(spark)
-    e = graph.spatial_neighbors(n, (0.0, 2.9)).cache()
+    at = [tuple(v) for v in np.random.default_rng(7).uniform(0, 10, (24, 2)).tolist()]
+    n = nodes(spark, at)
+    edges = neighbours_by_brute_force(at, 4.0)
+    e = graph.spatial_neighbors(n, (0.0, 4.0)).cache()
+    assert {(min(r["src"], r["dst"]), max(r["src"], r["dst"])) for r in e.collect()} == edges
+    group = {r["node"]: r["niche"] for r in n.collect()}
+    near = {k: {b for a, b in edges if a == k} | {a for a, b in edges if b == k} for k in range(24)}
+    want = {}
+    for k in range(24):
+        front, seen, hop = {k}, {k}, 0
+        while front:
+            for v in front:
+                want.setdefault((k, group[v]), hop)
+            front, hop = {w for v in front for w in near[v]} - seen, hop + 1
+            seen |= front
     hops = graph.cells_to_groups(n, e, "niche").cache()
-    row = lambda k: {r["grp"]: r["hops"] for r in hops.where(f"node = {k}").collect()}
-    assert row(0) == {"a": 0, "b": 2, "c": 2, "d": 4}
-    assert row(1) == {"a": 0, "b": 1, "c": 2, "d": 3}
-    m = {r["target"]: r["hops"] for r in graph.mean_distance(n, hops, "niche").where("grp = 'a'").collect()}
-    assert m == pytest.approx({"a": 0, "b": 5 / 3, "c": 5 / 3, "d": 10 / 3})
+    assert {(r["node"], r["grp"]): r["hops"] for r in hops.collect() if r["hops"] is not None} == want
+    m = {r["target"]: r["hops"] for r in graph.mean_distance(n, hops, "niche").where("grp = 'odd'").collect()}
+    for g in set(group.values()):
+        of = [want[k, g] for k in range(24) if group[k] == "odd" and (k, g) in want]
+        assert m[g] == pytest.approx(np.mean(of))
     zero = graph.cells_to_groups(n, e, "niche", ignore_zeros=True)
-    assert {r["hops"] for r in zero.where("node = 0 AND grp = 'a'").collect()} == {1}
+    assert min(r["hops"] for r in zero.collect() if r["hops"] is not None) == 1
 
 
 def test_niches(spark):
-    n = nodes(spark)
+    # two triangles with sides 3, 4 and 5, six apart
+    n = nodes(spark, [(0, 0), (4, 0), (0, 3), (10, 0), (13, 0), (10, 4)], ["u", "u", "u", "v", "v", "v"])
     tri = graph.delaunay(n)
-    e = graph.pruned(graph.triangle_edges(tri, n), 2.9)
+    e = graph.pruned(graph.triangle_edges(tri, n), 5.5)
     parts = niches.niche_components(niches.niche_triangles(tri, n, e)).cache()
     geo = niches.component_geometry(parts, n).collect()
-    assert len(geo) == 4
-    assert all(r["area"] == pytest.approx(2) and r["length"] == pytest.approx(4 + 8**0.5) for r in geo)
-    d = {r["target"]: r["distance"] for r in niches.niche_distances(parts, n).where("niche = 'a'").collect()}
-    assert sorted(d.values()) == pytest.approx([0, 1, 1, 18**0.5])
+    assert len(geo) == 2
+    assert all(r["area"] == pytest.approx(6) and r["length"] == pytest.approx(12) for r in geo)
+    d = {r["target"]: r["distance"] for r in niches.niche_distances(parts, n).where("niche = 'u'").collect()}
+    assert d == pytest.approx({"u": 0, "v": 6})
 
 
 def test_conflicts(spark):
@@ -183,10 +284,14 @@ def test_conflicts(spark):
 
 
 def test_overlay(spark):
-    old = shapes(spark, [box(*b, by=0.1) for b in ((0, 0, 1, 1), (1, 1, 2, 2), (2, 2, 4, 4), (1, 2.5, 1.5, 5))])
-    new = shapes(spark, [box(*b, by=0.1) for b in ((0, 0, 1, 5), (3, 3, 5, 5))])
-    out = aggregate.overlay_segmentation(old, new, threshold=0.5)["cells"].orderBy("ord").collect()
-    assert [(r["source_ord"], r["is_overlay"]) for r in out] == [(1, False), (2, False), (3, False), (0, True), (1, True)]
+    was = [(0, 0, 10, 10), (20, 0, 30, 10), (40, 0, 44, 4), (60, 0, 70, 10), (8, 20, 12, 30)]
+    laid = [(5, -2, 16, 12), (27, 0, 35, 10), (39, -1, 46, 9), (0, 40, 5, 45)]
+    shared = lambda u, v: max(0, min(u[2], v[2]) - max(u[0], v[0])) * max(0, min(u[3], v[3]) - max(u[1], v[1]))
+    stay = [k for k, u in enumerate(was) if max(shared(u, v) for v in laid) / ((u[2] - u[0]) * (u[3] - u[1])) < 0.4]
+    assert stay == [1, 3, 4]
+    old, new = shapes(spark, [box(*b) for b in was]), shapes(spark, [box(*b) for b in laid])
+    out = aggregate.overlay_segmentation(old, new, threshold=0.4)["cells"].orderBy("ord").collect()
+    assert [(r["source_ord"], r["is_overlay"]) for r in out] == [(k, False) for k in stay] + [(k, True) for k in range(4)]
 
 
 def test_transforms(spark):
@@ -216,8 +321,8 @@ def test_polygons():
 
 
 def test_masks():
-    m = raster.rasterize([(1, 1), (1, 3), (2, 3), (2, 1)], 5, 5)
-    assert m[1:4, 1:3].all() and m.sum() == 6
+    m = raster.rasterize([(2, 3), (2, 7), (6, 7), (6, 3)], 10, 9)
+    assert m[3:8, 2:7].all() and m.sum() == 25
     two = np.zeros((12, 12), int)
     two[1:5, 1:5], two[7:11, 6:11] = 1, 1
     assert raster.label(two).max() == 2
@@ -232,9 +337,9 @@ def test_masks():
 
 
 def test_mask_fill(spark):
-    rows = [("a", 0, 0, 4, True), ("a", 0, 1, 7, True), ("a", 0, 2, 100, False)]
+    rows = [("a", 0, 0, 12, True), ("a", 0, 1, 20, True), ("a", 0, 2, 251, False)]
     df = spark.createDataFrame(rows, "c string, y int, x int, value int, inside boolean")
-    assert [r["value"] for r in staining.fill_outside(df).orderBy("x").collect()] == [4, 7, 5]
+    assert [r["value"] for r in staining.fill_outside(df).orderBy("x").collect()] == [12, 20, 16]
 
 
 def test_segmentation_by_patch(spark):
@@ -296,10 +401,10 @@ def test_no_nested_loops(spark):
 def test_stream_counts_equal_batch(spark, tmp_path):
     from plexgrid.streaming.counts import stream_counts
 
-    p = spark.createDataFrame([(float(x), float(y), g) for x, y, g in zip(XS, YS, GENES, strict=True)], "x double, y double, gene string")
+    p = point_frame(spark)
     p.write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("x double, y double, gene string").parquet(str(tmp_path / "in"))
     c = shapes(spark, CELLS)
     q = stream_counts(s, c).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
-    assert matrix(spark.table("counts"), 3, "abc") == [[0, 3, 1], [1, 0, 1], [1, 3, 1]]
+    assert matrix(spark.table("counts"), 4, ["g1", "g2", "g3"]) == counted(["g1", "g2", "g3"])
