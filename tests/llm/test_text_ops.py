@@ -101,10 +101,13 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in out) / len(out) > 0.95
     q = quality.quality_of(d, lab).join(lab, "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == r["quality"] for r in q) / len(q) > 0.9
+    # sf0.01 has six toxic documents that are held out, too few to tell of recall
+    sf = "/root/testdata/sf0.1"
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     t = toxicity.toxicity_of(d, lab).join(lab, "doc_id").where("held_out").collect()
     clean, toxic = [r for r in t if r["toxic"] == 0], [r for r in t if r["toxic"] == 1]
     assert sum(r["predicted"] for r in clean) / len(clean) < 0.05
-    assert len(toxic) >= 5 and sum(r["predicted"] for r in toxic) / len(toxic) > 0.7
+    assert len(toxic) >= 50 and sum(r["predicted"] for r in toxic) / len(toxic) > 0.7
 
 
 def test_language_of_odd_input(spark):
