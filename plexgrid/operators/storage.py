@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+PARALLELISM_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
 #: Folders that a result still reads; they go when the session's Python process ends.
 _kept: list[str] = []
 
@@ -79,10 +81,18 @@ class Scratch:
         for p in keep:
             keep_till_exit(p)
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+        """``df`` written and read again. With ``few``, files become as large as adaptive execution's
+        advisory size before tasks become many, which suits rounds of plain columns: small tables are one file."""
         self.count += 1
         path = f"{self.root}/{name}-{self.count}"
-        df.write.parquet(path)
+        first = self.spark.conf.get(PARALLELISM_FIRST)
+        if few:
+            self.spark.conf.set(PARALLELISM_FIRST, "false")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(PARALLELISM_FIRST, first)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.made[path] = back
         return back
