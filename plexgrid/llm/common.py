@@ -208,22 +208,22 @@ def connected_components(edges: DataFrame, tmp: Scratch, name: str = "components
     another node don't appear.
     """
     e = edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct()
-    e = tmp.written(e, name)
+    e = tmp.written(e, name, few=True)
     seen = None
     while True:
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
-        least = tmp.written(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"), "least")
+        least = tmp.written(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"), "least", few=True)
         large = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").selectExpr("v AS u", "m AS v").where("u <> v").unionByName(low.selectExpr("u", "m AS v"))
-        new = tmp.written(small.distinct(), name)
+        new = tmp.written(small.distinct(), name, few=True)
         tmp.drop(e)
         tmp.drop(least)
         e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             found = e.selectExpr("u AS node", "v AS component").unionByName(e.selectExpr("v AS node", "v AS component").distinct())
-            found = tmp.written(found, name)
+            found = tmp.written(found, name, few=True)
             tmp.drop(e)
             return found
         seen = now
