@@ -7,6 +7,7 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from .overlay import PREDICATES, area_of, intersection, is_convex, relation
 from .polygons import clip_area, rings_intersect
 
 # executors need not have the package installed
@@ -17,21 +18,25 @@ def _ring(row):
     return list(zip(row["xs"], row["ys"], strict=True))
 
 
-def filter_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose rings share a point. Arrow batches, a pair at a time."""
+def filter_pairs(pairs: DataFrame, predicate: str = "intersects") -> DataFrame:
+    """Pairs (a, b) whose rings have a relation. Arrow batches, a pair at a time."""
+    test = PREDICATES[predicate]
+
+    def holds(x, y):
+        return rings_intersect(x, y) if predicate == "intersects" else test(relation(x, y))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            keep = [rings_intersect(_ring(x), _ring(y)) for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+            keep = [holds(_ring(x), _ring(y)) for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, pairs.schema)
 
 
 def overlap_ratios(pairs: DataFrame) -> DataFrame:
-    """(left_key, right_key, ratio) for pairs whose right rings are convex."""
+    """(left_key, right_key, ratio): what the rings of each pair share, of the left one's area."""
     key = {n: pairs.schema[n].dataType["ord"].dataType.simpleString() for n in "ab"}
 
     def run(batches):
@@ -39,7 +44,7 @@ def overlap_ratios(pairs: DataFrame) -> DataFrame:
 
         for b in batches:
             xs, ys = b["a"].to_pylist(), b["b"].to_pylist()
-            ratio = [clip_area(_ring(x), _ring(y)) / max(clip_area(_ring(x), None), 1e-300) for x, y in zip(xs, ys, strict=True)]
+            ratio = [(clip_area(_ring(x), _ring(y)) if is_convex(_ring(y)) else area_of(intersection([_ring(x)], [_ring(y)]))) / max(clip_area(_ring(x)), 1e-300) for x, y in zip(xs, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x["ord"] for x in xs], b.schema.field("a").type.field("ord").type), pa.array([y["ord"] for y in ys], b.schema.field("b").type.field("ord").type), pa.array(ratio, pa.float64())], ["left_key", "right_key", "ratio"])
 
     return pairs.mapInArrow(run, f"left_key {key['a']}, right_key {key['b']}, ratio double")

@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spatial
 from .aggregate import count_transcripts
 from .graph import components
-from .kernels.polygons import clip_area, convex_hull, signed_area
+from .kernels import filter_pairs
+from .kernels.overlay import area_of, intersection, is_convex, largest, union
+from .kernels.polygons import clip_area, signed_area
 from .storage import ordinals
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SHAPE = ["xs", "ys", "xmin", "ymin", "xmax", "ymax"]
 
 
-def conflict_pairs(cells: DataFrame, exact: str = "box", patch: str | None = None) -> DataFrame:
-    """(src, dst), src < dst, of cells that share a point, of different patches if ``patch`` is named."""
-    pairs = spatial.shape_pairs(cells, cells, exact).where("a.ord < b.ord")
+def conflict_pairs(cells: DataFrame, exact: str = "box", patch: str | None = None, same: str | None = None) -> DataFrame:
+    """(src, dst), src < dst, of cells that share a point, of different patches if ``patch`` is named, of one group if ``same`` is."""
+    pairs = spatial.shape_pairs(cells, cells).where("a.ord < b.ord")
     if patch:
         pairs = pairs.where(f"a.{patch} <> b.{patch}")
+    if same:
+        pairs = pairs.where(f"a.{same} = b.{same}")
+    if exact != "box":
+        pairs = filter_pairs(pairs)
     return pairs.select(F.col("a.ord").alias("src"), F.col("b.ord").alias("dst"))
 
 
@@ -27,12 +38,22 @@ def conflict_components(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     return components(cells, pairs, "ord").withColumnRenamed("node", "ord")
 
 
-def merge_convex(rings: list, numbers: list[int], pairs: set[tuple[int, int]], threshold: float) -> list[tuple[int, list, bool]]:
+def shared_area(a: list, b: list) -> float:
+    """The exact area of what two rings share; half-plane by half-plane where one is convex."""
+    for ring, other in ((a, b), (b, a)):
+        if is_convex(other):
+            return clip_area(ring, other)
+    return area_of(intersection([a], [b]))
+
+
+def merge(rings: list, numbers: list[int], pairs: set[tuple[int, int]], threshold: float) -> list[tuple[int, list, bool]]:
     """(number, ring, merged) of one component after merging pairs in ascending order.
 
-    A pair is merged if what its present rings share is at least ``threshold``
-    of the smaller one. The merged ring is the convex hull of both, and takes
-    the place of all cells in it; it has the smallest of their numbers.
+    Each pair is looked at from both of its cells, since rings grow meanwhile. It
+    is merged if what its present rings share is at least ``threshold`` of the
+    smaller one. The merged ring is the outline of their union (its largest part,
+    without holes) and takes the place of all cells in it; it has the smallest of
+    their numbers.
     """
     ring = dict(zip(numbers, rings, strict=True))
     stands = {n: n for n in numbers}
@@ -43,14 +64,14 @@ def merge_convex(rings: list, numbers: list[int], pairs: set[tuple[int, int]], t
         return n
 
     merged = set()
-    for i, j in sorted(pairs):
+    for i, j in sorted(pairs | {(j, i) for i, j in pairs}):
         a, b = now(i), now(j)
         if a == b:
             continue
         small = min(abs(signed_area(ring[a])), abs(signed_area(ring[b])))
-        if small > 0 and clip_area(ring[a], convex_hull(ring[b])) >= threshold * small:
+        if small > 0 and shared_area(ring[a], ring[b]) >= threshold * small:
             low, high = min(a, b), max(a, b)
-            ring[low] = convex_hull([*map(tuple, ring[a]), *map(tuple, ring[b])])
+            ring[low] = largest(union([ring[a]], [ring[b]])) or ring[low]
             stands[high] = low
             merged.add(low)
     return [(n, ring[n], n in merged) for n in numbers if stands[n] == n]
@@ -79,7 +100,7 @@ def solve_conflicts(cells: DataFrame, threshold: float = 0.5, exact: str = "poly
         pdf = pdf.sort_values("ord")
         rings = [list(zip(x, y, strict=True)) for x, y in zip(pdf["xs"], pdf["ys"], strict=True)]
         own = {(int(o), int(p)) for o, ps in zip(pdf["ord"], pdf["partners"], strict=True) if ps is not None for p in ps}
-        out = merge_convex(rings, [int(o) for o in pdf["ord"]], own, threshold)
+        out = merge(rings, [int(o) for o in pdf["ord"]], own, threshold)
         return pd.DataFrame({"source_ord": [n for n, _, _ in out], "merged": [m for _, _, m in out], "xs": [[float(p[0]) for p in r] for _, r, _ in out], "ys": [[float(p[1]) for p in r] for _, r, _ in out]})
 
     done = rows.groupBy("component").applyInPandas(run, "source_ord long, merged boolean, xs array<double>, ys array<double>")

@@ -94,31 +94,52 @@ def assign_first(points: DataFrame, shapes: DataFrame, ids: list[str], unassigne
     return joined.withColumn(out, F.coalesce(F.col(out) + 1 + unassigned, F.lit(unassigned)).cast("long"))
 
 
-def shape_pairs(left: DataFrame, right: DataFrame, exact: str = "box") -> DataFrame:
+#: Relations of boxes ``a`` and ``b``.
+BOX_PREDICATES = {
+    "intersects": "true",
+    "within": "a.xmin >= b.xmin AND a.xmax <= b.xmax AND a.ymin >= b.ymin AND a.ymax <= b.ymax",
+    "contains": "b.xmin >= a.xmin AND b.xmax <= a.xmax AND b.ymin >= a.ymin AND b.ymax <= a.ymax",
+    "contains_properly": "b.xmin > a.xmin AND b.xmax < a.xmax AND b.ymin > a.ymin AND b.ymax < a.ymax",
+    "touches": "a.xmin = b.xmax OR b.xmin = a.xmax OR a.ymin = b.ymax OR b.ymin = a.ymax",
+    "crosses": "false",
+}
+BOX_PREDICATES |= {"covered_by": BOX_PREDICATES["within"], "covers": BOX_PREDICATES["contains"]}
+BOX_PREDICATES["overlaps"] = f"NOT ({BOX_PREDICATES['touches']}) AND NOT ({BOX_PREDICATES['within']}) AND NOT ({BOX_PREDICATES['contains']})"
+
+
+def shape_pairs(left: DataFrame, right: DataFrame, exact: str = "box", predicate: str = "intersects") -> DataFrame:
     """Pairs of shapes that share a point; columns of both sides as structs ``a`` and ``b``.
 
-    A pair is kept only in the square that holds the lower left corner of what
-    both boxes share, so none comes twice. ``exact`` is ``box`` where all shapes
-    are boxes, else ``polygon`` for a test of the rings.
+    Shapes go to the squares of their own level and of each higher one in use,
+    four at most on each, and meet on the higher level of the two, so that a huge
+    shape isn't spread over all small squares. A pair is kept only in the square
+    that holds the lower left corner of what both boxes share, so none comes
+    twice. ``exact`` is ``box`` where all shapes are boxes, else ``polygon`` for a
+    test of the rings. ``predicate`` is the left shape's relation to the right one.
     """
-    r = left.select("xmin", "ymin", "xmax", "ymax").unionByName(right.select("xmin", "ymin", "xmax", "ymax"))
-    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    g = F.lit(float(r.agg(F.avg(side)).first()[0] or 1.0) * 2)
+    if predicate not in BOX_PREDICATES:
+        raise ValueError(f"predicate: {predicate!r}")
+    bounds = ["xmin", "ymin", "xmax", "ymax"]
+    base, _, high = grid_size(left.select(*bounds).unionByName(right.select(*bounds)))
+    side = F.lit(base) * F.pow(F.lit(2.0), "_lv")
 
     def squares(df: DataFrame, name: str) -> DataFrame:
         s = df.select(F.struct("*").alias(name))
-        span = lambda p, q: F.explode(F.sequence(F.floor(F.col(f"{name}.{p}") / g), F.floor(F.col(f"{name}.{q}") / g)))
+        size = F.greatest(F.col(f"{name}.xmax") - F.col(f"{name}.xmin"), F.col(f"{name}.ymax") - F.col(f"{name}.ymin"))
+        own = F.least(F.lit(high), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1e-300)) / base)))).cast("int")
+        s = s.withColumn(f"_{name}", own).withColumn("_lv", F.explode(F.sequence(f"_{name}", F.lit(high))) if high else F.lit(0))
+        span = lambda p, q: F.explode(F.sequence(F.floor(F.col(f"{name}.{p}") / side), F.floor(F.col(f"{name}.{q}") / side)))
         return s.withColumn("_gx", span("xmin", "xmax")).withColumn("_gy", span("ymin", "ymax"))
 
-    both = squares(left, "a").join(squares(right, "b"), ["_gx", "_gy"]).where(G.boxes_overlap())
-    both = both.where(F.floor(F.expr("greatest(a.xmin, b.xmin)") / g) == F.col("_gx")).where(F.floor(F.expr("greatest(a.ymin, b.ymin)") / g) == F.col("_gy"))
+    both = squares(left, "a").join(squares(right, "b"), ["_lv", "_gx", "_gy"]).where(F.col("_lv") == F.greatest("_a", "_b")).where(G.boxes_overlap())
+    both = both.where(F.floor(F.expr("greatest(a.xmin, b.xmin)") / side) == F.col("_gx")).where(F.floor(F.expr("greatest(a.ymin, b.ymin)") / side) == F.col("_gy"))
     both = both.select("a", "b")
-    return both if exact == "box" else kernels.filter_pairs(both)
+    return both.where(BOX_PREDICATES[predicate]) if exact == "box" else kernels.filter_pairs(both, predicate)
 
 
-def sjoin(left: DataFrame, right: DataFrame, how: str = "inner", exact: str = "box", left_key: str = "ord", right_key: str = "ord") -> DataFrame:
-    """(left key, right key) of shapes that intersect; ``how`` inner, left or right keeps the rest of a side with null."""
-    pairs = shape_pairs(left, right, exact).select(F.col(f"a.{left_key}").alias("left_key"), F.col(f"b.{right_key}").alias("right_key"))
+def sjoin(left: DataFrame, right: DataFrame, how: str = "inner", exact: str = "box", left_key: str = "ord", right_key: str = "ord", predicate: str = "intersects") -> DataFrame:
+    """(left key, right key) of shapes that intersect, or have the relation named; ``how`` inner, left or right keeps the rest of a side with null."""
+    pairs = shape_pairs(left, right, exact, predicate).select(F.col(f"a.{left_key}").alias("left_key"), F.col(f"b.{right_key}").alias("right_key"))
     if how == "inner":
         return pairs
     if how == "left":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,6 +79,56 @@ def patches_in_roi(tiles: DataFrame, roi: DataFrame) -> DataFrame:
     return ordinals(cut, ["old_id", *need], "patch_id")
 
 
+def patches_in_polygons(tiles: DataFrame, roi: DataFrame) -> DataFrame:
+    """Patches cut to the union of the polygons of ``roi``, without those outside, numbered anew.
+
+    (patch_id, old_id, parts, area and the whole patch's bounds); ``parts`` are
+    rings with ``hole``. A patch's group are the polygons that reach into it.
+    """
+    from .kernels.overlay import area_of, overlay, signed_area
+    from .spatial import shape_pairs
+    from .storage import ordinals
+
+    need = ["xmin", "ymin", "xmax", "ymax"]
+    pairs = shape_pairs(tiles.select("patch_id", *need), roi.select("xs", "ys", *need))
+    rows = pairs.select(F.col("a.patch_id").cast("long").alias("old_id"), *(F.col(f"a.{c}").cast("double").alias(c) for c in need), "b.xs", "b.ys")
+
+    def run(pdf):
+        import pandas as pd
+
+        x0, y0, x1, y1 = (float(pdf[c].iloc[0]) for c in need)
+        shapes = [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]], *([list(zip(x, y, strict=True))] for x, y in zip(pdf["xs"], pdf["ys"], strict=True))]
+        rings = overlay(shapes, lambda s: s[:, 0] & s[:, 1:].any(1))
+        parts = [{"xs": [p[0] for p in r], "ys": [p[1] for p in r], "hole": signed_area(r) < 0} for r in rings]
+        return pd.DataFrame({"old_id": [int(pdf["old_id"].iloc[0])], "parts": [parts], "area": [area_of(rings)], "xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1})
+
+    schema = "old_id long, parts array<struct<xs: array<double>, ys: array<double>, hole: boolean>>, area double, " + ", ".join(f"{c} double" for c in need)
+    return ordinals(rows.groupBy("old_id").applyInPandas(run, schema).where("area > 0"), ["old_id"], "patch_id")
+
+
+def patches_with_centroids(tiles: DataFrame, roi: DataFrame) -> DataFrame:
+    """Whole patches that hold the centre of some polygon of ``roi``, the border included, numbered anew."""
+    from ..functions import geometry as G
+    from .spatial import in_box, points_in_shapes
+    from .storage import ordinals
+
+    cx, cy = G.centroid()
+    boxes = tiles.select(F.col("patch_id").alias("old_id"), *(F.col(c).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    held = points_in_shapes(roi.select(cx.alias("x"), cy.alias("y")), boxes, in_box())
+    return ordinals(boxes.join(held.select("old_id").distinct(), "old_id", "left_semi"), ["old_id"], "patch_id")
+
+
+def chunk_offsets(chunks: DataFrame) -> DataFrame:
+    """Chunks (row, col, height, width) of an image with ``y0`` and ``x0``, the sizes of those before added up."""
+
+    def before(at: str, size: str, out: str) -> DataFrame:
+        # one row for each row (or column) of chunks
+        lines = chunks.groupBy(at).agg(F.max(size).alias("_s"))
+        return lines.select(at, F.coalesce(F.sum("_s").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias(out))
+
+    return chunks.join(before("row", "height", "y0"), "row").join(before("col", "width", "x0"), "col")
+
+
 def recode_unassigned(df: DataFrame, column: str, unassigned, out: str = "prior") -> DataFrame:
     """Unassigned becomes 0. Strings get numbers from 1 in order of name, null -1; integers keep theirs, but an old 0 becomes the largest integer less 1."""
     kind = dict(df.dtypes)[column]

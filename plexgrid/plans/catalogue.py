@@ -14,7 +14,7 @@ from ..functions.channels import channel_labels
 from ..model import Affine
 from ..operators import aggregate as A
 from ..operators import annotate as N
-from ..operators import graph, niches, resolve, spatial, staining, tiling
+from ..operators import graph, niches, outlines, resolve, spatial, staining, tiling
 from ..sources import readers, sinks
 from ..streaming.counts import event_windows
 from .fixtures import POINT_ID, Elements, sql
@@ -491,6 +491,74 @@ def _(e):
     return resolve.combine([e.diamonds(), e.diamonds()], 0.5).select("ord", "source_ord", "merged", F.round(G.area(), 6).alias("area"))
 
 
+def _pairs_of(e, first, second):
+    """Two rings for each supplier, far from those of others and 1 to 3 times as large: numbers 2k and 2k + 1."""
+    k = F.col("s_suppkey")
+    parts = [e.table("supplier").select((2 * k + i).alias("ord"), (1 + k % 3).cast("double").alias("s"), (40 * k).cast("double").alias("o"), F.lit(i).alias("i")) for i in (0, 1)]
+    both = parts[0].unionByName(parts[1])
+    at = lambda d, shift: F.when(F.col("i") == 0, F.array(*(F.lit(float(p[d])) for p in first))).otherwise(F.array(*(F.lit(float(p[d])) for p in second)))
+    both = both.withColumns({"xs": at(0, True), "ys": at(1, False)})
+    return G.with_bounds(both.select("ord", F.transform("xs", lambda v: v * F.col("s") + F.col("o")).alias("xs"), F.transform("ys", lambda v: v * F.col("s")).alias("ys")))
+
+
+_scale = "(1 + s_suppkey % 3)"
+
+
+@query("resolve_concave", f"SELECT CAST(2 * s_suppkey AS BIGINT) AS source_ord, true AS merged, CAST(14 * {_scale} * {_scale} AS DOUBLE) AS area FROM supplier")
+def _(e):
+    cells = _pairs_of(e, [(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)], [(1, 0), (5, 0), (5, 2), (1, 2)])
+    return resolve.solve_conflicts(cells, 0.5).select("source_ord", "merged", F.round(G.area(), 6).alias("area"))
+
+
+@query("remove_overlap", f"SELECT CAST(2 * s_suppkey + i AS BIGINT) AS ord, CAST(12 * {_scale} * {_scale} AS DOUBLE) AS area, CAST(40 * s_suppkey + 3 * i * {_scale} AS DOUBLE) AS xmin FROM supplier, range(2) t(i)")
+def _(e):
+    cells = _pairs_of(e, [(0, 0), (4, 0), (4, 4), (0, 4)], [(2, 0), (6, 0), (6, 4), (2, 4)])
+    return outlines.remove_overlap(cells).select("ord", F.round(G.area(), 6).alias("area"), F.round("xmin", 6).alias("xmin"))
+
+
+@query("valid_polygons", f"SELECT CAST(2 * s_suppkey + i AS BIGINT) AS ord, CAST((CASE i WHEN 0 THEN 4 ELSE 6 END) * {_scale} * {_scale} AS DOUBLE) AS area FROM supplier, range(2) t(i)")
+def _(e):
+    cells = _pairs_of(e, [(0, 0), (4, 4), (4, 0), (0, 4)], [(8, 0), (11, 0), (11, 2), (8, 2)])
+    return outlines.valid_polygons(cells).select(F.col("ord").cast("long").alias("ord"), F.round(G.area(), 6).alias("area"))
+
+
+_within = "a.xmin >= b.xmin AND a.xmax <= b.xmax AND a.ymin >= b.ymin AND a.ymax <= b.ymax"
+_around = "b.xmin >= a.xmin AND b.xmax <= a.xmax AND b.ymin >= a.ymin AND b.ymax <= a.ymax"
+_touch = "(a.xmin = b.xmax OR b.xmin = a.xmax OR a.ymin = b.ymax OR b.ymin = a.ymax)"
+for _predicate, _how in (("within", _within), ("contains", _around), ("touches", _touch), ("overlaps", f"NOT {_touch} AND NOT ({_within}) AND NOT ({_around})")):
+
+    @query(f"sjoin_{_predicate}", sql("cells cells2", f"SELECT a.ord AS left_key, b.ord AS right_key FROM cells a JOIN cells2 b ON {_overlap} AND {_how}"))
+    def _(e, predicate=_predicate):
+        return spatial.sjoin(e.cells(), e.cells2(), exact="polygon", predicate=predicate)
+
+
+@query("dissolve", sql("cells", "#u AS (SELECT DISTINCT c.ord % 7 AS g, CAST(gx.i AS DOUBLE) AS x, CAST(gy.i AS DOUBLE) AS y FROM cells c, range(-5, 60) gx(i), range(-5, 60) gy(i) WHERE gx.i >= c.xmin AND gx.i < c.xmax AND gy.i >= c.ymin AND gy.i < c.ymax) SELECT g, CAST(count(*) AS DOUBLE) AS area FROM u GROUP BY 1"))
+def _(e):
+    rings = outlines.dissolve(e.cells().withColumn("g", F.col("ord") % 7), "g")
+    return rings.groupBy("g").agg(F.round(F.sum(G.signed_area()), 6).alias("area"))
+
+
+@query("roi_patches_polygons", sql("roi", "#pat AS (" + _patch_sql(20, 0, 3, 0, 0, 20) + ") SELECT p.patch_id AS old_id, CAST(sum((least(p.xmax, r.xmax) - greatest(p.xmin, r.xmin)) * (least(p.ymax, r.ymax) - greatest(p.ymin, r.ymin))) AS DOUBLE) AS area FROM pat p JOIN roi r ON p.xmin < r.xmax AND r.xmin < p.xmax AND p.ymin < r.ymax AND r.ymin < p.ymax GROUP BY 1"))
+def _(e):
+    p = tiling.image_patches(e.spark, 60, 60, 20)
+    r = e.roi().select(F.col("xmin").alias("_a"), F.col("ymin").alias("_b"), F.col("xmax").alias("_c"), F.col("ymax").alias("_d"))
+    return tiling.patches_in_polygons(p, r.withColumns(G.box("_a", "_b", "_c", "_d"))).select("old_id", F.round("area", 6).alias("area"))
+
+
+@query("roi_patches_centroids", sql("roi", "#pat AS (" + _patch_sql(20, 0, 3, 0, 0, 20) + ") SELECT p.patch_id AS old_id FROM pat p WHERE EXISTS (SELECT 1 FROM roi r WHERE (r.xmin + r.xmax) / 2 BETWEEN p.xmin AND p.xmax AND (r.ymin + r.ymax) / 2 BETWEEN p.ymin AND p.ymax)"))
+def _(e):
+    p = tiling.image_patches(e.spark, 60, 60, 20)
+    r = e.roi().select(F.col("xmin").alias("_a"), F.col("ymin").alias("_b"), F.col("xmax").alias("_c"), F.col("ymax").alias("_d"))
+    return tiling.patches_with_centroids(p, r.withColumns(G.box("_a", "_b", "_c", "_d"))).select("old_id")
+
+
+@query("chunk_offsets", "WITH c AS (SELECT CAST(n_nationkey // 5 AS INT) AS row, CAST(n_nationkey % 5 AS INT) AS col, CAST(10 + 3 * (n_nationkey // 5) AS INT) AS height, CAST(7 + n_nationkey % 5 AS INT) AS width FROM nation) SELECT *, CAST((SELECT coalesce(sum(height), 0) FROM c d WHERE d.col = c.col AND d.row < c.row) AS BIGINT) AS y0, CAST((SELECT coalesce(sum(width), 0) FROM c d WHERE d.row = c.row AND d.col < c.col) AS BIGINT) AS x0 FROM c")
+def _(e):
+    k = F.col("n_nationkey")
+    c = e.table("nation").select(F.floor(k / 5).cast("int").alias("row"), (k % 5).cast("int").alias("col"), (10 + 3 * F.floor(k / 5)).cast("int").alias("height"), (7 + k % 5).cast("int").alias("width"))
+    return tiling.chunk_offsets(c)
+
+
 # graphs
 
 
@@ -586,6 +654,13 @@ def _(e):
     return s.select("niche", "n_components", *(F.round(c, 6).alias(c) for c in ("length", "area", "roundness")))
 
 
+@query("niche_outlines", sql("kept_edges", "#" + _tri + "SELECT niche, round(area, 6) AS area, round(length, 6) AS length FROM geo", recursive=True))
+def _(e):
+    nodes, parts = _niche_parts(e)
+    rings = outlines.niche_outlines(parts, nodes)
+    return rings.groupBy("niche", "component").agg(F.round(F.sum(G.signed_area()), 6).alias("area"), F.round(F.sum(G.perimeter()), 6).alias("length")).drop("component")
+
+
 @query("niche_distances")
 def _(e):
     nodes, parts = _niche_parts(e)
