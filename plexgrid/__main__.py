@@ -1,6 +1,6 @@
 """Command line: ``python -m plexgrid <command> ...`` on stores of Parquet folders.
 
-Commands: aggregate, patchify, resolve, annotate, preprocess, explorer, report, overlay.
+Commands: convert, patchify, segment, resolve, aggregate, overlay, annotate, preprocess, explorer, report.
 """
 
 from __future__ import annotations
@@ -38,6 +38,15 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--width", type=float, required=True)
     c.add_argument("--overlap", type=float, default=0)
     c.add_argument("--min-points", type=int, default=0)
+    c = command("segment", "find cells in patches of an image")
+    c.add_argument("--image", default="image")
+    c.add_argument("--method", required=True, choices=["dummy", "cellpose", "stardist"])
+    c.add_argument("--channels", nargs="+", required=True)
+    c.add_argument("--diameter", type=float, default=35)
+    c.add_argument("--model")
+    c.add_argument("--width", type=float, default=2000)
+    c.add_argument("--overlap", type=float, default=50)
+    c.add_argument("--min-area", type=float)
     c = command("resolve", "merge cells of several patches that overlap")
     c.add_argument("--cells", default="cells")
     c.add_argument("--threshold", type=float, default=0.5)
@@ -68,7 +77,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     read = lambda kind, name: spark.read.parquet(f"{path}/{kind}/{name}")
     put = lambda df, kind, name: df.write.mode("overwrite").parquet(f"{path}/{kind}/{name}")
     if args.command == "convert":
-        how = {"xenium": lambda: readers.xenium(spark, args.input), "merscope": lambda: readers.merscope(spark, args.input), "cosmx": lambda: readers.cosmx(spark, args.input, args.dataset), "molecular_cartography": lambda: readers.molecular_cartography(spark, args.input), "visium_hd": lambda: readers.visium_hd(spark, args.input), "toy": lambda: readers.toy(spark)}
+        how = {"xenium": lambda: readers.xenium(spark, args.input), "merscope": lambda: readers.merscope(spark, args.input), "cosmx": lambda: readers.cosmx(spark, args.input, args.dataset or None), "molecular_cartography": lambda: readers.molecular_cartography(spark, args.input), "visium_hd": lambda: readers.visium_hd(spark, args.input), "toy": lambda: readers.toy(spark)}
         sinks.write_store(how[args.technology](), path)
     elif args.command == "aggregate":
         points = None if args.points == "none" else read("points", args.points)
@@ -83,6 +92,20 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         assigned = tiling.in_patches(points, *axes)
         put(tiling.patches(spark, *axes).join(tiling.valid_patches(assigned, args.min_points), "patch_id", "left_semi"), "shapes", "patches")
         put(assigned, "points", f"{args.points}_patches")
+    elif args.command == "segment":
+        from pyspark.sql import functions as F
+
+        from .functions.geometry import with_bounds
+        from .operators import models, staining, tiling
+        from .operators.storage import ordinals
+
+        image = read("images", args.image)
+        w, h = image.agg(F.max("x") + 1, F.max("y") + 1).first()
+        chosen = {"model_type": args.model} if args.model else {}
+        method = {"dummy": lambda: "dummy", "cellpose": lambda: models.cellpose(args.diameter, args.channels, **chosen), "stardist": lambda: models.stardist(**chosen)}[args.method]()
+        least = args.min_area if args.min_area is not None else models.default_min_area(args.diameter) if args.method == "cellpose" else 0.0
+        found = staining.segment(image, tiling.image_patches(spark, w, h, args.width, args.overlap), method, args.channels, least)
+        put(with_bounds(ordinals(found, ["patch_id", "k"], "ord")), "shapes", "cells")
     elif args.command == "resolve":
         from .operators.resolve import solve_conflicts
 

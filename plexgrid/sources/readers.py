@@ -79,25 +79,104 @@ def global_cell_id(df: DataFrame, fov: str = "fov", cell: str = "cell_ID", out:
     return df.withColumn(out, F.when(c > 0, F.col(fov).cast("long") * (max_id + 1)).otherwise(F.lit(0)) + c)
 
 
-def cosmx(spark: SparkSession, path: str, dataset: str, fov: int | None = None) -> Dataset:
-    """Transcripts in microns from the least position of all fields, with global cell ids; also polygons and counts if there."""
-    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/{dataset}{name}")
-    points = read("_tx_file.csv*")
-    fovs = fov_positions(read("_fov_positions_file.csv*"))
-    points = global_cell_id(points)
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, through the file system that it belongs to."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return sorted(f.getPath().getName() for f in files)
+
+
+def largest_cell_id(tables: list[DataFrame], cell: str = "cell_ID") -> int:
+    """The largest local cell number, on which all tables must agree, since global numbers are made from it."""
+    found = {int(t.agg(F.max(cell)).first()[0] or 0) for t in tables}
+    if len(found) > 1:
+        raise ValueError(f"the largest {cell} differs between files: {sorted(found)}")
+    return found.pop()
+
+
+def cosmx(spark: SparkSession, path: str, dataset: str | None = None, fov: int | None = None, shape: tuple[int, int] | None = None, shift: bool | None = None) -> Dataset:
+    """Transcripts with global cell ids, and cell polygons, counts and metadata where their files are there.
+
+    The name of the data set is found from its files unless given. Transcripts
+    are in microns and polygons in pixels, both from the least position of all
+    fields, or of their own field if ``fov`` is named. With ``shape`` (height and
+    width of a field's image) there is also a table of the fields' places in the
+    mosaic; ``shift`` says whether positions are fields' upper edges, which is
+    found from the polygons otherwise.
+    """
+    names = listed(spark, path)
+    dataset = dataset or dataset_id(names)
+    file = lambda suffix: next((f"{path}/{n}" for n in (f"{dataset}{suffix}", f"{dataset}{suffix}.gz") if n in names), None)
+    read = lambda suffix: spark.read.option("header", True).option("inferSchema", True).csv(file(suffix)) if file(suffix) else None
+    points, fovs = read("_tx_file.csv"), read("_fov_positions_file.csv")
+    if points is None or fovs is None:
+        raise FileNotFoundError(f"transcripts and field positions of {dataset} are needed in {path}")
+    fovs = fov_positions(fovs)
+    polygons, counts, metadata = read("-polygons.csv"), read("_exprMat_file.csv"), read("_metadata_file.csv")
+    if polygons is not None and "cellID" in polygons.columns:
+        polygons = polygons.withColumnRenamed("cellID", "cell_ID")
+    out = Dataset()
+    top = largest_cell_id([t for t in (polygons, counts, metadata) if t is not None] or [points])
+    if shift is None:
+        shift = polygons is not None and fov is None and bool(needs_shift(polygons.select("fov", F.col("y_global_px").alias("y")), fovs).first()["shift"])
+    boxes = None if shape is None else fov_boxes(fovs, shape[1], shape[0], shift)
+    points = global_cell_id(points, max_id=top)
+    low = (fovs if boxes is None else boxes.select(F.col("xmin").alias("x"), F.col("ymin").alias("y"))).agg(F.min("x").alias("_x"), F.min("y").alias("_y"))
     if fov is None:
-        least = fovs.agg(F.min("x").alias("_x"), F.min("y").alias("_y"))
-        points = points.crossJoin(F.broadcast(least))
+        points = points.crossJoin(F.broadcast(low))
         points = points.withColumns({"x": (F.col("x_global_px") - F.col("_x")) * FOV_MICRONS, "y": (F.col("y_global_px") - F.col("_y")) * FOV_MICRONS}).drop("_x", "_y")
     else:
         points = points.where(F.col("fov") == fov).withColumns({"x": F.col("x_local_px") * FOV_MICRONS, "y": F.col("y_local_px") * FOV_MICRONS})
-    out = Dataset()
     out.add("points", "transcripts", points.withColumnRenamed("target", "gene"), "transcripts")
-    out.add("tables", "fovs", fovs)
+    out.add("tables", "fovs", fovs if boxes is None else boxes)
+    if polygons is not None:
+        at = F.monotonically_increasing_id()  # vertices in the order of the file
+        if fov is None:
+            v = global_cell_id(polygons.withColumn("_at", at), max_id=top, out="cell").crossJoin(F.broadcast(low))
+            v = v.select("cell", "fov", "_at", (F.col("x_global_px") - F.col("_x")).alias("px"), (F.col("y_global_px") - F.col("_y")).alias("py"))
+        else:
+            v = polygons.withColumn("_at", at).where(F.col("fov") == fov).select(F.col("cell_ID").cast("long").alias("cell"), "fov", "_at", F.col("x_local_px").alias("px"), F.col("y_local_px").alias("py"))
+        out.add("shapes", "cells_polygons", polygons_from_vertices(v, ["cell", "fov"], "px", "py", "_at"), "boundaries")
+    if metadata is not None:
+        metadata = global_cell_id(metadata, max_id=top)
+        out.add("tables", "cells", metadata)
+    if counts is not None:
+        local = global_cell_id(counts.where("cell_ID <> 0"), max_id=top)
+        if metadata is not None:
+            lost = local.select("global_cell_id").join(metadata.select("global_cell_id"), "global_cell_id", "left_anti")
+            more = metadata.select("global_cell_id").join(local.select("global_cell_id"), "global_cell_id", "left_anti")
+            if not lost.isEmpty() or not more.isEmpty():
+                raise ValueError("counts and metadata are not of the same cells")
+        out.add("tables", "counts", long_counts(local.drop("fov", "cell_ID"), ["global_cell_id"], None))
     out.roles |= {"prior": "global_cell_id", "prior_unassigned": "0"}
     return out
 
 
+def morphology_channels(description: str) -> list[str]:
+    """Channels of a morphology image in the order of its description, by their target where it is told; no slashes."""
+    target = dict(zip(re.findall(r'"ChannelId": "(.*?)",', description), re.findall(r'"BiologicalTarget": "(.*?)",', description), strict=False))
+    order = re.search(r'"ChannelOrder": "(.*?)",', description)
+    if order is None:
+        raise ValueError("the description tells no order of channels")
+    return [target.get(c, c).replace("/", ".") for c in order[1]]
+
+
+def protein_channel(description: str) -> str:
+    """The name that a protein image's description displays, without slashes."""
+    found = re.search(r'"DisplayName": "(.*?)",', description)
+    if found is None:
+        raise ValueError("the description displays no name")
+    return found[1].replace("/", ".")
+
+
+def fov_file(names: list[str], fov: int) -> str:
+    """The one image of a field among file names."""
+    found = [n for n in names if re.search(rf"_F0*{fov}\.[Tt][Ii][Ff]$", n)]
+    if len(found) != 1:
+        raise ValueError(f"one image of field {fov} is needed, found {found}")
+    return found[0]
+
+
 def polygons_from_vertices(df: DataFrame, keys: list[str], x: str, y: str, position: str) -> DataFrame:
     """Rings assembled from a row a vertex, in the order of ``position``."""
     from ..functions.geometry import with_bounds
