@@ -7,6 +7,9 @@ combines them. It is trained by back-propagation on the driver, on a bounded
 sample of labelled documents; its parameters take about 25 kB.
 
 Null and empty texts are one chunk of padding and get that chunk's score.
+Scoring rounds embeddings and filters to whole multiples of 2**-19: their sums
+of products are then exact in double precision, so that a score depends on the
+text alone and not on where the text stands in a batch.
 """
 
 from __future__ import annotations
@@ -52,7 +55,12 @@ class ByteCnn:
         return x, r
 
     def pooled_logit(self, pooled: np.ndarray) -> np.ndarray:
-        return np.maximum(pooled, 0) @ self.out + self.out_bias
+        return (np.maximum(pooled, 0) * self.out).sum(1) + self.out_bias  # each row by itself, which a matrix product isn't
+
+    def exact(self) -> ByteCnn:
+        """The network in double precision, with embeddings and filters below 8 in multiples of 2**-19: 48 products take 50 bits."""
+        whole = lambda t: np.clip(np.rint(t.astype(np.float64) * 2**19), 1 - 2**22, 2**22 - 1) / 2**19
+        return ByteCnn(whole(self.embed), whole(self.conv), *(t.astype(np.float64) for t in (self.bias, self.out, self.out_bias)))
 
 
 def strided(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,18 +149,18 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = 600,
 
 
 def score_texts(net: ByteCnn, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(offsets) - 1)
-    for i, j in blocks(offsets, 1 << 19):
+    net, out = net.exact(), np.zeros(len(offsets) - 1)
+    for i, j in blocks(offsets, 1 << 18):
         rows, first = strided(data, offsets[i : j + 1])
         tops = []
         # a very long document goes through in pieces of rows that overlap by two
-        if j == i + 1 and len(rows) > 1 << 17:
-            for a in range(0, len(rows) - PARTS + 1, 1 << 16):
-                tops.append(net.responses(rows[a : a + (1 << 16) + PARTS - 1])[1].max(0))
+        if j == i + 1 and len(rows) > 1 << 16:
+            for a in range(0, len(rows) - PARTS + 1, 1 << 15):
+                tops.append(net.responses(rows[a : a + (1 << 15) + PARTS - 1])[1].max(0))
             top = np.max(tops, 0)[None]
         else:
             top = pool(net.responses(rows)[1], first)
-        out[i:j] = 1 / (1 + np.exp(-net.pooled_logit(top).astype(np.float64)))
+        out[i:j] = 1 / (1 + np.exp(-net.pooled_logit(top)))
     return out
 
 

@@ -75,6 +75,17 @@ def test_scores_depend_on_the_text_alone(spark):
     assert long < quality.score_texts(net, np.frombuffer(text[:-11], np.uint8), np.array([0, len(text) - 11]))[0]
 
 
+def test_equal_texts_have_equal_scores_anywhere():
+    net = quality.fit([b"good text here", b"%%% $$$ ###"] * 20, np.array([1.0, 0.0] * 20, np.float32), steps=60)
+    texts = [t.encode() for t in invented(40)] + [b"", b"a", b"word " * 120_000]
+    alone = [quality.score_texts(net, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    r = random.Random(1)
+    for n in (1, 2, 3, 7, 30, 200):
+        take = [r.randrange(len(texts)) for _ in range(n)] + [40] * (n % 5)
+        data = np.frombuffer(b"".join(texts[i] for i in take), np.uint8)
+        assert quality.score_texts(net, data, np.cumsum([0] + [len(texts[i]) for i in take])).tolist() == [alone[i] for i in take]
+
+
 def test_gradients_of_the_recurrent_network():
     rng = np.random.default_rng(0)
     g = language.Gru.fresh(rng)
