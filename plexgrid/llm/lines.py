@@ -110,7 +110,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     # the documents' other columns travel as one; rows are told apart by id and text, as ids may be null or repeat
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     docs = docs.select(number.alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), "text", F.struct(*(F.col(f"`{c}`") for c in own)).alias("_own"))
-    with Scratch(documents.sparkSession, "lines") as tmp:
+    with Scratch(documents.sparkSession, "lines", by_workers=True) as tmp:
         out = _deduped(docs, tmp)
     return out.select(*(F.col("text") if c == "text" else F.col(f"_own.`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 
@@ -131,7 +131,7 @@ def _deduped(docs: DataFrame, tmp: Scratch) -> DataFrame:
             rows = pa.array(np.array(which, np.int64))
             yield pa.RecordBatch.from_arrays([b["_id"].take(rows), b["_row"].take(rows), pa.array(place, pa.int32()), pa.array(np.frombuffer(b"".join(hashes), np.int64))], ["_id", "_row", "place", "h"])
 
-    chunks = tmp.written(docs.select("_id", "_row", "text").mapInArrow(find, "_id long, _row long, place int, h long"), "chunks")
+    chunks = tmp.written(docs.select("_id", "_row", "text"), "chunks", find, "_id long, _row long, place int, h long")
     spot = F.struct("_id", "_row", "place")
     repeated = chunks.groupBy("h").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     repeated = tmp.written(repeated, "hashes")  # so that a chunk which very many documents have is a skewed join, which adaptive execution splits

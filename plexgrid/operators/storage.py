@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,17 +58,74 @@ def _at_exit() -> None:
         pass
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """Where ``path`` lies among the machine's own files; None if it is on another file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.makeQualified(found).toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
+#: Rows and bytes that a worker holds before it writes them as one row group.
+GROUP_ROWS, GROUP_BYTES = 1 << 16, 4 << 20
+
+
+def write_by_workers(df: DataFrame, folder: str, through: Callable | None = None) -> None:
+    """Parquet files of ``df`` in a folder of the machines' own files, a file a task, written by the Python workers.
+
+    Hadoop starts three ``chmod`` processes a task for what it writes there;
+    this starts none. ``through`` is a function of Arrow batches that the rows
+    go through first, in the same worker. A file gets its name when it is whole,
+    and those of tasks that didn't count are removed.
+    """
+    rows_most, bytes_most = GROUP_ROWS, GROUP_BYTES
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+        import uuid
+
+        import pyarrow.parquet as pq
+
+        name = f"part-{uuid.uuid4().hex}.parquet"
+        out, held, rows, size = None, [], 0, 0
+        try:
+            for b in through(batches) if through else batches:
+                if not b.num_rows:
+                    continue
+                out = out or pq.ParquetWriter(f"{folder}/_{name}", b.schema)
+                held.append(b)
+                rows, size = rows + b.num_rows, size + b.nbytes
+                if rows >= rows_most or size >= bytes_most:
+                    out.write_table(pa.Table.from_batches(held))
+                    held, rows, size = [], 0, 0
+            if held:
+                out.write_table(pa.Table.from_batches(held))
+        finally:
+            if out:
+                out.close()
+        if out:
+            os.rename(f"{folder}/_{name}", f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    os.makedirs(folder)
+    counted = {r["name"] for r in df.mapInArrow(put, "name string").collect()}
+    for name in set(os.listdir(folder)) - counted:
+        os.remove(f"{folder}/{name}")
+
+
 class Scratch:
     """Tables that one run of an operator writes to the shared folder.
 
     Each ``written`` table cuts lineage, so a lost executor costs no
     recomputation of earlier steps. On leaving the ``with`` block all of them
     are deleted, but for those that ``keep`` named because the operator's result
-    still reads them; these go when the session's process ends.
+    still reads them; these go when the session's process ends. With
+    ``by_workers``, tables on the machines' own file system are written by the
+    Python workers, for which their types must be known to Arrow.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, by_workers: bool = False):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.local = local_path(spark, self.root) if by_workers else None
         self.made: dict[str, DataFrame] = {}
         self.kept: set[str] = set()
         self.count = 0
@@ -79,11 +139,16 @@ class Scratch:
         for p in keep:
             keep_till_exit(p)
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, through: Callable | None = None, schema: str | None = None) -> DataFrame:
+        """``df`` written and read again; with ``through``, what that function of Arrow batches makes of it, in ``schema``."""
         self.count += 1
         path = f"{self.root}/{name}-{self.count}"
-        df.write.parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
+        made = df.mapInArrow(through, schema) if through else df
+        if self.local:
+            write_by_workers(df, f"{self.local}/{name}-{self.count}", through)
+        else:
+            made.write.parquet(path)
+        back = self.spark.read.schema(made.schema).parquet(path)
         self.made[path] = back
         return back
 

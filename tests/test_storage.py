@@ -53,3 +53,35 @@ def test_written_tables_go(spark):
             raise KeyError
     except KeyError:
         assert not os.listdir(tmp.root)
+
+
+def test_tables_written_by_workers_start_no_process(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    log = tmp_path / "chmods"
+    log.write_text("")
+    (tmp_path / "chmod").write_text(f'#!/bin/sh\necho "$@" >> {log}\nexec /bin/chmod "$@"\n')
+    (tmp_path / "chmod").chmod(0o755)
+    code = """
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from plexgrid.llm.lines import dedup_lines
+from plexgrid.operators.storage import Scratch
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+with Scratch(spark, "tables", by_workers=True) as tmp:
+    df = spark.range(100_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id").cast("string").cast("binary")).alias("b"), F.array(F.struct(F.col("id").alias("x"), (F.col("id") < 5).alias("y"))).alias("s")).repartition(5)
+    back = tmp.written(df, "a")
+    assert back.dtypes == df.dtypes and back.count() == 100_000 and not back.exceptAll(df).count()
+    assert tmp.written(df.where("id < 0"), "none").count() == 0
+    twice = tmp.written(df.select("id"), "b", lambda batches: (b for b in batches for _ in range(2)), "id long")
+    assert twice.count() == 200_000 and twice.distinct().count() == 100_000
+text = "\\n".join(f"line {i} with some words" for i in range(20))
+out = dedup_lines(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+assert [(r["text"], r["n_lines"], r["n_removed"]) for r in out] == [(text, 20, 0), ("", 20, 20), (None, 0, 0)]
+"""
+    done = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PATH": f"{tmp_path}:{os.environ['PATH']}"}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    written = [x for x in log.read_text().splitlines() if "parquet" in x or "_temporary" in x]
+    assert not written, written[:3]
