@@ -27,8 +27,7 @@ def kept_points(points: DataFrame, gene: str = "gene", pattern: str | None = T.E
 def count_transcripts(points: DataFrame, cells: DataFrame, gene: str = "gene", pattern: str | None = T.EXCLUDED, only_excluded: bool = False, exact: Callable[[], Column] | None = None, order: str = "ord") -> DataFrame:
     """(order, gene, n): points of each gene in each cell; a point on a border or in several cells counts in each."""
     p = kept_points(points, gene, pattern, only_excluded).select("x", "y", gene)
-    hits = spatial.points_in_shapes(p, cells.select(order, "xs", "ys", "xmin", "ymin", "xmax", "ymax"), exact)
-    return hits.groupBy(order, gene).agg(F.count("*").alias("n"))
+    return spatial.counts_in_shapes(p, cells, [gene], exact, order=order)
 
 
 def features(points: DataFrame, gene: str = "gene", pattern: str | None = T.EXCLUDED, only_excluded: bool = False) -> DataFrame:
@@ -113,9 +112,13 @@ def aggregate_channels(pixels: DataFrame, cells: DataFrame, mode: str = "average
     ``pixels`` is long: c, y, x, value. The average is the sum over the number
     of pixels; max begins from 0. A cell without pixels isn't in the result.
     """
-    hits = spatial.points_in_shapes(pixels.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")}), cells.select("ord", "xs", "ys", "xmin", "ymin", "xmax", "ymax"), exact)
-    value = {"average": F.sum("value").cast("double") / F.count("*"), "min": F.min("value").cast("double"), "max": F.greatest(F.max("value"), F.lit(0)).cast("double")}[mode]
-    return hits.groupBy("ord", F.col("c").alias("channel")).agg(value.alias("value"))
+    outlines, members = spatial.distinct_shapes(cells)
+    hits = spatial.points_in_shapes(pixels.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")}), outlines.drop("ord"), exact)
+    parts = {"sum": F.sum("value"), "min": F.min("value"), "max": F.max("value"), "count": F.count("*")}
+    need = ["sum", "count"] if mode == "average" else [mode]
+    held = hits.groupBy("_shape", F.col("c").alias("channel")).agg(*(parts[k].alias(f"_{k}") for k in need))  # once for equal cells
+    value = {"average": lambda: F.sum("_sum").cast("double") / F.sum("_count"), "min": lambda: F.min("_min").cast("double"), "max": lambda: F.greatest(F.max("_max"), F.lit(0)).cast("double")}[mode]()
+    return members.join(held, "_shape").groupBy("ord", "channel").agg(value.alias("value"))
 
 
 def cell_geometry(cells: DataFrame) -> DataFrame:
@@ -196,8 +199,7 @@ def overlay_segmentation(old: DataFrame, new: DataFrame, points: DataFrame | Non
 
     Old cells that stay come first, numbered anew from 0; ``is_overlay`` marks the new.
     """
-    gone = spatial.overlap_ratio(old, new, exact).where(F.col("ratio") >= threshold).select(F.col("left_key").alias("ord")).distinct()
-    kept = old.join(gone, "ord", "left_anti")
+    kept = old.join(spatial.covered(old, new, threshold, exact).distinct(), "ord", "left_anti")
     shape = ["ord", "xs", "ys", "xmin", "ymin", "xmax", "ymax"]
     both = kept.select(*shape, F.lit(False).alias("is_overlay")).unionByName(new.select(*shape, F.lit(True).alias("is_overlay")))
     cells = ordinals(both, ["is_overlay", "ord"]).withColumnRenamed("ord", "source_ord").withColumnRenamed("new_ord", "ord")

@@ -14,8 +14,9 @@ from .polygons import clip_area, rings_intersect
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _ring(row):
-    return list(zip(row["xs"], row["ys"], strict=True))
+def _rings(shapes) -> list[list]:
+    """The rings of an Arrow array of shapes."""
+    return [list(zip(x, y, strict=True)) for x, y in zip(shapes.field("xs").to_pylist(), shapes.field("ys").to_pylist(), strict=True)]
 
 
 def filter_pairs(pairs: DataFrame, predicate: str = "intersects") -> DataFrame:
@@ -29,22 +30,24 @@ def filter_pairs(pairs: DataFrame, predicate: str = "intersects") -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            keep = [holds(_ring(x), _ring(y)) for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+            keep = [holds(x, y) for x, y in zip(_rings(b["a"]), _rings(b["b"]), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, pairs.schema)
 
 
-def overlap_ratios(pairs: DataFrame) -> DataFrame:
-    """(left_key, right_key, ratio): what the rings of each pair share, of the left one's area."""
-    key = {n: pairs.schema[n].dataType["ord"].dataType.simpleString() for n in "ab"}
+def with_ratios(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with ``ratio``: what the rings of each pair share, of the left one's area."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    def share(x, y):
+        return (clip_area(x, y) if is_convex(y) else area_of(intersection([x], [y]))) / max(clip_area(x), 1e-300)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            xs, ys = b["a"].to_pylist(), b["b"].to_pylist()
-            ratio = [(clip_area(_ring(x), _ring(y)) if is_convex(_ring(y)) else area_of(intersection([_ring(x)], [_ring(y)]))) / max(clip_area(_ring(x)), 1e-300) for x, y in zip(xs, ys, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x["ord"] for x in xs], b.schema.field("a").type.field("ord").type), pa.array([y["ord"] for y in ys], b.schema.field("b").type.field("ord").type), pa.array(ratio, pa.float64())], ["left_key", "right_key", "ratio"])
+            ratio = [share(x, y) for x, y in zip(_rings(b["a"]), _rings(b["b"]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ratio, pa.float64())], [*b.schema.names, "ratio"])
 
-    return pairs.mapInArrow(run, f"left_key {key['a']}, right_key {key['b']}, ratio double")
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("ratio", DoubleType())]))

@@ -6,6 +6,10 @@ at least as large as the shape (four squares at most), each point to one square
 for each level from the lowest to the highest in use, and an equi-join on the squares comes before the exact
 test. Shapes of very different size don't multiply rows this way. Crowded
 squares are skewed join keys, which adaptive execution splits.
+
+Equal shapes are tested as one, and so are points of one place where only
+their number or their first shape is asked for: what is compared are distinct
+places and distinct outlines, and results go back to all rows by equi-joins.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ from ..functions import geometry as G
 from . import kernels
 
 MAX_LEVEL = 40
+BOUNDS = ["xmin", "ymin", "xmax", "ymax"]
+RING = ["xs", "ys", *BOUNDS]
+#: About how many numbers of equal shapes one row holds when pairs are made of them.
+BUNDLE = 512
 
 
 def grid_size(shapes: DataFrame) -> tuple[float, int, int]:
@@ -80,15 +88,38 @@ def in_box(x: str = "x", y: str = "y") -> Callable[[], Column]:
     return lambda: F.expr(f"{x} BETWEEN xmin AND xmax AND {y} BETWEEN ymin AND ymax")
 
 
+def distinct_shapes(shapes: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """(_shape, ring and bounds, order), a row for equal shapes with the smallest of their numbers, and (order, _shape) of all.
+
+    ``_shape`` is that number with a hash of the outline, as numbers need not be unique.
+    """
+    outlines = shapes.groupBy(*RING).agg(F.min(order).alias(order)).withColumn("_shape", F.struct(F.col(order), F.xxhash64(*RING)))
+    return outlines, shapes.select(order, *RING).join(outlines.select(*RING, "_shape"), RING).select(order, "_shape")
+
+
+def counts_in_shapes(points: DataFrame, shapes: DataFrame, by: list[str], exact: Callable[[], Column] | None = None, reach: float = 0.0, order: str = "ord") -> DataFrame:
+    """(order, by, n): how many points of each kind each shape holds; arguments as of ``points_in_shapes``.
+
+    Points of one place and kind are counted before the join and equal shapes
+    joined once, so work grows with distinct places and outlines.
+    """
+    places = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y", *by).agg(F.count("*").alias("_n"))
+    outlines, members = distinct_shapes(shapes, order)
+    held = points_in_shapes(places, outlines.drop(order), exact, reach).groupBy("_shape", *by).agg(F.sum("_n").alias("_n"))
+    return members.join(held, "_shape").groupBy(order, *by).agg(F.sum("_n").alias("n"))
+
+
 def assign_first(points: DataFrame, shapes: DataFrame, ids: list[str], unassigned: int | None = 0, order: str = "ord", exact: Callable[[], Column] | None = None, out: str = "cell") -> DataFrame:
     """Each point with the first shape that holds it, by ``order`` counted from 0.
 
     With ``unassigned`` = u the result is order + 1 + u, and u for points in no
-    shape; with None it is the order itself, and null. ``ids`` tell points apart.
+    shape; with None it is the order itself, and null. ``ids`` come first in the
+    result. The first shape is found once a place.
     """
-    hits = points_in_shapes(points.select(*ids, "x", "y"), shapes.select(order, "xs", "ys", "xmin", "ymin", "xmax", "ymax"), exact)
-    first = hits.groupBy(*ids).agg(F.min(order).alias(out))
-    joined = points.join(first, ids, "left")
+    outlines = shapes.groupBy(*RING).agg(F.min(order).alias(out))
+    places = points.where("x IS NOT NULL AND y IS NOT NULL").select("x", "y").distinct()
+    first = points_in_shapes(places, outlines, exact).groupBy("x", "y").agg(F.min(out).alias(out))
+    joined = points.join(first, ["x", "y"], "left").select(*ids, *(c for c in points.columns if c not in ids), out)
     if unassigned is None:
         return joined
     return joined.withColumn(out, F.coalesce(F.col(out) + 1 + unassigned, F.lit(unassigned)).cast("long"))
@@ -107,7 +138,7 @@ BOX_PREDICATES |= {"covered_by": BOX_PREDICATES["within"], "covers": BOX_PREDICA
 BOX_PREDICATES["overlaps"] = f"NOT ({BOX_PREDICATES['touches']}) AND NOT ({BOX_PREDICATES['within']}) AND NOT ({BOX_PREDICATES['contains']})"
 
 
-def shape_pairs(left: DataFrame, right: DataFrame, exact: str = "box", predicate: str = "intersects") -> DataFrame:
+def shape_pairs(left: DataFrame, right: DataFrame, exact: str = "box", predicate: str = "intersects", grid: tuple[float, int, int] | None = None) -> DataFrame:
     """Pairs of shapes that share a point; columns of both sides as structs ``a`` and ``b``.
 
     Shapes go to the squares of their own level and of each higher one in use,
@@ -116,11 +147,11 @@ def shape_pairs(left: DataFrame, right: DataFrame, exact: str = "box", predicate
     that holds the lower left corner of what both boxes share, so none comes
     twice. ``exact`` is ``box`` where all shapes are boxes, else ``polygon`` for a
     test of the rings. ``predicate`` is the left shape's relation to the right one.
+    ``grid`` is ``grid_size`` of both sides, if it is known.
     """
     if predicate not in BOX_PREDICATES:
         raise ValueError(f"predicate: {predicate!r}")
-    bounds = ["xmin", "ymin", "xmax", "ymax"]
-    base, _, high = grid_size(left.select(*bounds).unionByName(right.select(*bounds)))
+    base, _, high = grid or grid_size(left.select(*BOUNDS).unionByName(right.select(*BOUNDS)))
     side = F.lit(base) * F.pow(F.lit(2.0), "_lv")
 
     def squares(df: DataFrame, name: str) -> DataFrame:
@@ -137,9 +168,39 @@ def shape_pairs(left: DataFrame, right: DataFrame, exact: str = "box", predicate
     return both.where(BOX_PREDICATES[predicate]) if exact == "box" else kernels.filter_pairs(both, predicate)
 
 
+def bundles(shapes: DataFrame, key: str, exact: str = "box", by: list[str] | None = None) -> DataFrame:
+    """(by, outline, members): equal shapes, with equal ``by``, as one row of their keys; more than some ``BUNDLE`` keys are dealt over rows.
+
+    Shapes without bounds, which meet nothing, are left out.
+    """
+    same = [*(by or []), *(BOUNDS if exact == "box" else RING)]
+    s = shapes.select(F.col(key).alias("_key"), *same)
+    crowds = s.groupBy(*same).agg(F.count("*").alias("_n")).where(F.col("_n") > BUNDLE)
+    at = F.coalesce(F.pmod(F.xxhash64("_key"), F.ceil(F.col("_n") / BUNDLE)), F.lit(0))
+    return s.join(crowds, same, "left").groupBy(*same, at.alias("_at")).agg(F.sort_array(F.collect_list(F.struct("_key"))).alias("members")).drop("_at")
+
+
+def bundle_pairs(left: DataFrame, right: DataFrame, left_key: str = "ord", right_key: str = "ord", exact: str = "box", predicate: str = "intersects", by: list[str] | None = None) -> DataFrame:
+    """``shape_pairs`` of the bundles of both sides, ``a`` and ``b``: each pair of outlines is tested once for up to ``BUNDLE`` times ``BUNDLE`` pairs."""
+    grid = grid_size(left.select(*BOUNDS).unionByName(right.select(*BOUNDS)))
+    return shape_pairs(bundles(left, left_key, exact, by), bundles(right, right_key, exact, by), exact, predicate, grid)
+
+
+def member_pairs(pairs: DataFrame, left: str, right: str, **more: Column) -> DataFrame:
+    """(left, right, more): all pairs of members of pairs of bundles; ``more`` are columns of a pair of bundles, by name.
+
+    A row of two bundles is small and what comes of it is not, so these rows are
+    dealt evenly over all tasks, which adaptive execution doesn't join again.
+    """
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = pairs.select(F.col("a.members").alias("_a"), F.col("b.members").alias("_b"), *(c.alias(k) for k, c in more.items())).repartition(n)
+    p = p.select("_b", *more, F.explode("_a").alias("_x")).select("_x", *more, F.explode("_b").alias("_y"))
+    return p.select(F.col("_x._key").alias(left), F.col("_y._key").alias(right), *more)
+
+
 def sjoin(left: DataFrame, right: DataFrame, how: str = "inner", exact: str = "box", left_key: str = "ord", right_key: str = "ord", predicate: str = "intersects") -> DataFrame:
     """(left key, right key) of shapes that intersect, or have the relation named; ``how`` inner, left or right keeps the rest of a side with null."""
-    pairs = shape_pairs(left, right, exact, predicate).select(F.col(f"a.{left_key}").alias("left_key"), F.col(f"b.{right_key}").alias("right_key"))
+    pairs = member_pairs(bundle_pairs(left, right, left_key, right_key, exact, predicate), "left_key", "right_key")
     if how == "inner":
         return pairs
     if how == "left":
@@ -151,18 +212,32 @@ def sjoin(left: DataFrame, right: DataFrame, how: str = "inner", exact: str = "b
 
 def first_shape(left: DataFrame, right: DataFrame, exact: str = "box", unassigned: int = 0) -> DataFrame:
     """(left_key, cell): the first right shape that each left one meets, counted from ``unassigned`` + 1; else ``unassigned``."""
-    first = sjoin(left, right, "inner", exact).groupBy("left_key").agg(F.min("right_key").alias("cell"))
+    met = bundle_pairs(left, right, exact=exact).select(F.col("a.members").alias("_a"), F.expr("array_min(transform(b.members, m -> m._key))").alias("cell"))
+    first = met.groupBy("_a").agg(F.min("cell").alias("cell")).select(F.explode("_a").alias("_x"), "cell").groupBy(F.col("_x._key").alias("left_key")).agg(F.min("cell").alias("cell"))
     out = left.select(F.col("ord").alias("left_key")).join(first, "left_key", "left")
     return out.withColumn("cell", F.coalesce(F.col("cell") + 1 + unassigned, F.lit(unassigned)).cast("long"))
 
 
+def with_ratios(pairs: DataFrame, exact: str = "box") -> DataFrame:
+    """Pairs (a, b) of shapes with the share of a's area that b covers as ``ratio``."""
+    if exact == "box":
+        return pairs.withColumn("ratio", G.box_intersection() / F.expr("(a.xmax - a.xmin) * (a.ymax - a.ymin)"))
+    return kernels.with_ratios(pairs)
+
+
 def overlap_ratio(left: DataFrame, right: DataFrame, exact: str = "box") -> DataFrame:
     """(left key, right key, ratio): the share of the left shape's area that each right shape covers."""
-    pairs = shape_pairs(left, right, exact)
-    if exact == "box":
-        whole = F.expr("(a.xmax - a.xmin) * (a.ymax - a.ymin)")
-        return pairs.select(F.col("a.ord").alias("left_key"), F.col("b.ord").alias("right_key"), (G.box_intersection() / whole).alias("ratio"))
-    return kernels.overlap_ratios(pairs)
+    pairs = with_ratios(bundle_pairs(left, right, exact=exact), exact)
+    return member_pairs(pairs, "left_key", "right_key", ratio=F.col("ratio"))
+
+
+def covered(left: DataFrame, right: DataFrame, threshold: float, exact: str = "box") -> DataFrame:
+    """Keys of left shapes of which one right shape covers the threshold or more; no pairs of equal shapes are made."""
+    outlines = lambda df: df.groupBy(*RING).agg(F.min("ord").alias("ord"))
+    grid = grid_size(left.select(*BOUNDS).unionByName(right.select(*BOUNDS)))
+    pairs = with_ratios(shape_pairs(outlines(left), outlines(right), exact, grid=grid), exact).where(F.col("ratio") >= threshold)
+    gone = pairs.select(*(F.col(f"a.{c}").alias(c) for c in RING)).distinct()
+    return left.join(gone, RING, "left_semi").select("ord")
 
 
 def dissolve_boxes(boxes: DataFrame, by: str) -> DataFrame:

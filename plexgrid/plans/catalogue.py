@@ -119,9 +119,7 @@ def _(e):
 @query("expand_radius_hits", sql("kept cells", "SELECT c.ord, p.gene, count(*) AS n FROM kept p JOIN cells c ON greatest(c.xmin - p.x, 0, p.x - c.xmax)**2 + greatest(c.ymin - p.y, 0, p.y - c.ymax)**2 <= (SELECT 0.5 * avg(sqrt((xmax - xmin) * (ymax - ymin) / pi())) FROM cells)**2 GROUP BY 1, 2"))
 def _(e):
     r = A.radius(e.cells(), 0.5)
-    p = e.kept().select("x", "y", "gene")
-    hits = spatial.points_in_shapes(p, e.cells(), lambda: G.within_distance(r), r)
-    return hits.groupBy("ord", "gene").agg(F.count("*").alias("n"))
+    return spatial.counts_in_shapes(e.kept().select("x", "y", "gene"), e.cells(), ["gene"], lambda: G.within_distance(r), r)
 
 
 @query("dissolve_boxes", sql("cells", "#u AS (SELECT DISTINCT c.ord % 7 AS g, CAST(gx.i AS DOUBLE) AS x, CAST(gy.i AS DOUBLE) AS y FROM cells c, range(-5, 60) gx(i), range(-5, 60) gy(i) WHERE gx.i >= c.xmin AND gx.i < c.xmax AND gy.i >= c.ymin AND gy.i < c.ymax) SELECT g, CAST(count(*) AS DOUBLE) AS area FROM u GROUP BY 1"))
