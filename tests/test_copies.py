@@ -16,6 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
 #: Queries that compared every copy with every other one.
 QUERIES = [
     "aggregate_filtered",
+    "count_transcripts_convex",
 ]
 
 
