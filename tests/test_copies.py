@@ -17,6 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
 QUERIES = [
     "aggregate_filtered",
     "count_transcripts_convex",
+    "count_transcripts_polygon",
 ]
 
 
