@@ -18,6 +18,7 @@ QUERIES = [
     "aggregate_filtered",
     "count_transcripts_convex",
     "count_transcripts_polygon",
+    "overlay_segmentation",
 ]
 
 
