@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import with_bounds
 from .kernels.overlay import largest, overlay, rings_of, signed_area, split_cells, valid
-from .resolve import conflict_components, conflict_pairs
+from .resolve import by_component, conflict_components, conflict_outlines, conflict_pairs
+from .spatial import RING
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -62,6 +63,7 @@ def dissolve(shapes: DataFrame, by: str) -> DataFrame:
 
     kind = dict(shapes.dtypes)[by]
     s = ordinals(shapes.select(F.col(by).alias("_by"), "xs", "ys", "xmin", "ymin", "xmax", "ymax").where("_by IS NOT NULL"), ["_by", "xmin", "ymin"], "ord")
+    s = s.groupBy("_by", *RING).agg(F.min("ord").alias("ord"))  # equal shapes are one
     pairs = conflict_pairs(s, "polygon", same="_by")
     label = conflict_components(s, pairs)
 
@@ -86,22 +88,16 @@ def remove_overlap(cells: DataFrame, exact: str = "polygon") -> DataFrame:
     Cells that overlap, directly or not, are one task's group; others don't pass
     through Python.
     """
-    pairs = conflict_pairs(cells, exact)
-    label = conflict_components(cells, pairs)
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    partners = both.groupBy(F.col("src").alias("ord")).agg(F.collect_set("dst").alias("partners"))
-    free = cells.join(partners, "ord", "left_anti").select(F.col("ord").cast("long").alias("ord"), "xs", "ys")
-    rows = cells.join(partners, "ord").join(label, "ord").select(F.col("ord").cast("long").alias("ord"), "component", "xs", "ys", "partners")
+    rows, free = conflict_outlines(cells, exact)
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("ord")
-        at = {int(o): i for i, o in enumerate(pdf["ord"])}
-        rings = split_cells(_rings(pdf["xs"], pdf["ys"]), [sorted(at[int(p)] for p in ps) for ps in pdf["partners"]])
-        return pd.DataFrame({"ord": list(at), **{c: [v or None for v in values] for c, values in _columns(rings).items()}})
+    def solve(rings, members, partners):
+        at = {o: i for i, o in enumerate(rings)}
+        doubled = {at[o] for o, ps in partners.items() if o in ps}
+        parts = split_cells(list(rings.values()), [[at[p] for p in partners[o] if p != o] for o in rings], doubled)
+        return [(n, *([float(v) for v in c] or None for c in (zip(*ring, strict=True) if ring else ((), ())))) for o, ring in zip(rings, parts, strict=True) for n in members[o]]
 
-    return with_bounds(free.unionByName(rows.groupBy("component").applyInPandas(run, f"ord long, {RINGS}")))
+    done = by_component(rows, solve, f"ord long, {RINGS}")
+    return with_bounds(free.select(F.col("ord").cast("long").alias("ord"), "xs", "ys").unionByName(done))
 
 
 def niche_outlines(parts: DataFrame, nodes: DataFrame, library: str = "lib") -> DataFrame:

@@ -19,6 +19,7 @@ QUERIES = [
     "count_transcripts_convex",
     "count_transcripts_polygon",
     "overlay_segmentation",
+    "resolve_conflicts",
 ]
 
 
@@ -88,3 +89,57 @@ def test_keys_that_are_null_or_repeat(spark):
     p = spark.createDataFrame([(1.0, 1.0, "g"), (1.0, 1.0, "g"), (9.0, 9.0, "g")], "x double, y double, gene string")
     counts = {r["ord"]: r["n"] for r in spatial.counts_in_shapes(p, c, ["gene"]).collect()}
     assert counts == {None: 2, 1: 5}
+
+
+
+def one_by_one(rings, pairs, threshold):
+    """Merging with all pairs listed, in ascending order, each seen from both cells."""
+    ring, stands, merged = dict(rings), {n: n for n in rings}, set()
+
+    def now(n):
+        return n if stands[n] == n else now(stands[n])
+
+    for i, j in sorted(pairs | {(j, i) for i, j in pairs}):
+        a, b = now(i), now(j)
+        if a == b:
+            continue
+        small = min(abs(resolve.signed_area(ring[a])), abs(resolve.signed_area(ring[b])))
+        if small > 0 and resolve.shared_area(ring[a], ring[b]) >= threshold * small:
+            low, high = min(a, b), max(a, b)
+            ring[low] = resolve.largest(resolve.union([ring[a]], [ring[b]])) or ring[low]
+            stands[high] = low
+            merged.add(low)
+    return [(n, ring[n], n in merged) for n in sorted(rings) if stands[n] == n]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_merging_by_outlines_equals_merging_by_pairs(seed):
+    draw = random.Random(seed)
+    hook = lambda x, y, r: [(x, y), (x + 2 * r, y), (x + 2 * r, y + r), (x + r, y + r), (x + r, y + 2 * r), (x, y + 2 * r)]
+    diamond = lambda x, y, r: [(x + r, y), (x, y + r), (x - r, y), (x, y - r)]
+    kinds = sorted({tuple(draw.choice([box, hook, diamond])(float(draw.randrange(8)), float(draw.randrange(8)), draw.choice([1.0, 2.0, 3.0]))) for _ in range(draw.choice([2, 5, 9]))})
+    patch = [draw.randrange(2) if seed % 3 == 0 else k for k in range(len(kinds))]
+    cells = {n: draw.randrange(len(kinds)) for n in draw.sample(range(99), draw.choice([6, 20, 35]))}
+    met = lambda a, b: kernels.rings_intersect(list(kinds[a]), list(kinds[b])) and (seed % 3 > 0 or patch[a] != patch[b])
+    pairs = {(i, j) for i in cells for j in cells if i < j and met(cells[i], cells[j])}
+    busy = {n for p in pairs for n in p}
+    number = {k: min(n for n in cells if cells[n] == k) for k in set(cells.values())}
+    members, partners = {}, {}
+    for n in sorted(busy):
+        members.setdefault(number[cells[n]], []).append(n)
+    for i, j in pairs | {(j, i) for i, j in pairs}:
+        partners.setdefault(number[cells[i]], set()).add(number[cells[j]])
+    threshold = draw.choice([0.2, 0.5, 0.9])
+    got = resolve.merge({o: list(kinds[cells[o]]) for o in members}, members, {o: sorted(p) for o, p in partners.items()}, threshold)
+    assert got == one_by_one({n: list(kinds[cells[n]]) for n in busy}, pairs, threshold)
+
+
+def test_many_copies_in_conflict(spark):
+    out = resolve.solve_conflicts(shapes(spark, [(i, box(10 * (i % 3), 0, 2)) for i in range(3000)]), 0.5)
+    assert sorted((r["source_ord"], r["merged"], r["a"]) for r in out.withColumn("a", G.area()).collect()) == [(k, True, 16.0) for k in range(3)]
+
+
+def test_copies_have_no_core(spark):
+    cells = shapes(spark, [(0, box(0, 0, 2)), (1, box(0, 0, 2)), (2, box(2, 0, 2)), (3, box(30, 0, 1)), (4, box(30, 5, 1))])
+    out = {r["ord"]: r["a"] for r in outlines.remove_overlap(cells).withColumn("a", G.area()).collect()}
+    assert out == {0: None, 1: None, 2: 16.0, 3: 4.0, 4: 4.0}  # what is shared goes to the one with a core
