@@ -20,6 +20,7 @@ QUERIES = [
     "count_transcripts_polygon",
     "overlay_segmentation",
     "resolve_conflicts",
+    "sjoin_polygons",
 ]
 
 
@@ -143,3 +144,19 @@ def test_copies_have_no_core(spark):
     cells = shapes(spark, [(0, box(0, 0, 2)), (1, box(0, 0, 2)), (2, box(2, 0, 2)), (3, box(30, 0, 1)), (4, box(30, 5, 1))])
     out = {r["ord"]: r["a"] for r in outlines.remove_overlap(cells).withColumn("a", G.area()).collect()}
     assert out == {0: None, 1: None, 2: 16.0, 3: 4.0, 4: 4.0}  # what is shared goes to the one with a core
+
+
+
+def test_pairs_of_copies_dealt_over_bundles(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BUNDLE", 3)
+    draw = random.Random(5)
+    kinds = [box(draw.randrange(9), draw.randrange(9), draw.choice([1, 2])) for _ in range(5)]
+    rings = [(i, draw.choice(kinds)) for i in range(60)]
+    meet = lambda a, b: all(max(a[0][k], b[0][k]) <= min(a[2][k], b[2][k]) for k in (0, 1))
+    want = sorted((i, j) for i, a in rings for j, b in rings if meet(a, b))
+    c = shapes(spark, rings)
+    for exact in ("box", "polygon"):
+        assert sorted(map(tuple, spatial.sjoin(c, c, exact=exact).collect())) == want
+        assert sorted(map(tuple, resolve.conflict_pairs(c, exact).collect())) == [p for p in want if p[0] < p[1]]
+    first = {r["left_key"]: r["cell"] for r in spatial.first_shape(c, c).collect()}
+    assert first == {i: 1 + min(b for a, b in want if a == i) for i, _ in rings}
