@@ -21,6 +21,7 @@ QUERIES = [
     "overlay_segmentation",
     "resolve_conflicts",
     "sjoin_polygons",
+    "combine_segmentations",
 ]
 
 
