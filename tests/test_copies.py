@@ -22,6 +22,7 @@ QUERIES = [
     "resolve_conflicts",
     "sjoin_polygons",
     "combine_segmentations",
+    "expand_radius_hits",
 ]
 
 
