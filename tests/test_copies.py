@@ -23,6 +23,7 @@ QUERIES = [
     "sjoin_polygons",
     "combine_segmentations",
     "expand_radius_hits",
+    "sjoin_contains",
 ]
 
 
