@@ -24,6 +24,7 @@ QUERIES = [
     "combine_segmentations",
     "expand_radius_hits",
     "sjoin_contains",
+    "sjoin_overlaps",
 ]
 
 
