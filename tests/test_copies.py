@@ -25,6 +25,7 @@ QUERIES = [
     "expand_radius_hits",
     "sjoin_contains",
     "sjoin_overlaps",
+    "sjoin_within",
 ]
 
 
