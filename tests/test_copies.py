@@ -26,6 +26,7 @@ QUERIES = [
     "sjoin_contains",
     "sjoin_overlaps",
     "sjoin_within",
+    "sjoin_touches",
 ]
 
 
