@@ -27,6 +27,7 @@ QUERIES = [
     "sjoin_overlaps",
     "sjoin_within",
     "sjoin_touches",
+    "assign_transcript_to_cell",
 ]
 
 
@@ -166,3 +167,10 @@ def test_pairs_of_copies_dealt_over_bundles(spark, monkeypatch):
         assert sorted(map(tuple, resolve.conflict_pairs(c, exact).collect())) == [p for p in want if p[0] < p[1]]
     first = {r["left_key"]: r["cell"] for r in spatial.first_shape(c, c).collect()}
     assert first == {i: 1 + min(b for a, b in want if a == i) for i, _ in rings}
+
+
+
+def test_first_shape_of_points_without_ids(spark):
+    p = spark.createDataFrame([(None, 1.0, 1.0), (1, 1.0, 1.0), (2, None, 1.0), (3, 50.0, 1.0)], "id long, x double, y double")
+    c = shapes(spark, [(7, box(1, 1, 1)), (3, box(1, 1, 1)), (5, box(1, 1, 2))])
+    assert {r["id"]: r["cell"] for r in spatial.assign_first(p, c, ["id"]).collect()} == {None: 4, 1: 4, 2: 0, 3: 0}
