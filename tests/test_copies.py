@@ -28,6 +28,7 @@ QUERIES = [
     "sjoin_within",
     "sjoin_touches",
     "assign_transcript_to_cell",
+    "assign_transcript_to_cell_null",
 ]
 
 
