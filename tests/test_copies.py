@@ -29,6 +29,7 @@ QUERIES = [
     "sjoin_touches",
     "assign_transcript_to_cell",
     "assign_transcript_to_cell_null",
+    "aggregate_flagged",
 ]
 
 
