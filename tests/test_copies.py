@@ -30,6 +30,7 @@ QUERIES = [
     "assign_transcript_to_cell",
     "assign_transcript_to_cell_null",
     "aggregate_flagged",
+    "count_transcripts",
 ]
 
 
