@@ -31,6 +31,7 @@ QUERIES = [
     "assign_transcript_to_cell_null",
     "aggregate_flagged",
     "count_transcripts",
+    "cell_totals_q95",
 ]
 
 
