@@ -32,6 +32,7 @@ QUERIES = [
     "aggregate_flagged",
     "count_transcripts",
     "cell_totals_q95",
+    "compare_segmentations",
 ]
 
 
