@@ -33,6 +33,7 @@ QUERIES = [
     "count_transcripts",
     "cell_totals_q95",
     "compare_segmentations",
+    "count_transcripts_dense",
 ]
 
 
