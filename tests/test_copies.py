@@ -34,6 +34,7 @@ QUERIES = [
     "cell_totals_q95",
     "compare_segmentations",
     "count_transcripts_dense",
+    "density_priors",
 ]
 
 
