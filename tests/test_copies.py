@@ -35,6 +35,7 @@ QUERIES = [
     "compare_segmentations",
     "count_transcripts_dense",
     "density_priors",
+    "hvg_dispersion",
 ]
 
 
