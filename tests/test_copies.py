@@ -36,6 +36,7 @@ QUERIES = [
     "count_transcripts_dense",
     "density_priors",
     "hvg_dispersion",
+    "low_count_genes",
 ]
 
 
