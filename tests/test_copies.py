@@ -37,6 +37,7 @@ QUERIES = [
     "density_priors",
     "hvg_dispersion",
     "low_count_genes",
+    "gene_counts_csr",
 ]
 
 
