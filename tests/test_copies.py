@@ -38,6 +38,7 @@ QUERIES = [
     "hvg_dispersion",
     "low_count_genes",
     "gene_counts_csr",
+    "log1p_tpm",
 ]
 
 
