@@ -39,6 +39,7 @@ QUERIES = [
     "low_count_genes",
     "gene_counts_csr",
     "log1p_tpm",
+    "count_transcripts_excluded",
 ]
 
 
