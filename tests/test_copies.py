@@ -40,6 +40,7 @@ QUERIES = [
     "gene_counts_csr",
     "log1p_tpm",
     "count_transcripts_excluded",
+    "overlap_ratio",
 ]
 
 
