@@ -41,6 +41,7 @@ QUERIES = [
     "log1p_tpm",
     "count_transcripts_excluded",
     "overlap_ratio",
+    "conflict_pairs",
 ]
 
 
