@@ -42,6 +42,7 @@ QUERIES = [
     "count_transcripts_excluded",
     "overlap_ratio",
     "conflict_pairs",
+    "sjoin_inner",
 ]
 
 
