@@ -189,3 +189,11 @@ def test_first_shape_of_points_without_ids(spark):
     p = spark.createDataFrame([(None, 1.0, 1.0), (1, 1.0, 1.0), (2, None, 1.0), (3, 50.0, 1.0)], "id long, x double, y double")
     c = shapes(spark, [(7, box(1, 1, 1)), (3, box(1, 1, 1)), (5, box(1, 1, 2))])
     assert {r["id"]: r["cell"] for r in spatial.assign_first(p, c, ["id"]).collect()} == {None: 4, 1: 4, 2: 0, 3: 0}
+
+
+
+def test_dissolve_compares_outlines(spark, compared):
+    s = shapes(spark, [(i, box(3 * (i % 4), 0, 2)) for i in range(200)]).withColumn("g", spatial.F.col("ord") % 2)
+    out = outlines.dissolve(s, "g").withColumn("a", G.area()).collect()
+    assert sorted((r["g"], r["a"]) for r in out) == [(0, 16.0), (0, 16.0), (1, 16.0), (1, 16.0)]
+    assert sum(compared) <= 4 * 4 * 2
