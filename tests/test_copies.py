@@ -197,3 +197,15 @@ def test_dissolve_compares_outlines(spark, compared):
     out = outlines.dissolve(s, "g").withColumn("a", G.area()).collect()
     assert sorted((r["g"], r["a"]) for r in out) == [(0, 16.0), (0, 16.0), (1, 16.0), (1, 16.0)]
     assert sum(compared) <= 4 * 4 * 2
+
+
+
+def test_small_components_share_a_task(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    def refused(*_):
+        raise AssertionError("a call for each component")
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", refused)
+    assert catalogue.queries()["resolve_concave"](spark, DIR).where("merged").count() > 0
+    assert catalogue.queries()["remove_overlap"](spark, DIR).count() > 0
